@@ -73,7 +73,7 @@ def cached_fetch(
     def slot(at: Column) -> Column:
         return F.floor(at / F.lit(width)).cast("bigint")
 
-    at = F.unix_micros(F.col(fetched_at))
+    at = F.unix_micros(F.col(fetched_at).cast("timestamp"))
     seen = fetches.filter(F.col(url).isNotNull() & F.col(fetched_at).isNotNull()).select(
         F.col(url).alias("_url"),
         slot(at).alias("_slot"),
@@ -94,7 +94,7 @@ def cached_fetch(
     request = F.struct(*[F.col(name) for name in requests.columns])
     no_request = F.lit(None).cast(requests.select(request.alias("r")).schema["r"].dataType)
     no_fetch = F.lit(None).cast(seen.schema["_found"].dataType)
-    asked_at = F.unix_micros(F.col(requested_at))
+    asked_at = F.unix_micros(F.col(requested_at).cast("timestamp"))
     keyed = requests.filter(F.col(url).isNotNull())
     asked = keyed.select(
         F.col(url).alias("_url"),

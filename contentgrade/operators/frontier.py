@@ -35,6 +35,7 @@ def crawl_frontier(
     max_depth: int = DEFAULT_MAX_DEPTH,
     max_pages: int | None = DEFAULT_MAX_PAGES,
     dedupe: bool = True,
+    salts: int = 8,
 ) -> DataFrame:
     """``url, depth, referer, visits`` of the pages that a crawl from the seeds would visit.
 
@@ -43,11 +44,11 @@ def crawl_frontier(
     not visit are left out. The referer is the smallest url among the pages of the level
     before that link here, so the result does not depend on timing.
 
-    One join per level. The links are cut to expandable pages and hashed by source once and
-    kept that way, so each level shuffles its own rows only; candidates are combined per
-    target before they move, which keeps a page that everyone links to small. Each level is
-    checkpointed, which ends its lineage. Finished levels are not read again except for the
-    test whether a url was visited.
+    One join per level. The links are cut to expandable pages, made distinct and hashed once
+    and kept that way, so each level shuffles its own rows only. A page with very many links
+    is spread over ``salts`` partitions. Candidates are combined per target before they
+    move, which keeps a page that everyone links to small. Each level is checkpointed, which
+    ends its lineage.
 
     Without ``dedupe`` a url that several pages of one level link to is visited once per
     link. Those visits come as the count ``visits`` per url and referer, not as repeated
@@ -59,7 +60,15 @@ def crawl_frontier(
     if fetches is not None:
         alive = usable_fetches(fetches).select(normalize_url(F.col("url")).alias("src_url"))
         edges = edges.join(alive.distinct(), "src_url", "left_semi")
-    edges = edges.repartition("src_url").persist()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("dst_url"), F.lit(salts)).cast("int")
+    edges = (
+        edges.distinct()
+        .withColumn("salt", salt)
+        .repartition(partitions, "src_url", "salt")
+        .persist()
+    )
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
 
     def permitted(level: DataFrame) -> DataFrame:
         if groups is None:
@@ -78,8 +87,12 @@ def crawl_frontier(
     for depth in range(1, max_depth + 1):
         if max_pages is not None and seen >= max_pages:
             break
-        sources = level.groupBy("url").agg(F.sum("visits").alias("visits"))
-        reached = sources.join(edges, sources["url"] == edges["src_url"]).select(
+        sources = (
+            level.groupBy(F.col("url").alias("src_url"))
+            .agg(F.sum("visits").alias("visits"))
+            .withColumn("salt", every_salt)
+        )
+        reached = sources.join(edges, ["src_url", "salt"]).select(
             F.col("dst_url").alias("url"), F.col("src_url").alias("referer"), "visits"
         )
         if dedupe:

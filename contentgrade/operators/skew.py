@@ -13,10 +13,13 @@ def salted_lookup(
 
     Each lookup row is copied once per salt and each row picks one, so the rows of a hot key
     end up in ``salts`` partitions. Spark still turns this into a broadcast join by itself
-    when it measures that the lookup side is small. The salt is a hash of ``spread_by``, not
-    a random number, so a task that is run again sends its rows to the same place.
+    when it measures that the lookup side is small. The salt comes from a hash of
+    ``spread_by`` and the number of the input partition, which parts even equal rows. It is
+    not random, so a task that is run again sends its rows to the same place.
     """
-    spread = F.xxhash64(*rows.columns) if spread_by is None else F.xxhash64(spread_by)
+    spread = F.spark_partition_id().cast("bigint")
+    if spread_by is not None:
+        spread = spread + F.pmod(F.xxhash64(spread_by), F.lit(salts))
     salted = rows.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")
