@@ -134,16 +134,20 @@ def plain_title(marked: Column) -> Column:
     return F.array_join(F.transform(F.split(marked, MARK), strip), "")
 
 
-def _first_element(visible: Column, name: str) -> Column:
+def _first_element(visible: Column, name: Column) -> Column:
     """The first element of that name with everything inside it; null if there is none."""
-    pieces = F.split(F.concat(F.lit(" "), visible), rf"(?i)(?=</?{name}[\s/>])")
+    pieces = F.split(
+        F.concat(F.lit(" "), visible), F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s/>])"))
+    )
+    opening = F.concat(F.lit(r"(?i)\A<"), name, F.lit(r"[\s/>]"))
+    closing = F.concat(F.lit(r"(?i)\A</"), name, F.lit(r"[\s/>]"))
     start = F.struct(
         F.lit(0).alias("seen"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("depth")
     )
 
     def step(state: Column, part: Column) -> Column:
-        opens = part.rlike(rf"(?i)\A<{name}[\s/>]")
-        closes = part.rlike(rf"(?i)\A</{name}[\s/>]")
+        opens = F.rlike(part, opening)
+        closes = F.rlike(part, closing)
         inside = (state["first"] > 0) & (state["last"] == 0)
         seen = state["seen"] + 1
         return F.struct(
@@ -176,11 +180,10 @@ def main_content(visible: Column) -> Column:
     """
 
     body = F.get(F.split(F.get(F.split(visible, _BODY_OPEN, 2), 1), _BODY_CLOSE, 2), 0)
-    candidates = F.array(
-        *[
-            F.struct(F.lit(rank).alias("rank"), _first_element(visible, name).alias("html"))
-            for rank, name in ((3, "article"), (2, "main"), (1, "div"))
-        ]
+    # In ascending order of preference between equally long texts.
+    candidates = F.transform(
+        F.array(F.lit("div"), F.lit("main"), F.lit("article")),
+        lambda name, rank: F.struct(rank.alias("rank"), _first_element(visible, name).alias("html")),
     )
     sized = F.transform(
         F.filter(candidates, lambda found: found["html"].isNotNull()),

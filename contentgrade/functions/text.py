@@ -78,10 +78,10 @@ def word_count(lowered: Column) -> Column:
     return F.regexp_count(lowered, F.lit(f"{WORD}++")).cast("bigint")
 
 
-def occurrences(text: Column, term: str) -> Column:
+def occurrences(text: Column, term: Column) -> Column:
     """Non-overlapping substring matches of ``term``; byte lengths make this cheap."""
-    removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(term), F.lit("")))
-    return (removed / F.lit(len(term.encode("utf-8")))).cast("int")
+    removed = F.octet_length(text) - F.octet_length(F.replace(text, term, F.lit("")))
+    return (removed / F.octet_length(term)).cast("int")
 
 
 def term_counts(lowered: Column, lexicon: Sequence[str] = DOMAIN_TERMS) -> Column:
@@ -90,13 +90,11 @@ def term_counts(lowered: Column, lexicon: Sequence[str] = DOMAIN_TERMS) -> Colum
     Pass a column that is already lower-cased and materialised by an earlier projection: the
     text is read once per term.
     """
-    entries = F.array(
-        *[
-            F.struct(F.lit(term).alias("term"), occurrences(lowered, term).alias("n"))
-            for term in dict.fromkeys(lexicon)
-        ]
+    counted = F.transform(
+        F.lit(list(dict.fromkeys(lexicon))),
+        lambda term: F.struct(term.alias("term"), occurrences(lowered, term).alias("n")),
     )
-    return F.map_from_entries(F.filter(entries, lambda entry: entry["n"] > 0))
+    return F.map_from_entries(F.filter(counted, lambda entry: entry["n"] > 0))
 
 
 def numeric_token_list(text: Column) -> Column:

@@ -22,11 +22,17 @@ from contentgrade.operators.tfidf import (
     tfidf_transform,
 )
 
-# Lower bounds of the classes 1 to 3, and the score that stands for each class.
+# Lower bounds of the classes 1 to 3, the score that stands for each class,
+# and the settings of the fit.
 BOUNDS = (50.0, 70.0, 85.0)
 MIDPOINTS = (25.0, 60.0, 77.5, 92.5)
 SEED = 42
 MAX_ITERATIONS = 1000
+TOLERANCE = 1e-4
+
+# A fit runs one job per iteration; small samples gain from few tasks, large ones keep theirs.
+SMALL_SAMPLE = 200_000
+ROWS_PER_TASK = 20_000
 
 
 def bin_scores(score: Column) -> Column:
@@ -94,6 +100,9 @@ def fit_classifier(
     if sizes["classes"] < 2:
         raise ValueError("Training needs samples of at least two classes")
     vocabulary = fit_tfidf(train, text, max_features, stop_words)
+    vectors = tfidf_transform(train, vocabulary, text).select("features", "_class")
+    if sizes["n"] <= SMALL_SAMPLE:
+        vectors = vectors.repartition(max(1, sizes["n"] // ROWS_PER_TASK))
     regression = LogisticRegression(
         featuresCol="features",
         labelCol="_class",
@@ -102,7 +111,8 @@ def fit_classifier(
         elasticNetParam=0.0,
         standardization=False,
         maxIter=MAX_ITERATIONS,
-    ).fit(tfidf_transform(train, vocabulary, text).select("features", "_class"))
+        tol=TOLERANCE,
+    ).fit(vectors)
     model = TextModel(vocabulary, regression)
     predicted = predict_scores(model, test, text).withColumn("_actual", midpoint(F.col("_class")))
     errors = classifier_metrics(predicted, "_actual", "predicted_score").first()

@@ -58,18 +58,20 @@ def parse_pages(
             "modified"
         ),
     )
+    short = ("title", "description", "author", "published", "modified")
     decoded = raw.select(
         *carried,
-        *[
-            H.decode_entities(F.col(name), entities).alias(name)
-            for name in ("text", "title", "description", "author", "published", "modified")
-        ],
+        H.decode_entities(F.col("text"), entities).alias("text"),
+        F.transform(
+            F.array(*short), lambda value: H.decode_entities(value, entities)
+        ).alias("short"),
     )
+    values = {name: F.element_at("short", place) for place, name in enumerate(short, start=1)}
     cleaned = decoded.select(
         *carried,
         H.joined_text(F.col("text")).alias("text"),
-        H.plain_title(F.col("title")).alias("title"),
-        *[strip(F.col(name)).alias(name) for name in ("description", "author", "published", "modified")],
+        H.plain_title(values["title"]).alias("title"),
+        *[strip(values[name]).alias(name) for name in short[1:]],
     )
     return cleaned.select(
         "url",

@@ -80,12 +80,13 @@ def score_heuristic(
 ) -> DataFrame:
     """Add ``score``; the class follows the composite before rounding."""
     weighted = apply_weights(compute_components(pages, as_of, "_components"), weights, "_components")
-    parts = [round2(F.col(f"_components.{name}")) for name in S.COMPONENTS]
-    composite = F.col("composite")
-    score = _score(
-        F.col("url"), round2(composite), parts, F.lit(None).cast("double"), composite
+    values = [F.col(f"_components.{name}") for name in S.COMPONENTS]
+    rounded = weighted.withColumn(
+        "_rounded", F.transform(F.array(*values, "composite"), round2)
     )
-    return weighted.withColumn("score", score).drop("_components", "composite")
+    *parts, composite = [F.col("_rounded")[place] for place in range(len(values) + 1)]
+    score = _score(F.col("url"), composite, parts, F.lit(None).cast("double"), F.col("composite"))
+    return rounded.withColumn("score", score).drop("_components", "_rounded", "composite")
 
 
 def score_predicted(pages: DataFrame, predicted: str = "predicted_score") -> DataFrame:
