@@ -71,26 +71,33 @@ def completeness(has_table: Column, has_list: Column, n_terms: Column) -> Column
 
 _DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 _BASIC_DATE = r"\A([0-9]{4})([0-9]{2})([0-9]{2})(?=\D|\z)"
-_TIME = r"[0-9]{2}(?::[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?)?"
+_CLOCK = r"[0-9]{2}(?::[0-9]{2}(?::[0-9]{2})?)?"
+_FRACTION = r"[0-9]{2}:[0-9]{2}:[0-9]{2}[.,][0-9]+"
 _ZONE = r"[+\-][0-9]{2}(?::?[0-9]{2}(?::[0-9]{2})?)?"
-_BASIC_TIME = r"\A(.{10}.)([0-9]{2})([0-9]{2})([0-9]{2})?(?=[^0-9:]|\z)"
+_BASIC_SECONDS = r"(?s)\A(.{11}[0-9]{2})([0-9]{2})([0-9]{2})(?![0-9:])"
+_BASIC_MINUTES = r"(?s)\A(.{11}[0-9]{2})([0-9]{2})(?![0-9:])"
 
 
 def iso_timestamp(text: Column) -> Column:
     """ISO 8601 text to a timestamp, null if it is none; without a zone it is read as UTC.
 
-    Calendar dates in extended and basic form, any separator before the time. Everything is
-    brought to one layout first, because Spark's own cast accepts less and more than that.
+    Calendar dates in extended and basic form, any separator before the time; week dates are
+    not read. Everything is brought to one layout first, because Spark's own cast accepts
+    less and more than that.
     """
     extended = F.regexp_replace(F.replace(text, F.lit("Z"), F.lit("+00:00")), _BASIC_DATE, "$1-$2-$3")
-    timed = F.regexp_replace(extended, _BASIC_TIME, "$1$2:$3:$4")
-    valid = timed.rlike(rf"(?s)\A{_DATE}(?:.{_TIME}(?:{_ZONE})?)?\z")
+    timed = F.regexp_replace(
+        F.regexp_replace(extended, _BASIC_SECONDS, "$1:$2:$3"), _BASIC_MINUTES, "$1:$2"
+    )
+    valid = timed.rlike(
+        rf"(?s)\A{_DATE}(?:.(?:{_CLOCK}(?: ?{_ZONE})?|{_FRACTION}(?:{_ZONE})?))?\z"
+    )
     date = F.substr(timed, F.lit(1), F.lit(10))
-    clock = F.regexp_extract(timed, rf"(?s)\A{_DATE}.({_TIME})", 1)
+    clock = F.regexp_extract(timed, rf"(?s)\A{_DATE}.({_FRACTION}|{_CLOCK})", 1)
     hms = F.regexp_extract(clock, r"\A[0-9:]+", 0)
     padded = F.concat(hms, F.substr(F.lit("00:00:00"), F.length(hms) + 1))
     fraction = F.regexp_extract(clock, r"[.,]([0-9]{1,6})", 1)
-    zone = F.regexp_extract(timed, rf"(?s)\A{_DATE}.{_TIME}({_ZONE})\z", 1)
+    zone = F.regexp_extract(timed, rf"(?s)\A{_DATE}.[0-9:.,]+ ?({_ZONE})\z", 1)
     digits = F.regexp_replace(zone, "[^0-9]", "")
     offset = F.when(zone == "", F.lit("+00:00")).otherwise(
         F.concat(
