@@ -26,6 +26,7 @@ from contentgrade.operators.robots import robots_allowed
 from contentgrade.plans.evaluate import evaluate_pages
 from contentgrade.session import local_session
 from contentgrade.sinks.reports import report_rows
+from contentgrade.sources.fetches import spread
 from contentgrade.sources.labels import unique_labels
 from contentgrade.sources.robots import parse_robots
 
@@ -63,7 +64,7 @@ def links_and_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regression.fit_evaluate(
-        X.table(spark, sf_dir, "lineitem"),
+        spread(X.table(spark, sf_dir, "lineitem")),
         "l_extendedprice",
         ["l_quantity", "l_discount", "l_tax", "l_linenumber"],
         key=["l_orderkey", "l_linenumber"],

@@ -101,7 +101,7 @@ def crawl_frontier(
             )
         else:
             candidates = reached.groupBy("url", "referer").agg(F.sum("visits").alias("visits"))
-        fresh = candidates.join(visited.select("url").distinct(), "url", "left_anti")
+        fresh = candidates.join(visited.select("url"), "url", "left_anti")
         level = (
             permitted(fresh)
             .select("url", F.lit(depth).alias("depth"), "referer", "visits")

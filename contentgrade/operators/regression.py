@@ -49,13 +49,14 @@ def split(
     """Train and test rows by the hash of a key that is unique per row.
 
     ``test_size`` is clamped to [0, 0.9]. An exact split has ``max(1, round(test_size * n))``
-    test rows, or ``n_test`` if given, and finds the cut hash by counting; otherwise the cut is a fixed fraction of the
-    hash range, which needs no pass over the data. Both sides are plain filters.
+    test rows, or ``n_test`` if given, and finds the cut hash by counting; otherwise the cut
+    is a fixed fraction of the hash range, which needs no pass over the data. Both sides are
+    plain filters.
     """
     share = max(0.0, min(0.9, float(test_size)))
     hashed = rows.withColumn("_hash", row_hash(key, seed))
     if exact:
-        wanted = max(1, round(share * rows.count())) if n_test is None else n_test
+        wanted = n_test or (lambda n: max(1, round(share * n)))
         cut = nth_smallest(hashed.select("_hash"), "_hash", wanted)
         is_test = F.lit(True) if cut is None else F.col("_hash") <= cut
     else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,17 +27,20 @@ def salted_lookup(
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")
 
 
-def nth_smallest(rows: DataFrame, hashed: str, n: int, digits: int = 3) -> str | None:
+def nth_smallest(
+    rows: DataFrame, hashed: str, n: int | Callable[[int], int], digits: int = 3
+) -> str | None:
     """The ``n``-th smallest value of a column of hexadecimal hashes, None if there are fewer.
 
     Works digit by digit: each round counts rows by the next ``digits`` digits, which gives
     at most ``16**digits`` counts whatever the size of the table, and goes on inside the one
     prefix that holds the answer until few enough hashes share it. No sort of the table, and
-    three rounds reach the answer among 10**12 rows.
+    three rounds reach the answer among 10**12 rows. ``n`` may depend on the number of rows,
+    which the first round finds anyway.
     """
     few = 16**digits
     prefix = ""
-    left = n
+    left = None if callable(n) else n
     while True:
         inside = rows.filter(F.startswith(F.col(hashed), F.lit(prefix)))
         counts = (
@@ -44,6 +49,8 @@ def nth_smallest(rows: DataFrame, hashed: str, n: int, digits: int = 3) -> str |
             .orderBy("prefix")
             .collect()
         )
+        if left is None:
+            left = n(sum(row["n"] for row in counts))
         for row in counts:
             if left <= row["n"]:
                 break

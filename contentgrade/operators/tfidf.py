@@ -29,20 +29,26 @@ def tokens(text: Column, stop_words: Sequence[str]) -> Column:
     return F.filter(words, lambda word: ~word.isin(*stop_words)) if stop_words else words
 
 
-def with_bigrams(words: Column) -> Column:
-    """The words followed by all pairs of neighbours. Reads its input several times."""
+def bigrams(words: Column, among: Sequence[str] | None = None) -> Column:
+    """All pairs of neighbours, or those of which both words are ``among`` the given ones.
+
+    Reads its input several times.
+    """
+    if among is not None:
+        if not among:
+            return F.array().cast("array<string>")
+        words = F.transform(words, lambda word: F.when(word.isin(*among), word))
     n_pairs = F.greatest(F.size(words) - 1, F.lit(0))
     pairs = F.zip_with(
         F.slice(words, F.lit(1), n_pairs),
         F.slice(words, F.lit(2), n_pairs),
-        lambda left, right: F.concat_ws(" ", left, right),
+        lambda left, right: F.concat(left, F.lit(" "), right),
     )
-    return F.concat(words, pairs)
+    return pairs if among is None else F.filter(pairs, lambda pair: pair.isNotNull())
 
 
-def _with_terms(rows: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
-    words = rows.withColumn("_words", tokens(F.coalesce(text, F.lit("")), stop_words))
-    return words.withColumn("_terms", with_bigrams(F.col("_words"))).drop("_words")
+def _with_words(rows: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
+    return rows.withColumn("_words", tokens(F.coalesce(text, F.lit("")), stop_words))
 
 
 @dataclass(frozen=True)
@@ -63,9 +69,49 @@ class Vocabulary:
 ROW_SCHEMA = "term string, corpus_count bigint, document_count bigint, idf double"
 
 
-def _counted(rows: DataFrame, text: str, terms: Sequence[str], stop_words: Sequence[str], out: str):
+# With more candidate words than this, bigrams are counted without leaving any out.
+MAX_CANDIDATES = 2000
+
+
+def _frequency(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("term").agg(F.count("*").alias("n"))
+
+
+def _top(counts: DataFrame, n: int) -> list:
+    return counts.orderBy(F.col("n").desc(), "term").limit(n).collect()
+
+
+def top_terms(words: DataFrame, max_features: int) -> list[tuple[str, int]]:
+    """The most frequent words and bigrams of ``_words`` arrays with their counts, ties by term.
+
+    Words are counted first. A bigram is at most as frequent as each of its words, so once
+    ``max_features`` words reach some count, only bigrams of words with that count can still
+    enter the list. The bigrams that are shuffled are thus those of a few hundred words
+    instead of all that the corpus holds, and the result is the same.
+    """
+    singles = _frequency(words.select(F.explode("_words").alias("term")))
+    best = _top(singles, max_features)
+    among = None
+    if len(best) == max_features:
+        frequent = singles.filter(F.col("n") >= best[-1]["n"]).select("term")
+        found = [row["term"] for row in frequent.limit(MAX_CANDIDATES + 1).collect()]
+        among = found if len(found) <= MAX_CANDIDATES else None
+    pairs = words.select(F.explode(bigrams(F.col("_words"), among)).alias("term"))
+    both = best + _top(_frequency(pairs), max_features)
+    ranked = sorted(((row["term"], row["n"]) for row in both), key=lambda t: (-t[1], t[0]))
+    return ranked[:max_features]
+
+
+def _counted(
+    rows: DataFrame, text: str, terms: Sequence[str], stop_words: Sequence[str], out: str
+) -> DataFrame:
+    """Add the sparse count vector; only bigrams of words that occur in one of the terms' are built."""
+    parts = dict.fromkeys(word for term in terms if " " in term for word in term.split(" "))
+    among = list(parts) if len(parts) <= MAX_CANDIDATES else None
+    worded = _with_words(rows, text, stop_words)
+    termed = worded.withColumn("_terms", F.concat("_words", bigrams(F.col("_words"), among)))
     counter = CountVectorizerModel.from_vocabulary(list(terms), inputCol="_terms", outputCol=out)
-    return counter.transform(_with_terms(rows, text, stop_words)).drop("_terms")
+    return counter.transform(termed).drop("_words", "_terms")
 
 
 def fit_tfidf(
@@ -76,24 +122,15 @@ def fit_tfidf(
 ) -> Vocabulary:
     """The most frequent terms of the corpus and their weights ``ln((1 + n) / (1 + df)) + 1``.
 
-    Term counts are combined before the shuffle. The document counts follow in a second,
-    narrow pass that needs the chosen terms only: each document becomes a sparse vector and
-    the non-zero entries are added up per position.
+    The document counts follow in a last, narrow pass that needs the chosen terms only: each
+    document becomes a sparse vector and the non-zero entries are added up per position.
     """
-    words = english_stop_words() if stop_words is None else tuple(stop_words)
-    top = (
-        _with_terms(rows.select(text), text, words)
-        .select(F.explode("_terms").alias("term"))
-        .groupBy("term")
-        .count()
-        .orderBy(F.col("count").desc(), "term")
-        .limit(max_features)
-        .collect()
-    )
-    if not top:
+    kept = english_stop_words() if stop_words is None else tuple(stop_words)
+    ranked = top_terms(_with_words(rows.select(text), text, kept).select("_words"), max_features)
+    if not ranked:
         raise ValueError("No terms in the corpus")
-    terms = tuple(row["term"] for row in top)
-    vectors = _counted(rows.select(text), text, terms, words, "_counts")
+    terms, counts = zip(*ranked)
+    vectors = _counted(rows.select(text), text, terms, kept, "_counts")
     totals = vectors.select(
         Summarizer.metrics("count", "numNonZeros").summary(F.col("_counts")).alias("s")
     ).select(
@@ -103,7 +140,7 @@ def fit_tfidf(
     n = int(totals["n"])
     df = tuple(int(value) for value in totals["df"])
     idf = tuple(math.log((1 + n) / (1 + d)) + 1 for d in df)
-    return Vocabulary(terms, tuple(row["count"] for row in top), df, idf, n, words)
+    return Vocabulary(terms, counts, df, idf, n, kept)
 
 
 def tfidf_transform(
