@@ -62,12 +62,11 @@ def crawl_frontier(
         edges = edges.join(alive.distinct(), "src_url", "left_semi")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64("dst_url"), F.lit(salts)).cast("int")
-    edges = (
-        edges.distinct()
-        .withColumn("salt", salt)
-        .repartition(partitions, "src_url", "salt")
-        .persist()
-    )
+    # Counting fills the cache, after which Spark knows its partitioning and joins in place.
+    # Behind it lies a checkpoint, so a lost executor costs one shuffle and no new extraction.
+    stored = edges.distinct().checkpoint()
+    edges = stored.withColumn("salt", salt).repartition(partitions, "src_url", "salt").persist()
+    edges.count()
     every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
 
     def permitted(level: DataFrame) -> DataFrame:

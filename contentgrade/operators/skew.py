@@ -45,7 +45,7 @@ def nth_smallest(
         inside = rows.filter(F.startswith(F.col(hashed), F.lit(prefix)))
         counts = (
             inside.groupBy(F.substring(hashed, 1, len(prefix) + digits).alias("prefix"))
-            .agg(F.count("*").alias("n"), F.min(hashed).alias("least"), F.max(hashed).alias("most"))
+            .agg(F.count("*").alias("n"))
             .orderBy("prefix")
             .collect()
         )
@@ -57,10 +57,8 @@ def nth_smallest(
             left -= row["n"]
         else:
             return None
-        if row["least"] == row["most"] or left == 1:
-            return row["least"]
-        if left == row["n"]:
-            return row["most"]
+        if row["prefix"] == prefix:
+            return prefix
         prefix = row["prefix"]
         if row["n"] <= few:
             found = rows.filter(F.startswith(F.col(hashed), F.lit(prefix))).select(hashed)

@@ -89,13 +89,16 @@ def top_terms(words: DataFrame, max_features: int) -> list[tuple[str, int]]:
     enter the list. The bigrams that are shuffled are thus those of a few hundred words
     instead of all that the corpus holds, and the result is the same.
     """
-    singles = _frequency(words.select(F.explode("_words").alias("term")))
-    best = _top(singles, max_features)
+    singles = _top(
+        _frequency(words.select(F.explode("_words").alias("term"))),
+        max(max_features, MAX_CANDIDATES) + 1,
+    )
+    best = singles[:max_features]
     among = None
     if len(best) == max_features:
-        frequent = singles.filter(F.col("n") >= best[-1]["n"]).select("term")
-        found = [row["term"] for row in frequent.limit(MAX_CANDIDATES + 1).collect()]
-        among = found if len(found) <= MAX_CANDIDATES else None
+        frequent = [row["term"] for row in singles if row["n"] >= best[-1]["n"]]
+        # If even the last word read belongs to them, there may be more that were not read.
+        among = frequent if len(frequent) <= MAX_CANDIDATES else None
     pairs = words.select(F.explode(bigrams(F.col("_words"), among)).alias("term"))
     both = best + _top(_frequency(pairs), max_features)
     ranked = sorted(((row["term"], row["n"]) for row in both), key=lambda t: (-t[1], t[0]))
