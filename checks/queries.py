@@ -28,7 +28,7 @@ from contentgrade.operators import (
     tfidf,
 )
 from contentgrade.operators.calibration import learn_weights
-from contentgrade.plans.evaluate import evaluate_pages, train_text_model
+from contentgrade.plans.evaluate import calibrate_weights, evaluate_pages, train_text_model
 from contentgrade.schemas import FETCHES
 from contentgrade.session import scratch_path
 from contentgrade.sinks import reports
@@ -771,6 +771,23 @@ def _(spark, sf_dir):
     )
 
 
+@query("calibrate_weights")
+def _(spark, sf_dir):
+    entries = unique_labels(X.label_entries(spark, sf_dir))
+    found = calibrate_weights(
+        X.fetches(spark, sf_dir),
+        entries,
+        X.AS_OF,
+        lexicon=X.LEXICON,
+        citation_patterns=X.CITATIONS,
+    )
+    return entries.agg(F.count("*").alias("labels")).select(
+        *[F.lit(value).alias(name) for name, value in found.weights.as_dict().items()],
+        F.lit(found.samples).cast("bigint").alias("samples"),
+        "labels",
+    )
+
+
 @query("bin_scores")
 def _(spark, sf_dir):
     orders = X.table(spark, sf_dir, "orders")
@@ -839,7 +856,7 @@ def _(spark, sf_dir):
 @query("train_text_model")
 def _(spark, sf_dir):
     found = train_text_model(
-        parsed(spark, sf_dir), unique_labels(X.label_entries(spark, sf_dir))
+        X.fetches(spark, sf_dir), unique_labels(X.label_entries(spark, sf_dir))
     )
     evaluated_ml = evaluate_pages(
         X.fetches(spark, sf_dir), X.AS_OF, mode="ml", model=found.model, keep=["page_id"]

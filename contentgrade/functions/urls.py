@@ -60,7 +60,7 @@ def site_of(base_url: str) -> str:
 
     parts = urlsplit(base_url)
     if not parts.scheme or not parts.netloc:
-        raise ValueError(f"Invalid base_url: {base_url}")
+        raise ValueError(f"base url needs a scheme and a host: {base_url}")
     return parts.netloc
 
 

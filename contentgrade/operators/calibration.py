@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from contentgrade.functions.scores import COMPONENTS, Weights, weighted_sum
 from contentgrade.operators.labels import match_labels
+from contentgrade.session import shared_dir
 
 
 @dataclass(frozen=True)
@@ -20,18 +21,20 @@ class Calibration:
     samples: int
 
 
-def learn_weights(results: DataFrame, labels: DataFrame) -> Calibration:
+def learn_weights(results: DataFrame, labels: DataFrame | None = None) -> Calibration:
     """Weights whose composite comes closest to the labels, with their errors on these pages.
 
-    Least squares over the five components without intercept, negative weights set to zero,
+    Without ``labels`` the results carry their ``target_score`` already. Least squares over the five components without intercept, negative weights set to zero,
     then normalised. The pages are reduced to the twenty sums of the normal equations in one
     aggregation; only those reach the driver. Components that do not vary are solved with
     minimum norm.
     """
-    matched = match_labels(results, labels)
+    matched = results if labels is None else match_labels(results, labels)
+    shared_dir(results.sparkSession)
+    # Six numbers per labelled page are kept, so that the pages are evaluated only once.
     samples = matched.select(
         *[F.col(f"score.components.{name}").alias(name) for name in COMPONENTS], "target_score"
-    )
+    ).checkpoint()
     pairs = [(a, b) for i, a in enumerate(COMPONENTS) for b in COMPONENTS[i:]]
     sums = samples.agg(
         F.count("*").alias("n"),

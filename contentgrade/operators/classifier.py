@@ -87,7 +87,7 @@ def fit_classifier(
         F.count("*").alias("n"), F.count(text).alias("texts"), F.count(score).alias("scores")
     ).first()
     if counts["n"] == 0:
-        raise ValueError("Cannot train on empty dataset")
+        raise ValueError("no rows to train on")
     if not counts["n"] == counts["texts"] == counts["scores"]:
         raise ValueError("every row needs a text and a score")
     binned = rows.withColumn("_class", bin_scores(F.col(score)).cast("double"))
@@ -98,7 +98,7 @@ def fit_classifier(
         train, test = split(binned, key, test_size, SEED, n_test=n_test)
     sizes = train.agg(F.count("*").alias("n"), F.count_distinct("_class").alias("classes")).first()
     if sizes["classes"] < 2:
-        raise ValueError("Training needs samples of at least two classes")
+        raise ValueError("training needs rows of at least two classes")
     vocabulary = fit_tfidf(train, text, max_features, stop_words)
     vectors = tfidf_transform(train, vocabulary, text).select("features", "_class")
     if sizes["n"] <= SMALL_SAMPLE:
@@ -122,7 +122,7 @@ def fit_classifier(
 def predict_scores(model: TextModel, rows: DataFrame, text: str = "text") -> DataFrame:
     """Add ``predicted_class`` and ``predicted_score``, the midpoint of that class."""
     if model is None or not model.is_trained:
-        raise RuntimeError("Model must be trained before prediction")
+        raise RuntimeError("the model is not trained")
     featured = tfidf_transform(rows, model.vocabulary, text, "_features")
     regression = model.regression.copy()
     regression.setFeaturesCol("_features")
@@ -140,7 +140,7 @@ def predict_scores(model: TextModel, rows: DataFrame, text: str = "text") -> Dat
 def save_model(model: TextModel, path: str) -> None:
     """Write the vocabulary and the regression below ``path``, replacing what is there."""
     if not model.is_trained:
-        raise RuntimeError("Cannot save untrained model")
+        raise RuntimeError("only a trained model can be saved")
     spark = SparkSession.active()
     vocabulary = model.vocabulary
     rows = [(i, *row) for i, row in enumerate(vocabulary.rows())]

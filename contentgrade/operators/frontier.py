@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from contentgrade.functions.urls import normalize_url
 from contentgrade.operators.pages import usable_fetches
-from contentgrade.operators.robots import robots_allowed
+from contentgrade.operators.robots import apply_rules
 from contentgrade.operators.skew import nth_smallest
 from contentgrade.session import shared_dir
+from contentgrade.sources.robots import agent_rules
 
 DEFAULT_MAX_DEPTH = 2
 DEFAULT_MAX_PAGES = 100
@@ -56,23 +57,25 @@ def crawl_frontier(
     """
     spark = links.sparkSession
     shared_dir(spark)
-    edges = links.select("src_url", "dst_url")
-    if fetches is not None:
-        alive = usable_fetches(fetches).select(normalize_url(F.col("url")).alias("src_url"))
-        edges = edges.join(alive.distinct(), "src_url", "left_semi")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64("dst_url"), F.lit(salts)).cast("int")
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    edges = links.select("src_url", "dst_url").distinct().withColumn("salt", salt)
+    if fetches is not None:
+        alive = usable_fetches(fetches).select(normalize_url(F.col("url")).alias("src_url"))
+        expandable = alive.distinct().withColumn("salt", every_salt)
+        edges = edges.join(expandable, ["src_url", "salt"], "left_semi")
     # Counting fills the cache, after which Spark knows its partitioning and joins in place.
     # Behind it lies a checkpoint, so a lost executor costs one shuffle and no new extraction.
-    stored = edges.distinct().checkpoint()
-    edges = stored.withColumn("salt", salt).repartition(partitions, "src_url", "salt").persist()
+    edges = edges.checkpoint().repartition(partitions, "src_url", "salt").persist()
     edges.count()
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+
+    rules = None if groups is None else agent_rules(groups, agent).checkpoint()
 
     def permitted(level: DataFrame) -> DataFrame:
-        if groups is None:
+        if rules is None:
             return level
-        return robots_allowed(level, groups, agent).filter("allowed").drop("allowed")
+        return apply_rules(level, rules).filter("allowed").drop("allowed")
 
     start = _seed_frame(spark, seeds).select(
         "url",

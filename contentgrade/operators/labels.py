@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentgrade.functions.urls import label_url_key
-from contentgrade.operators.skew import salted_lookup
+from contentgrade.operators.skew import lookup
 
 
-def match_labels(results: DataFrame, labels: DataFrame, salts: int = 8) -> DataFrame:
+def match_labels(results: DataFrame, labels: DataFrame, salts: int = 16) -> DataFrame:
     """Pages with the ``target_score`` of their label; pages without a label are dropped.
 
-    Labels are unique per key, so a url that was stored many times makes a hot key on the
-    page side only. Its rows are spread over ``salts`` partitions.
+    Works on fetches as well, which spares parsing the pages that have no label. Labels are
+    unique per key. A table of labels that is small, as human labels are, is broadcast;
+    beyond that, a url that was stored many times is spread over ``salts`` partitions.
     """
     targets = labels.select(F.col("url_key").alias("_key"), "target_score")
     keyed = results.withColumn("_key", label_url_key(F.col("url")))
-    matched = salted_lookup(keyed, targets, "_key", salts, F.col(_spread_column(results)))
+    matched = lookup(keyed, targets, "_key", salts, F.col(_spread_column(results)))
     return matched.filter(F.col("target_score").isNotNull()).drop("_key")
 
 

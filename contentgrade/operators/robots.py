@@ -6,23 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentgrade.functions import urls as U
-from contentgrade.operators.skew import salted_lookup
+from contentgrade.operators.skew import lookup
 from contentgrade.sources.robots import agent_rules
 
 
 def robots_allowed(
     urls: DataFrame, groups: DataFrame, agent: str, url: str = "url", salts: int = 16
 ) -> DataFrame:
+    """Add ``allowed`` for one agent, from the groups of ``parse_robots``."""
+    return apply_rules(urls, agent_rules(groups, agent), url, salts)
+
+
+def apply_rules(urls: DataFrame, rules: DataFrame, url: str = "url", salts: int = 16) -> DataFrame:
     """Add ``allowed``: the first rule in file order whose path is a prefix decides.
 
-    The rules of a host travel as one array, so a url meets them in its own row: nothing is
-    multiplied by the number of rules and no aggregation follows the join.
+    ``rules`` come from ``agent_rules``. The rules of a host travel as one array, so a url
+    meets them in its own row: nothing is multiplied by the number of rules and no
+    aggregation follows the join. A hot host is no problem, since the table of rules is
+    either broadcast or, if it is large, met by a salted join.
     """
-    rules = agent_rules(groups, agent).select(F.col("host").alias("_host"), "rules")
+    table = rules.select(F.col("host").alias("_host"), "rules")
     keyed = urls.withColumns(
         {"_host": U.netloc(F.col(url)), "_path": U.robots_path(F.col(url))}
     )
-    joined = salted_lookup(keyed, rules, "_host", salts, F.col(url))
+    joined = lookup(keyed, table, "_host", salts, F.col(url))
     path = F.col("_path")
     first = F.get(
         F.filter(

@@ -1,4 +1,4 @@
-"""Two helpers for data in which one key holds a large share of the rows."""
+"""Helpers for lookups and ranks on data in which one key may hold a large share of the rows."""
 
 from __future__ import annotations
 
@@ -27,6 +27,34 @@ def salted_lookup(
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")
 
 
+# A lookup table whose rows take no more than this as JSON text is sent to every executor.
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def fits_broadcast(table: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Measure a lookup table. The job reads that table only, never the rows it is for."""
+    size = table.select(F.octet_length(F.to_json(F.struct("*"))).cast("bigint").alias("size"))
+    return (size.agg(F.sum("size")).first()[0] or 0) <= max_bytes
+
+
+def lookup(
+    rows: DataFrame,
+    table: DataFrame,
+    key: str,
+    salts: int = 16,
+    spread_by: Column | None = None,
+    max_bytes: int = MAX_BROADCAST_BYTES,
+) -> DataFrame:
+    """Left join with a table of at most one row per key.
+
+    A table that was measured to be small is broadcast, so the rows, which may carry whole
+    documents, do not move. A larger one is met by a salted join.
+    """
+    if fits_broadcast(table, max_bytes):
+        return rows.join(F.broadcast(table), key, "left")
+    return salted_lookup(rows, table, key, salts, spread_by)
+
+
 def nth_smallest(
     rows: DataFrame, hashed: str, n: int | Callable[[int], int], digits: int = 3
 ) -> str | None:

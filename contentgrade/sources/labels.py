@@ -25,7 +25,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
         "file",
         F.when(
             not_array,
-            F.raise_error(F.lit("Labels file must contain a JSON array")).cast("array<string>"),
+            F.raise_error(F.lit("labels must be a JSON array")).cast("array<string>"),
         )
         .otherwise(F.col("entries"))
         .alias("entries"),
@@ -41,7 +41,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     ).filter((F.coalesce("url", F.lit("")) != "") & F.col("target_score").isNotNull())
     labels = unique_labels(fields)
     if labels.isEmpty():
-        raise ValueError("No valid labels found in file")
+        raise ValueError("no valid label entry")
     return labels
 
 

@@ -30,5 +30,5 @@ def load_weights(spark: SparkSession, path: str) -> Weights:
     """The weights of one JSON file, for use as literals in a plan."""
     row = read_weights(spark, path).first()
     if row is None:
-        raise ValueError("Weights file must contain a JSON object")
+        raise ValueError("weights must be a JSON object")
     return Weights(**row.asDict())

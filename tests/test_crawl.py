@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from contentgrade.operators.attempts import cached_fetch, final_attempts, number_attempts
 from contentgrade.operators.frontier import crawl_frontier, page_budget
 from contentgrade.operators.robots import effective_delay, robots_allowed
-from contentgrade.operators.skew import nth_smallest, salted_lookup
+from contentgrade.operators.skew import lookup, nth_smallest, salted_lookup
 from contentgrade.sources.robots import agent_rules, parse_robots, robots_rules
 
 BODIES = {
@@ -188,3 +188,7 @@ def test_salted_lookup_keeps_every_row(spark):
     table = spark.createDataFrame([("hot", 1), ("950", 2)], "k string, v int")
     joined = salted_lookup(rows, table, "k", 7, F.col("id"))
     assert joined.count() == 1000 and joined.agg(F.sum("v")).first()[0] == 902
+    small, large = lookup(rows, table, "k"), lookup(rows, table, "k", max_bytes=1)
+    assert "_salt" not in small._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in large._jdf.queryExecution().executedPlan().toString()
+    assert small.exceptAll(large.select(small.columns)).isEmpty()

@@ -17,7 +17,7 @@ from contentgrade.operators.calibration import learn_weights
 from contentgrade.operators.labels import match_labels
 from contentgrade.operators.regression import fit_evaluate, fit_ols, prepare, split
 from contentgrade.operators.tfidf import english_stop_words, fit_tfidf, tfidf_transform
-from contentgrade.plans.evaluate import evaluate_pages, train_text_model
+from contentgrade.plans.evaluate import calibrate_weights, evaluate_pages, train_text_model
 from contentgrade.sources.labels import read_labels, unique_labels
 
 
@@ -47,7 +47,7 @@ def test_read_labels(spark, tmp_path):
 
 @pytest.mark.parametrize("value", [{"url": "u", "target_score": 1}, [], [{"url": "u"}], "nonsense", "5"])
 def test_read_labels_errors(spark, tmp_path, value):
-    with pytest.raises(Exception, match="JSON array|No valid labels"):
+    with pytest.raises(Exception, match="JSON array|no valid label"):
         read_labels(spark, write(tmp_path, value))
 
 
@@ -175,7 +175,7 @@ def test_classifier_learns_and_survives_storage(spark, tmp_path):
 
 def test_classifier_errors(spark, tmp_path):
     rows = scored_texts(spark)
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no rows"):
         C.fit_classifier(rows.limit(0), key=["id"])
     with pytest.raises(ValueError, match="text and a score"):
         C.fit_classifier(rows.withColumn("target_score", F.when(F.col("id") > 3, F.col("target_score"))), key=["id"])
@@ -183,7 +183,7 @@ def test_classifier_errors(spark, tmp_path):
         C.fit_classifier(rows.filter("target_score > 50"), key=["id"])
     with pytest.raises(RuntimeError, match="trained"):
         C.predict_scores(C.TextModel(), rows)
-    with pytest.raises(RuntimeError, match="untrained"):
+    with pytest.raises(RuntimeError, match="only a trained"):
         C.save_model(C.TextModel(), str(tmp_path / "m"))
     with pytest.raises(FileNotFoundError):
         C.load_model(spark, str(tmp_path / "missing"))
@@ -203,9 +203,12 @@ def test_train_and_score_with_the_model(spark):
     )
     pages = evaluate_pages(fetches, "2024-01-01")
     found = train_text_model(pages, labels)
+    assert train_text_model(fetches, labels).model.vocabulary == found.model.vocabulary
     ml = evaluate_pages(fetches, "2024-01-01", mode="ml", model=found.model).select("score.*").collect()
     assert {(r["composite"], r["classification"]) for r in ml} == {(92.5, "Eccellente"), (25.0, "Criticità")}
     hybrid = evaluate_pages(fetches, "2024-01-01", mode="hybrid", model=found.model).select("score.*").collect()
     assert {r["components"]["ml_score"] for r in hybrid} == {92.5, 25.0}
+    calibrated = calibrate_weights(fetches, labels, "2024-01-01")
+    assert calibrated.weights == learn_weights(pages, labels).weights and calibrated.samples == 40
     with pytest.raises(ValueError, match="No pages matched"):
         train_text_model(pages, labels.withColumn("url_key", F.lit("x")))

@@ -179,7 +179,7 @@ def test_golden_page(spark):
 
 def test_mode_errors(spark):
     fetches = spark.createDataFrame([], "url string, html string, fetched_at double, error string")
-    with pytest.raises(ValueError, match="Invalid scoring mode"):
+    with pytest.raises(ValueError, match="unknown scoring mode"):
         evaluate_pages(fetches, AS_OF, mode="other")
     with pytest.raises(ValueError, match="trained model"):
         evaluate_pages(fetches, AS_OF, mode="ml")

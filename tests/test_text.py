@@ -11,6 +11,7 @@ from contentgrade.functions import text as X
 from contentgrade.operators.metrics import extract_metrics
 
 NUMBER = re.compile(r"\b\d+(?:[.,]\d+)?\b")
+# The citation patterns of the scoring rules.
 CITED = (
     re.compile(r"\b(?:ivass|eiopa|isvap|solvency\s*ii|european insurance)\b", re.I),
     re.compile(r"\bregolament[oi]|circolare|normativa\b", re.I),
