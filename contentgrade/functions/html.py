@@ -11,7 +11,7 @@ projection, which Catalyst keeps separate instead of repeating the work.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -66,48 +66,68 @@ def _codepoint_text(number: Column) -> Column:
     ).otherwise(F.lit("�"))
 
 
-def _decode_every_entity(parts: Column, table: Mapping[str, str]) -> Column:
-    """Decode the pieces between ampersands through ``table``; unknown names keep their text."""
-    named = _map_literal(table)
-
-    def decoded(name: Column) -> Column:
-        code = F.regexp_extract(name, r"\A#([0-9]+)\z", 1)
-        hexed = F.regexp_extract(name, r"\A#[xX]([0-9A-Fa-f]+)\z", 1)
-        number = F.coalesce(
-            code.try_cast("bigint"), F.conv(F.nullif(hexed, F.lit("")), 16, 10).try_cast("bigint")
-        )
-        return F.coalesce(
-            F.try_element_at(named, name),
-            F.when(number.isNotNull(), _codepoint_text(number)),
-            F.concat(F.lit("&"), name),
-        )
-
-    def piece(part: Column) -> Column:
-        name = F.regexp_extract(part, _ENTITY_NAME, 1)
-        rest = F.substr(part, F.length(name) + 1)
-        return F.when(name == "", F.concat(F.lit("&"), part)).otherwise(
-            F.concat(decoded(name), F.regexp_replace(rest, r"\A;", ""))
-        )
-
-    return F.array_join(
-        F.transform(parts, lambda part, at: F.when(at == 0, part).otherwise(piece(part))), ""
+def _character(name: Column, named: Column) -> Column:
+    """What a reference stands for, null if it is unknown."""
+    code = F.regexp_extract(name, r"\A#([0-9]+)\z", 1)
+    hexed = F.regexp_extract(name, r"\A#[xX]([0-9A-Fa-f]+)\z", 1)
+    number = F.coalesce(
+        code.try_cast("bigint"), F.conv(F.nullif(hexed, F.lit("")), 16, 10).try_cast("bigint")
+    )
+    return F.coalesce(
+        F.try_element_at(named, name), F.when(number.isNotNull(), _codepoint_text(number))
     )
 
 
-def decode_entities(text: Column, table: Mapping[str, str] | None = None) -> Column:
-    """Decode character references once each: ``&amp;lt;`` becomes ``&lt;``.
+def _decode(text: Column, piece: Callable[[Column], Column]) -> Column:
+    """Decode the pieces after each ampersand; the ``&amp;`` are put aside first.
 
-    ``&amp;`` is by far the most frequent one and is put aside first, so that few pieces are
-    left to look up. ``table`` defaults to the HTML 4 names; pass ``html.entities.html5``
-    without the semicolons for all names of HTML 5.
+    They are by far the most frequent, so few pieces are left to look up.
     """
     spared = F.replace(text, F.lit("&amp;"), F.lit(_AMPERSAND))
-    decoded = _decode_every_entity(F.split(spared, "&"), table or html4_entities())
+    decoded = F.array_join(
+        F.transform(
+            F.split(spared, "&"), lambda part, at: F.when(at == 0, part).otherwise(piece(part))
+        ),
+        "",
+    )
     return F.when(~F.contains(text, F.lit("&")), text).otherwise(
         F.replace(decoded, F.lit(_AMPERSAND), F.lit("&"))
     )
 
 
+def decode_entities(text: Column, table: Mapping[str, str] | None = None) -> Column:
+    """Decode the character references of running text once each: ``&amp;lt;`` becomes ``&lt;``.
+
+    The semicolon is optional, and an unknown name keeps its text without it. ``table``
+    defaults to the HTML 4 names; pass ``html.entities.html5`` without the semicolons for all
+    names of HTML 5.
+    """
+    named = _map_literal(table or html4_entities())
+
+    def piece(part: Column) -> Column:
+        name = F.regexp_extract(part, _ENTITY_NAME, 1)
+        rest = F.regexp_replace(F.substr(part, F.length(name) + 1), r"\A;", "")
+        known = F.coalesce(_character(name, named), F.concat(F.lit("&"), name))
+        return F.when(name == "", F.concat(F.lit("&"), part)).otherwise(F.concat(known, rest))
+
+    return _decode(text, piece)
+
+
+def decode_attribute(text: Column, table: Mapping[str, str] | None = None) -> Column:
+    """Decode an attribute value, where only a reference with a semicolon counts.
+
+    ``?a=1&lang=it`` is a query string and stays as it is.
+    """
+    named = _map_literal(table or html4_entities())
+
+    def piece(part: Column) -> Column:
+        name = F.regexp_extract(part, _ENTITY_NAME + ";", 1)
+        known = F.concat(_character(name, named), F.substr(part, F.length(name) + 2))
+        return F.coalesce(F.when(name != "", known), F.concat(F.lit("&"), part))
+
+    return _decode(text, piece)
+
+
 def visible_html(html: Column) -> Column:
     """Replace comments and the elements whose content is never text by a mark."""
     return F.regexp_replace(html, _HIDDEN, MARK)
@@ -249,4 +269,4 @@ def link_targets(visible: Column) -> Column:
     pattern = rf"(?is)<a(?=[\s/]){before}[\s/]*+href\s*+=\s*+({_VALUE}?)"
     raw = F.regexp_extract_all(visible, F.lit(pattern), F.lit(1))
     plain = F.transform(raw, unquote)
-    return F.transform(plain, lambda href: F.translate(strip(decode_entities(href)), "\t\r\n", ""))
+    return F.transform(plain, lambda href: F.translate(strip(decode_attribute(href)), "\t\r\n", ""))

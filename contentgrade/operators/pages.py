@@ -58,20 +58,20 @@ def parse_pages(
             "modified"
         ),
     )
-    short = ("title", "description", "author", "published", "modified")
+    attributes = ("description", "author", "published", "modified")
     decoded = raw.select(
         *carried,
         H.decode_entities(F.col("text"), entities).alias("text"),
+        H.decode_entities(F.col("title"), entities).alias("title"),
         F.transform(
-            F.array(*short), lambda value: H.decode_entities(value, entities)
-        ).alias("short"),
+            F.array(*attributes), lambda value: strip(H.decode_attribute(value, entities))
+        ).alias("attributes"),
     )
-    values = {name: F.element_at("short", place) for place, name in enumerate(short, start=1)}
     cleaned = decoded.select(
         *carried,
         H.joined_text(F.col("text")).alias("text"),
-        H.plain_title(values["title"]).alias("title"),
-        *[strip(values[name]).alias(name) for name in short[1:]],
+        H.plain_title(F.col("title")).alias("title"),
+        *[F.col("attributes")[at].alias(name) for at, name in enumerate(attributes)],
     )
     return cleaned.select(
         "url",

@@ -150,6 +150,20 @@ def test_entities(spark):
     assert found == cases
 
 
+def test_attribute_entities(spark):
+    cases = {
+        "?a=1&amp;lang=2&lang=it&copy=3": "?a=1&lang=2&lang=it&copy=3",
+        "&quot;A&#39;&egrave;&unknown; & B": "\"A'è&unknown; & B",
+        "&amp;amp;": "&amp;",
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "v string")
+    found = {r[0]: r[1] for r in frame.select("v", H.decode_attribute(F.col("v"))).collect()}
+    assert found == cases
+    html = '<body><a href="/p?x=1&lang=it&amp;reg=2">l</a></body>'
+    fetch = spark.createDataFrame([("https://h.example/", html, 1.0, None)], FETCH)
+    assert extract_links(fetch).first()["dst_url"] == "https://h.example/p?x=1&lang=it&reg=2"
+
+
 def test_usable_fetches_and_flags(spark):
     rows = [
         ("a", "<title>t</title><body>x</body>", 1.0, None),
