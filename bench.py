@@ -133,7 +133,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": seconds,
                 "rows_per_second": rates,
-                "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+                "sf": float(os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")),
             }
         )
     )

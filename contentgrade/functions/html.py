@@ -67,14 +67,15 @@ def _codepoint_text(number: Column) -> Column:
 
 
 def _character(name: Column, named: Column) -> Column:
-    """What a reference stands for, null if it is unknown."""
+    """What a reference stands for, null if its name is unknown; bad numbers become U+FFFD."""
     code = F.regexp_extract(name, r"\A#([0-9]+)\z", 1)
-    hexed = F.regexp_extract(name, r"\A#[xX]([0-9A-Fa-f]+)\z", 1)
+    hexed = F.regexp_extract(name, r"\A#[xX]0*([0-9A-Fa-f]{1,8})\z", 1)
     number = F.coalesce(
         code.try_cast("bigint"), F.conv(F.nullif(hexed, F.lit("")), 16, 10).try_cast("bigint")
     )
     return F.coalesce(
-        F.try_element_at(named, name), F.when(number.isNotNull(), _codepoint_text(number))
+        F.try_element_at(named, name),
+        F.when(F.startswith(name, F.lit("#")), _codepoint_text(number)),
     )
 
 

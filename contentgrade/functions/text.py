@@ -91,7 +91,7 @@ def term_counts(lowered: Column, lexicon: Sequence[str] = DOMAIN_TERMS) -> Colum
     text is read once per term.
     """
     counted = F.transform(
-        F.lit(list(dict.fromkeys(lexicon))),
+        F.lit([term for term in dict.fromkeys(lexicon) if term]),
         lambda term: F.struct(term.alias("term"), occurrences(lowered, term).alias("n")),
     )
     return F.map_from_entries(F.filter(counted, lambda entry: entry["n"] > 0))

@@ -141,6 +141,7 @@ def test_entities(spark):
         "a &amp;amp; b": "a &amp; b",
         "AT&T &unknown; & &;": "AT&T &unknown & &;",
         "&#146;&#x41;&#0;&#55296;": "’A��",
+        "&#xFFFFFFFFFFFFFFFFFFFF;&#99999999999999999999;": "��",
         "&copy 2020 &copy2020": "© 2020 &copy2020",
         "&Agrave;&agrave;": "Àà",
         "none": "none",
@@ -150,6 +151,21 @@ def test_entities(spark):
     assert found == cases
 
 
+def test_very_long_markup(spark):
+    """No pattern recurses or backtracks over long stretches."""
+    n = 200_000
+    html = (
+        "<title>t</title><body " + "a=\"b\" c=d e " * n + ">x" + "<p>" * n + "y" + "&amp;" * n + "&lt;" * 1000
+        + "<!--" + "-" * n + "-->" + " " * n + "<a" + " x='1'" * n + " href='/z'>z</a></body>"
+    )
+    row = parse(spark, html)[0]
+    assert row["text"] == "x\ny" + "&" * n + "<" * 1000 + "\nz"
+    without_body = parse(spark, "<div>" * 2000 + "x" + "</div>" * 2000)[0]
+    assert without_body["text"] == "x"
+    fetch = spark.createDataFrame([("https://h.example/", html, 1.0, None)], FETCH)
+    assert [r["dst_url"] for r in extract_links(fetch).collect()] == ["https://h.example/z"]
+
+
 def test_attribute_entities(spark):
     cases = {
         "?a=1&amp;lang=2&lang=it&copy=3": "?a=1&lang=2&lang=it&copy=3",
