@@ -37,8 +37,9 @@ def report_rows(results: DataFrame) -> DataFrame:
 
 
 def iso_text(moment: Column) -> Column:
-    """Timestamp to ISO 8601 text in UTC; microseconds only if there are any."""
-    plain = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
+    """Timestamp to ISO 8601 text in UTC, whatever the session's zone; microseconds if any."""
+    utc = F.to_utc_timestamp(moment, F.current_timezone())
+    plain = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.pmod(F.unix_micros(moment), F.lit(1_000_000))
     fraction = F.when(micros == 0, F.lit("")).otherwise(
         F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))

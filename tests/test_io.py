@@ -57,6 +57,18 @@ def test_json_report(results, tmp_path):
     assert row["metrics"]["example_values"] == [3.0] and row["score"]["classification"] == "Buono"
 
 
+def test_time_text_is_utc_in_any_session(spark):
+    moment = F.timestamp_micros(F.lit(1704067200250000))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            found = spark.range(1).select(reports.iso_text(moment)).first()[0]
+            assert found == "2024-01-01T00:00:00.250000+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_summary_file(results, tmp_path):
     reports.write_summary(results, str(tmp_path / "s"))
     (line,) = [line for part in parts(tmp_path / "s") for line in part.open()]
