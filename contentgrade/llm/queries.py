@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentgrade.llm import mixing
+from contentgrade.llm import mixing, quality
 from contentgrade.llm.common import read, stored, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,18 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, quality.fit_quality(docs, read(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
