@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentgrade.llm import mixing, quality
+from contentgrade.llm import mixing, quality, sharding
 from contentgrade.llm.common import read, stored, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,27 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = read(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(text).cast("bigint") + 1).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64("text").alias("group"),
+    )
+    placed = sharding.shard_by_bytes(rows, size=F.col("size"), group=F.col("group"), order=["doc_id"])
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
