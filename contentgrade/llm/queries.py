@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentgrade.llm import mixing, packing, quality, sharding
+from contentgrade.llm import mixing, packing, quality, sharding, warc
 from contentgrade.llm.common import read, stored, word_count
+from contentgrade.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +21,20 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_warc(read(spark, sf_dir, "pages"), path)
+    whole = warc.read_warc_chunks(spark, path, with_payload=False).filter("last")
+    return whole.select(
+        warc.page_key(F.col("record_id")).cast("bigint").alias("page_id"),
+        F.col("bytes_so_far").alias("payload_bytes"),
+        F.col("digest_so_far").alias("payload_digest"),
+        "record_type",
+        warc.page_key(F.col("refers_to")).cast("bigint").alias("refers_to"),
+    )
+
+
 @query
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
