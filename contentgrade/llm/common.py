@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,13 @@ from contentgrade.session import scratch_path, shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def visible_to_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package even where it isn't installed."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    visible_to_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentgrade.llm import mixing, packing, quality, sharding, warc
+from contentgrade.llm import extraction, mixing, packing, quality, sharding, warc
 from contentgrade.llm.common import read, stored, word_count
 from contentgrade.session import scratch_path
 
@@ -21,6 +21,12 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extraction.extract_main_text(read(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 @query
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
