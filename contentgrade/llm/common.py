@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +53,22 @@ def text_or_empty(column: str = "text") -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of equal values in the first column of a sorted stream, each as one batch."""
+    carried: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if carried and values[start] != key:
+                yield carried[0] if len(carried) == 1 else pa.concat_batches(carried)
+                carried = []
+            key = values[start]
+            carried.append(batch.slice(start, end - start))
+    if carried:
+        yield carried[0] if len(carried) == 1 else pa.concat_batches(carried)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentgrade.llm import extraction, mixing, packing, quality, sharding, warc
+from contentgrade.llm import extraction, mixing, neardup, packing, quality, sharding, warc
 from contentgrade.llm.common import read, stored, word_count
 from contentgrade.session import scratch_path
 
@@ -62,6 +62,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), words=3, similarity_percent=85)
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), capacity=1024)
