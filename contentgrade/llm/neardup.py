@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentgrade.llm.common import checkpointed, small_or_salted, sorted_groups, stored
@@ -18,6 +18,8 @@ from contentgrade.llm.components import components
 COORDINATES = 128
 # Nodes of up to so many documents are compared exhaustively.
 LEAF = 256
+# How far around the margin a document counts as both close to a pivot and apart from it.
+OVERLAP = 0.1
 MAX_LEVELS = 6
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -162,17 +164,32 @@ def _roots(representatives: DataFrame, trees: int, similarity: float) -> DataFra
 
 
 def _next_level(rows: DataFrame, similarity: float) -> DataFrame:
+    """Children of large nodes: by the difference to the pivot where the two are close.
+
+    Documents close to the pivot share most minwise values with each other, so these would
+    not part them; two of them can only be similar if they differ from the pivot in much the
+    same shingles, and the minwise values of that difference tell. All others branch by their
+    own values, and those in between do both.
+    """
+    apart = _margin(similarity) + OVERLAP
+
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            at, nodes = children(batch.column(0).to_numpy(), matrix(batch.column(3)), similarity)
-            at = pa.array(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes), batch.column(1).take(at), batch.column(2).take(at)], names=["node", "uid", "comp"]
-            )
-
-    return rows.select("node", "uid", "comp", "signature").mapInArrow(branch, "node long, uid long, comp long")
+            nodes = batch.column(0).to_numpy()
+            own = batch.column(4).to_numpy() < apart * COORDINATES
+            changed = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
+            for rows, column, twist in ((own | ~changed, 3, 0), (changed, 5, 1)):
+                part = np.flatnonzero(rows)
+                if len(part):
+                    start = mix(nodes[part].view(np.uint64) + np.uint64(twist)).view(np.int64)
+                    at, child = children(start, matrix(batch.column(column).take(pa.array(part))), similarity)
+                    at = pa.array(part[at])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(child), batch.column(1).take(at), batch.column(2).take(at)], names=["node", "uid", "comp"]
+                    )
+
+    chosen = rows.select("node", "uid", "comp", "signature", "agree", "delta")
+    return chosen.mapInArrow(branch, "node long, uid long, comp long")
 
 
 def _margin(similarity: float) -> float:
@@ -180,101 +197,178 @@ def _margin(similarity: float) -> float:
     return similarity - 4 * float(np.sqrt(similarity * (1 - similarity) / COORDINATES))
 
 
-def _leaf_pairs(leaves: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    """Candidate pairs of each node, of documents not known to be in one component.
+def _candidates(group: pa.RecordBatch, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of different components whose signatures agree enough, and how much."""
+    comps, signs = group.column(2).to_numpy(), matrix(group.column(3))
+    first, second, agree = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0, int)]
+    for i in range(len(comps) - 1):
+        same = (signs[i + 1 :] == signs[i]).sum(axis=1)
+        near = np.flatnonzero((same >= least) & (comps[i + 1 :] != comps[i]))
+        first.append(np.full(len(near), i))
+        second.append(near + i + 1)
+        agree.append(same[near])
+    return np.concatenate(first), np.concatenate(second), np.concatenate(agree)
 
-    With ``forest`` only those that a spanning forest of the most similar pairs needs, which
-    joins as many documents as all pairs would if all of them were true.
-    """
+
+def forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, comps: np.ndarray) -> list[int]:
+    """Which of the pairs, taken in an order, join components not yet joined."""
+    parent = {int(c): int(c) for c in comps}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    kept = []
+    for k in order:
+        x, y = root(int(comps[a[k]])), root(int(comps[b[k]]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept.append(int(k))
+    return kept
+
+
+def _dealt(leaves: DataFrame) -> DataFrame:
+    return leaves.select("node", "uid", "comp", "signature").repartition("node").sortWithinPartitions("node", "uid")
+
+
+def _forest_pairs(leaves: DataFrame, similarity: float) -> DataFrame:
+    """Of each node the pairs that a spanning forest of the most similar candidates needs."""
     least = _margin(similarity) * COORDINATES
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches):
-            uids, comps = group.column(1).to_numpy(), group.column(2).to_numpy()
-            signs = matrix(group.column(3))
-            first, second, agree = [], [], []
-            for i in range(len(uids) - 1):
-                same = (signs[i + 1 :] == signs[i]).sum(axis=1)
-                near = np.flatnonzero((same >= least) & (comps[i + 1 :] != comps[i]))
-                first.append(np.full(len(near), i))
-                second.append(near + i + 1)
-                agree.append(same[near])
-            if not first:
+            a, b, same = _candidates(group, least)
+            if not len(a):
                 continue
-            a, b, same = np.concatenate(first), np.concatenate(second), np.concatenate(agree)
-            if forest and len(a) > 1:
-                parent = {int(c): int(c) for c in comps}
-
-                def root(c: int) -> int:
-                    while parent[c] != c:
-                        parent[c] = c = parent[parent[c]]
-                    return c
-
-                kept = []
-                for k in np.lexsort((uids[b], uids[a], -same)):
-                    x, y = root(int(comps[a[k]])), root(int(comps[b[k]]))
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-                        kept.append(k)
-                a, b = a[kept], b[kept]
+            uids = group.column(1).to_numpy()
+            kept = forest(a, b, np.lexsort((uids[b], uids[a], -same)), group.column(2).to_numpy())
+            x, y = uids[a[kept]], uids[b[kept]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return _dealt(leaves).mapInArrow(compare, "a long, b long").filter("a != b").distinct()
+
+
+def _open_members(leaves: DataFrame, similarity: float) -> DataFrame:
+    """The documents of each node that have a candidate of another component there."""
+    least = _margin(similarity) * COORDINATES
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches):
+            a, b, _ = _candidates(group, least)
             if len(a):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(uids[a], uids[b])), pa.array(np.maximum(uids[a], uids[b]))], names=["a", "b"]
-                )
+                yield group.take(pa.array(np.unique(np.concatenate([a, b])))).select(["node", "uid", "comp"])
+
+    return _dealt(leaves).mapInArrow(compare, "node long, uid long, comp long")
+
+
+def intersections(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """How many shingles each two of the sets share, from products of blocks of their matrix."""
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n > 1
+    number = np.cumsum(shared) - 1
+    used = shared[place]
+    rows, place = rows[used], number[place[used]]
+    order = np.argsort(place, kind="stable")
+    rows, place = rows[order], place[order]
+    total = np.zeros((len(sets), len(sets)))
+    for start in range(0, int(shared.sum()), columns):
+        lo, hi = np.searchsorted(place, (start, start + columns))
+        block = np.zeros((len(sets), columns), dtype=np.float32)
+        block[rows[lo:hi], place[lo:hi] - start] = 1
+        total += block @ block.T
+    return total
+
+
+def _one_text(documents: DataFrame, wanted: DataFrame, representatives: DataFrame, text: str) -> DataFrame:
+    """Rows of ``wanted`` with the text of their uid, taken from one document of that text."""
+    wanted = stored(wanted.join(representatives.select("uid", F.col("doc_id").alias("_doc")), "uid"), "near-wanted")
+    texts = documents.select(F.xxhash64(text).alias("uid"), F.col("doc_id"), F.col(text).cast("string").alias("_text"))
+    met = small_or_salted(texts, wanted.withColumn("_wanted", F.lit(True)), "uid")
+    return met.filter(F.col("_wanted") & F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("doc_id", "_doc", "_wanted")
+
+
+def verify_nodes(
+    documents: DataFrame, members: DataFrame, representatives: DataFrame, words: int, similarity_percent: int, text: str
+) -> DataFrame:
+    """Links between documents of different components that meet in a node, on full sets.
+
+    A document goes once to each node, however many pairs it is in there, and a node returns
+    no more links than join its components.
+    """
+    met = _one_text(documents, members, representatives, text)
+    dealt = met.select("node", "uid", "comp", "_text").repartition("node").sortWithinPartitions("node", "uid")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches):
+            uids, first = np.unique(group.column(1).to_numpy(), return_index=True)
+            comps = group.column(2).to_numpy()[first]
+            sets = [shingle_set(group.column(3)[int(i)].as_py(), words) for i in first]
+            if len(sets) < 2:
+                continue
+            sizes = np.array([len(s) for s in sets])
+            both = intersections(sets)
+            linked = 100 * both >= similarity_percent * (sizes[:, None] + sizes[None, :] - both)
+            a, b = np.nonzero(np.triu(linked & (comps[:, None] != comps[None, :]), 1))
+            kept = forest(a, b, np.arange(len(a)), comps)
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(uids[a[kept]]), pa.array(uids[b[kept]])], names=["a", "b"])
 
-    dealt = leaves.select("node", "uid", "comp", "signature").repartition("node").sortWithinPartitions("node", "uid")
-    return dealt.mapInArrow(compare, "a long, b long").filter("a != b").distinct()
+    return stored(dealt.mapInArrow(check, "a long, b long"), "near-links")
 
 
-def verify(documents: DataFrame, pairs: DataFrame, words: int, similarity_percent: int, text: str, chunk: int = 256) -> DataFrame:
-    """Those pairs whose full shingle sets are similar enough.
+def verify(
+    documents: DataFrame,
+    pairs: DataFrame,
+    representatives: DataFrame,
+    words: int,
+    similarity_percent: int,
+    text: str,
+    deltas: bool = False,
+    chunk: int = 256,
+) -> DataFrame:
+    """Pairs ``a``, ``b`` with whether their full shingle sets are similar enough.
 
-    The texts of all documents in a pair are fetched once per group they are compared in. A
-    group is a document with up to ``chunk`` partners, so one with very many is compared in
-    many tasks; a task holds one set and streams the others past it.
+    A group is a document ``a`` with some of its partners, by a hash if there are more than
+    ``chunk``, so one with very many is compared in many tasks; a task holds one set and
+    streams the others past it. With ``deltas`` the signature of the shingles that are in one
+    set only comes along.
     """
-    salted = pairs.withColumn(
-        "salt", F.floor((F.row_number().over(Window.partitionBy("a", F.pmod("b", F.lit(64))).orderBy("b")) - 1) / chunk) * 64 + F.pmod("b", F.lit(64))
-    )
-    # Few partners need no more than one group.
-    few = pairs.groupBy("a").agg((F.count("*") <= chunk).alias("few"))
-    salted = salted.join(few, "a").withColumn("salt", F.when(F.col("few"), F.lit(0)).otherwise(F.col("salt")))
-    needs = stored(
-        salted.select(F.col("a").alias("uid"), F.col("a").alias("centre"), "salt", F.lit(0).alias("side"))
-        .distinct()
-        .unionByName(salted.select(F.col("b").alias("uid"), F.col("a").alias("centre"), "salt", F.lit(1).alias("side"))),
-        "near-pairs",
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).alias("salts"))
+    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
+    centres = salted.select(F.col("a").alias("uid"), F.col("a").alias("centre"), "salt", F.lit(0).alias("side")).distinct()
+    wanted = centres.unionByName(
+        salted.select(F.col("b").alias("uid"), F.col("a").alias("centre"), "salt", F.lit(1).alias("side"))
     )
-    texts = documents.select(F.xxhash64(text).alias("uid"), F.col(text).cast("string").alias("_text"))
-    met = small_or_salted(texts, needs, "uid").filter("centre is not null")
+    met = _one_text(documents, wanted, representatives, text)
     dealt = met.select(F.xxhash64("centre", "salt").alias("group"), "side", "centre", "uid", "_text")
     dealt = dealt.repartition("group").sortWithinPartitions("group", "side", "uid")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, last = None, None, None
         for batch in batches:
-            out: list[tuple[int, int]] = []
+            out: list[tuple] = []
             for key, side, centre, uid, value in zip(*batch.columns, strict=True):
                 key, uid = key.as_py(), uid.as_py()
                 if key != group:
                     group, held, last = key, None, None
                 if side.as_py() == 0:
-                    if held is None:
-                        held = shingle_set(value.as_py(), words)
+                    held = shingle_set(value.as_py(), words) if held is None else held
                     continue
                 if uid == last:
                     continue
                 last = uid
                 other = shingle_set(value.as_py(), words)
-                if 100 * min(len(held), len(other)) < similarity_percent * max(len(held), len(other)):
-                    continue
                 both = len(np.intersect1d(held, other, assume_unique=True))
-                if 100 * both >= similarity_percent * (len(held) + len(other) - both):
-                    out.append((centre.as_py(), uid))
+                linked = 100 * both >= similarity_percent * (len(held) + len(other) - both)
+                delta = signature(np.setxor1d(held, other, assume_unique=True)).tobytes() if deltas else None
+                out.append((centre.as_py(), uid, linked, delta))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+                columns = zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["a", "b", "linked", "delta"])
 
-    return stored(dealt.mapInArrow(check, "a long, b long"), "near-links")
+    return stored(dealt.mapInArrow(check, "a long, b long, linked boolean, delta binary"), "near-verified")
 
 
 def _agreement(rows: DataFrame) -> DataFrame:
@@ -303,8 +397,8 @@ def near_links(
     component is done. A small node is a leaf and is compared exhaustively. In a large node
     the smallest document is compared with all others and leaves; those confirmed to be
     similar to it share its component from there on; and the node branches by chosen minwise
-    values. So a group of copies, however large, costs a comparison per document and level,
-    not per pair. Nodes still large at the last level are cut into blocks, and every pair of
+    values, of their difference for those close to it. So a group of copies, however large,
+    costs a comparison per document and level, not per pair. Nodes still large at the last level are cut into blocks, and every pair of
     blocks is a leaf.
     """
     similarity = similarity_percent / 100
@@ -346,10 +440,11 @@ def near_links(
         inside = rows.join(F.broadcast(pivots.select("node")) if large.count() < 100_000 else pivots.select("node"), "node")
         met = small_or_salted(inside.join(signs, "uid"), pivots, "node").filter("uid != pivot")
         met = stored(_agreement(met).drop("pivot_signature"), "near-level")
-        pairs = met.filter(F.col("agree") >= _margin(similarity) * COORDINATES).filter("comp != pivot_comp").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
-        found = verify(documents, pairs, words, similarity_percent, text)
-        links.append(found)
-        known = found.select(F.col("a").alias("pivot"), F.col("b").alias("uid"), F.lit(True).alias("linked"))
+        close = F.col("agree") >= (_margin(similarity) - OVERLAP) * COORDINATES
+        pairs = met.filter(close).select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
+        found = verify(documents, pairs, representatives, words, similarity_percent, text, deltas=True)
+        links.append(found.filter("linked").select("a", "b"))
+        known = found.select(F.col("a").alias("pivot"), F.col("b").alias("uid"), "linked", "delta")
         met = met.join(known, ["pivot", "uid"], "left").withColumn(
             "comp", F.when(F.col("linked"), F.col("pivot_comp")).otherwise(F.col("comp"))
         )
@@ -358,8 +453,9 @@ def near_links(
     for more in leaves[1:]:
         small = small.unionByName(more)
     small = stored(small, "near-leaves")
-    pairs = stored(_leaf_pairs(small.join(signs, "uid"), similarity, forest=True), "near-forest")
-    links.append(verify(documents, pairs, words, similarity_percent, text))
+    pairs = stored(_forest_pairs(small.join(signs, "uid"), similarity), "near-forest")
+    checked = verify(documents, pairs, representatives, words, similarity_percent, text)
+    links.append(checked.filter("linked").select("a", "b"))
     found = links[0]
     for more in links[1:]:
         found = found.unionByName(more)
@@ -367,9 +463,8 @@ def near_links(
     labels = components(found)
     labelled = small.drop("comp").join(labels, "uid", "left").withColumn("comp", F.coalesce("label", "uid")).drop("label")
     open_nodes = labelled.groupBy("node").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("node")
-    rest = _leaf_pairs(labelled.join(open_nodes, "node").join(signs, "uid"), similarity, forest=False)
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
-    return found.unionByName(verify(documents, rest, words, similarity_percent, text))
+    members = stored(_open_members(labelled.join(open_nodes, "node").join(signs, "uid"), similarity), "near-open")
+    return found.unionByName(verify_nodes(documents, members, representatives, words, similarity_percent, text))
 
 
 def near_duplicates(
@@ -398,7 +493,8 @@ def near_duplicates(
     ids = stored(ids, "near-sets")
     chosen = full.join(ids.select("set_hash", F.col("uid").alias("_uid")), "set_hash").filter("uid = _uid")
     representatives = stored(
-        chosen.groupBy("uid").agg(F.first("signature").alias("signature")), "near-representatives"
+        chosen.groupBy("uid").agg(F.first("signature").alias("signature"), F.min("doc_id").alias("doc_id")),
+        "near-representatives",
     )
     links = near_links(documents, representatives, words, similarity_percent, trees, text)
     labels = components(links)
