@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentgrade.llm import ann, extraction, mixing, neardup, packing, quality, sharding, topk, warc
+from contentgrade.llm import ann, extraction, linededup, mixing, neardup, packing, quality, sharding, topk, warc
 from contentgrade.llm.common import read, stored, word_count
 from contentgrade.session import scratch_path
 
@@ -62,6 +62,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_classes(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(read(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0, k=20)
