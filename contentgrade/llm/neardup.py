@@ -17,10 +17,10 @@ from contentgrade.llm.components import components
 
 COORDINATES = 128
 # Nodes of up to so many documents are compared exhaustively.
-LEAF = 256
+LEAF = 512
 # How far around the margin a document counts as both close to a pivot and apart from it.
 OVERLAP = 0.1
-MAX_LEVELS = 6
+MAX_LEVELS = 5
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -103,9 +103,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (smallest >> np.uint64(32)).astype("<u4")
 
 
-def matrix(column: pa.Array) -> np.ndarray:
+def brief(signs: np.ndarray) -> np.ndarray:
+    """A byte of each coordinate, enough to compare two documents: one in 256 agree by chance."""
+    return signs.astype(np.uint8)
+
+
+def matrix(column: pa.Array, kind: str = "<u4") -> np.ndarray:
     """Signatures of a binary column as rows."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, COORDINATES)
 
 
 def children(nodes: np.ndarray, signatures: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -127,24 +132,26 @@ def children(nodes: np.ndarray, signatures: np.ndarray, similarity: float) -> tu
 
 
 def _signed(documents: DataFrame, words: int, text: str) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the set, a hash of the text, and the signature."""
+    """doc_id, n_shingles, a 128-bit hash of the set, a hash of the text, the signature and its brief form."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, group, signs = [], [], []
+            n, group, signs, short = [], [], [], []
             for value in batch.column(2):
                 shingles = shingle_set(value.as_py(), words)
                 n.append(len(shingles))
                 group.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
-                signs.append(signature(shingles).tobytes() if len(shingles) else None)
+                signed = signature(shingles) if len(shingles) else None
+                signs.append(None if signed is None else signed.tobytes())
+                short.append(None if signed is None else brief(signed).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(group, pa.binary()), pa.array(signs, pa.binary())],
-                names=["doc_id", "uid", "n_shingles", "set_hash", "signature"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (group, signs, short)]],
+                names=["doc_id", "uid", "n_shingles", "set_hash", "signature", "brief"],
             )
 
     rows = documents.select("doc_id", F.xxhash64(text).alias("uid"), F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(sign, f"doc_id {kind}, uid long, n_shingles long, set_hash binary, signature binary")
+    return rows.mapInArrow(sign, f"doc_id {kind}, uid long, n_shingles long, set_hash binary, signature binary, brief binary")
 
 
 def _roots(representatives: DataFrame, trees: int, similarity: float) -> DataFrame:
@@ -199,7 +206,7 @@ def _margin(similarity: float) -> float:
 
 def _candidates(group: pa.RecordBatch, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows of different components whose signatures agree enough, and how much."""
-    comps, signs = group.column(2).to_numpy(), matrix(group.column(3))
+    comps, signs = group.column(2).to_numpy(), matrix(group.column(3), "u1")
     first, second, agree = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0, int)]
     for i in range(len(comps) - 1):
         same = (signs[i + 1 :] == signs[i]).sum(axis=1)
@@ -229,7 +236,7 @@ def forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, comps: np.ndarray) -
 
 
 def _dealt(leaves: DataFrame) -> DataFrame:
-    return leaves.select("node", "uid", "comp", "signature").repartition("node").sortWithinPartitions("node", "uid")
+    return leaves.select("node", "uid", "comp", "brief").repartition("node").sortWithinPartitions("node", "uid")
 
 
 def _forest_pairs(leaves: DataFrame, similarity: float) -> DataFrame:
@@ -371,6 +378,28 @@ def verify(
     return stored(dealt.mapInArrow(check, "a long, b long, linked boolean, delta binary"), "near-verified")
 
 
+def _pivots(inside: DataFrame, sample: int = 64) -> DataFrame:
+    """Of each large node the document of a sample by hash that agrees most with the others.
+
+    It is a guess at what copies were made from. Any pivot is right; one from the middle is
+    similar to more documents, and they differ from it in fewer shingles.
+    """
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches):
+            signs = matrix(group.column(3))
+            agree = np.array([(signs == s).sum() for s in signs])
+            at = int(agree.argmax())
+            yield group.slice(at, 1)
+
+    few = inside.filter(F.pmod(F.xxhash64("node", "uid"), F.ceil(F.col("n") / sample)) == 0)
+    few = few.select("node", "uid", "comp", "signature").repartition("node").sortWithinPartitions("node", "uid")
+    chosen = few.mapInArrow(choose, "node long, uid long, comp long, signature binary")
+    return chosen.select(
+        "node", F.col("uid").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("signature").alias("pivot_signature")
+    )
+
+
 def _agreement(rows: DataFrame) -> DataFrame:
     """Add in how many coordinates ``signature`` and ``pivot_signature`` agree."""
 
@@ -395,14 +424,14 @@ def near_links(
 
     All trees grow together, a level at a time. A node whose documents are known to be in one
     component is done. A small node is a leaf and is compared exhaustively. In a large node
-    the smallest document is compared with all others and leaves; those confirmed to be
+    a pivot, one of its documents, is compared with all others and leaves; those confirmed to be
     similar to it share its component from there on; and the node branches by chosen minwise
     values, of their difference for those close to it. So a group of copies, however large,
     costs a comparison per document and level, not per pair. Nodes still large at the last level are cut into blocks, and every pair of
     blocks is a leaf.
     """
     similarity = similarity_percent / 100
-    signs = representatives.select("uid", "signature")
+    signs, briefs = representatives.select("uid", "signature"), representatives.select("uid", "brief")
     rows = stored(_roots(representatives, trees, similarity), "near-nodes").withColumn("comp", F.col("uid"))
     leaves: list[DataFrame] = []
     links: list[DataFrame] = []
@@ -413,10 +442,9 @@ def near_links(
                 F.count("*").alias("n"),
                 F.min("comp").alias("c0"),
                 F.max("comp").alias("c1"),
-                F.min(F.struct("uid", "comp")).alias("pivot"),
             )
             .filter("n > 1 and c0 != c1")
-            .select("node", "n", F.col("pivot.uid").alias("pivot"), F.col("pivot.comp").alias("pivot_comp"))
+            .select("node", "n")
         )
         nodes = checkpointed(nodes)
         leaves.append(rows.join(nodes.filter(F.col("n") <= LEAF).select("node"), "node"))
@@ -431,14 +459,11 @@ def near_links(
             pair = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
             leaves.append(cut.select(pair.alias("node"), "uid", "comp"))
             break
-        pivots = stored(
-            large.join(signs, large["pivot"] == signs["uid"]).select(
-                "node", "pivot", "pivot_comp", F.col("signature").alias("pivot_signature")
-            ),
-            "near-pivots",
-        )
-        inside = rows.join(F.broadcast(pivots.select("node")) if large.count() < 100_000 else pivots.select("node"), "node")
-        met = small_or_salted(inside.join(signs, "uid"), pivots, "node").filter("uid != pivot")
+        inside = small_or_salted(rows, large.withColumn("_large", F.lit(True)), "node").filter("_large").drop("_large")
+        inside = stored(inside.join(signs, "uid"), "near-inside")
+        pivots = stored(_pivots(inside), "near-pivots")
+        inside = inside.drop("n")
+        met = small_or_salted(inside, pivots, "node").filter("uid != pivot")
         met = stored(_agreement(met).drop("pivot_signature"), "near-level")
         close = F.col("agree") >= (_margin(similarity) - OVERLAP) * COORDINATES
         pairs = met.filter(close).select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
@@ -453,7 +478,7 @@ def near_links(
     for more in leaves[1:]:
         small = small.unionByName(more)
     small = stored(small, "near-leaves")
-    pairs = stored(_forest_pairs(small.join(signs, "uid"), similarity), "near-forest")
+    pairs = stored(_forest_pairs(small.join(briefs, "uid"), similarity), "near-forest")
     checked = verify(documents, pairs, representatives, words, similarity_percent, text)
     links.append(checked.filter("linked").select("a", "b"))
     found = links[0]
@@ -463,7 +488,7 @@ def near_links(
     labels = components(found)
     labelled = small.drop("comp").join(labels, "uid", "left").withColumn("comp", F.coalesce("label", "uid")).drop("label")
     open_nodes = labelled.groupBy("node").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("node")
-    members = stored(_open_members(labelled.join(open_nodes, "node").join(signs, "uid"), similarity), "near-open")
+    members = stored(_open_members(labelled.join(open_nodes, "node").join(briefs, "uid"), similarity), "near-open")
     return found.unionByName(verify_nodes(documents, members, representatives, words, similarity_percent, text))
 
 
@@ -493,7 +518,9 @@ def near_duplicates(
     ids = stored(ids, "near-sets")
     chosen = full.join(ids.select("set_hash", F.col("uid").alias("_uid")), "set_hash").filter("uid = _uid")
     representatives = stored(
-        chosen.groupBy("uid").agg(F.first("signature").alias("signature"), F.min("doc_id").alias("doc_id")),
+        chosen.groupBy("uid").agg(
+            F.first("signature").alias("signature"), F.first("brief").alias("brief"), F.min("doc_id").alias("doc_id")
+        ),
         "near-representatives",
     )
     links = near_links(documents, representatives, words, similarity_percent, trees, text)
