@@ -34,7 +34,7 @@ BLOCKS = frozenset(
     "tbody tfoot thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-SPACES = frozenset("br td th wbr img input".split()) - {"wbr"}
+SPACES = frozenset("br td th img input".split())
 OUTSIDE = frozenset("head nav footer aside form menu dialog button select fieldset header object audio video canvas".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
 OUTSIDE_WORDS = frozenset(
@@ -245,9 +245,9 @@ def parse(html: str) -> tuple[list[Piece], list[int]]:
         css, words, role = _marks(tag)
         here = _hashed(path, value, css)
         tokens.append(here)
+        if value in SPACES:
+            pieces.append(Piece(" ", path, block, article, link, outside))
         if value in VOID or tag.endswith("/>") and value not in BLOCKS:
-            if value in SPACES:
-                pieces.append(Piece(" ", path, block, article, link, outside))
             continue
         if value == "header" and article and not outside:
             header = outside = True

@@ -155,7 +155,8 @@ def mix_sources(
 
     Adds ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_times``, which replace
     columns of those names; all others stay. Sizes must not be negative. A null size counts
-    as 0, a null source is a source, rows of equal keys are taken alike, an empty table gives
+    as 0, the documents of a source without words are taken once, a null source is a source, rows
+    of equal keys are taken alike, an empty table gives
     an empty table. Nothing but sums over sources reaches the driver.
     """
     kept = [c for c in docs.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_times")]
