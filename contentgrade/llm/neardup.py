@@ -18,6 +18,8 @@ from contentgrade.llm.components import components
 COORDINATES = 128
 # Nodes of up to so many documents are compared exhaustively.
 LEAF = 512
+# Nodes of up to so many leaves are cut into blocks, of which every two are a leaf.
+BLOCKED = 4
 # How far around the margin a document counts as both close to a pivot and apart from it.
 OVERLAP = 0.1
 MAX_LEVELS = 5
@@ -412,6 +414,15 @@ def _agreement(rows: DataFrame) -> DataFrame:
     return rows.withColumn("agree", agree("signature", "pivot_signature"))
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Cut nodes of ``n`` documents into blocks of half a leaf, and name each pair of blocks."""
+    blocks = F.ceil(F.col("n") / (LEAF / 2)).cast("int")
+    cut = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("uid"), blocks).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
+    return cut.select(pair.alias("node"), "uid", "comp")
+
+
 def near_links(
     documents: DataFrame,
     representatives: DataFrame,
@@ -427,8 +438,8 @@ def near_links(
     a pivot, one of its documents, is compared with all others and leaves; those confirmed to be
     similar to it share its component from there on; and the node branches by chosen minwise
     values, of their difference for those close to it. So a group of copies, however large,
-    costs a comparison per document and level, not per pair. Nodes still large at the last level are cut into blocks, and every pair of
-    blocks is a leaf.
+    costs a comparison per document and level, not per pair. Nodes of a few leaves, and those
+    still large at the last level, are cut into blocks, and every pair of blocks is a leaf.
     """
     similarity = similarity_percent / 100
     signs, briefs = representatives.select("uid", "signature"), representatives.select("uid", "brief")
@@ -448,16 +459,13 @@ def near_links(
         )
         nodes = checkpointed(nodes)
         leaves.append(rows.join(nodes.filter(F.col("n") <= LEAF).select("node"), "node"))
-        large = nodes.filter(F.col("n") > LEAF)
-        if large.isEmpty():
-            break
-        if level == MAX_LEVELS:
-            blocks = F.ceil(F.col("n") / (LEAF / 2)).cast("int")
-            cut = rows.join(large.select("node", blocks.alias("blocks")), "node")
-            block = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
-            cut = cut.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            pair = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
-            leaves.append(cut.select(pair.alias("node"), "uid", "comp"))
+        large = nodes.filter(F.col("n") > BLOCKED * LEAF)
+        last = level == MAX_LEVELS or large.isEmpty()
+        middle = nodes.filter(F.col("n") > LEAF)
+        if not last:
+            middle = middle.filter(F.col("n") <= BLOCKED * LEAF)
+        leaves.append(_blocks(rows.join(middle, "node")))
+        if last:
             break
         inside = small_or_salted(rows, large.withColumn("_large", F.lit(True)), "node").filter("_large").drop("_large")
         inside = stored(inside.join(signs, "uid"), "near-inside")
