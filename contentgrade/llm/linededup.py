@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentgrade.llm.common import small_or_salted, stored
+from contentgrade.llm.common import WORD, small_or_salted, stored
 from contentgrade.llm.components import components
 
 MAX_EDITS = 2
@@ -23,29 +24,38 @@ INDEXED, PROBING, BOTH = 0, 1, 2
 PAIRS = 2_048
 PRODUCTS = 1 << 22
 
-_BITS = np.left_shift(np.int32(1), np.random.Generator(np.random.PCG64(11)).integers(0, 31, 4099).astype(np.int32))
+# A line's mark has its role in two bits, then parities of characters and of pairs of them.
+CHAR_BITS, PAIR_BITS = 24, 38
+_random = np.random.Generator(np.random.PCG64(11))
+_CHARS = np.left_shift(np.int64(1), _random.integers(0, CHAR_BITS, 4099))
+_PAIRS = np.left_shift(np.int64(1), _random.integers(CHAR_BITS, CHAR_BITS + PAIR_BITS, 4099))
+_CHAR_MASK = np.int64((1 << CHAR_BITS) - 1)
+_PAIR_MASK = np.int64(((1 << PAIR_BITS) - 1) << CHAR_BITS)
+BLANKS = " \t\n\r\x0b\x0c"
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
     """Start and size of the ``edits`` + 1 nearly equal parts of a line; the last are larger."""
     small, more = divmod(length, edits + 1)
-    sizes = [small] * (edits + 1 - more) + [small + 1] * more
-    starts = np.cumsum([0, *sizes[:-1]]).tolist()
-    return list(zip(starts, sizes, strict=True))
+    out, start = [], 0
+    for i in range(edits + 1):
+        size = small + (i > edits - more)
+        out.append((start, size))
+        start += size
+    return out
 
 
-def keys_of(line: str, edits: int) -> list[tuple[int, int]]:
-    """Hashes of what a line is found by and looks for, with their roles.
+@lru_cache(maxsize=8192)
+def substrings(n: int, edits: int) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """Where a line of ``n`` characters is found by and looks for others, and the roles.
 
     A line that is at most ``edits`` away from a shorter or equally long one contains one of
     that one's segments, unchanged. Before the i-th segment there are at most i - 1 edits and
     after it at most ``edits`` + 1 - i if it is the first (or the last) to match, so only
-    substrings that begin so near to the segment's own place are looked for. A hash covers
-    the other line's length, the segment's number and its text.
+    substrings that begin so near to the segment's own place are looked for. A place is first
+    and last character and a seed for the other line's length and the segment's number.
     """
-    code = line.encode("utf-32-le", "surrogatepass")
-    n = len(code) // 4
-    out = []
+    places, roles = [], []
     for gap in range(edits + 1):
         length = n - gap
         if length < MIN_CHARS:
@@ -53,17 +63,38 @@ def keys_of(line: str, edits: int) -> list[tuple[int, int]]:
         for i, (start, size) in enumerate(segments(length, edits)):
             first = max(start - i, start + gap - (edits - i), 0)
             last = min(start + i, start + gap + (edits - i), n - size)
-            seed = (length * (edits + 1) + i) & 0xFFFFFFFFFFFFFFFF
             for at in range(first, last + 1):
-                own = gap == 0 and at == start
-                out.append((xxhash.xxh64_intdigest(code[4 * at : 4 * (at + size)], seed), BOTH if own else PROBING))
-    return out
+                places.append((at, at + size, length * (edits + 1) + i))
+                roles.append(BOTH if gap == 0 and at == start else PROBING)
+    return places, roles
+
+
+def keys_of(line: str, edits: int) -> list[tuple[int, int]]:
+    """Hashes of the substrings of a line with their roles."""
+    code = line.encode("utf-32-le", "surrogatepass")
+    places, roles = substrings(len(code) // 4, edits)
+    digest = xxhash.xxh64_intdigest
+    return [(digest(code[4 * a : 4 * b], seed), role) for (a, b, seed), role in zip(places, roles, strict=True)]
+
 
+def parities(line: str) -> int:
+    """62 bits, each the parity of how often some characters, or neighbouring two, occur.
 
-def parity(line: str) -> int:
-    """31 bits, each the parity of how often some characters occur: an edit flips two at most."""
+    An edit flips at most two of the first kind, and four of the second.
+    """
     code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return int(np.bitwise_xor.reduce(_BITS[code % np.uint32(len(_BITS))])) if len(code) else 0
+    if not len(code):
+        return 0
+    chars = np.bitwise_xor.reduce(_CHARS[code % np.uint32(4099)])
+    pairs = np.bitwise_xor.reduce(_PAIRS[(code[:-1] * np.uint32(31) + code[1:]) % np.uint32(4099)]) if len(code) > 1 else 0
+    return int(chars) | int(pairs)
+
+
+def near_parities(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+    """Whether lines of such parities can be ``edits`` apart."""
+    apart = a ^ b
+    chars = np.bitwise_count(apart & _CHAR_MASK) <= 2 * edits
+    return chars & (np.bitwise_count(apart & _PAIR_MASK) <= 4 * edits)
 
 
 def line_hash(line: str) -> int:
@@ -134,22 +165,22 @@ def _keys(docs: DataFrame, edits: int, text: str) -> DataFrame:
         key, owner, marks = [], [], []
 
         def batch_of() -> pa.RecordBatch:
-            keys = np.array(key, dtype=np.uint64).view(np.int64)
+            keys, roles = (np.array(x, dtype=np.uint64).view(np.int64) for x in (key, marks))
             return pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(owner, pa.int64()), pa.array(marks, pa.int64())], names=["key", "hash", "mark"]
+                [pa.array(keys), pa.array(owner, pa.int64()), pa.array(roles)], names=["key", "hash", "mark"]
             )
 
         for batch in batches:
             for value in batch.column(0):
                 for line in (value.as_py() or "").split("\n"):
-                    if len(line) < MIN_CHARS or line.isspace():
+                    if len(line) < MIN_CHARS or not line.strip(BLANKS):
                         continue
                     hashed = line_hash(line)
                     if hashed in seen:
                         continue
                     seen.add(hashed)
                     found = keys_of(line, edits)
-                    bits = parity(line) * 4
+                    bits = parities(line) << 2
                     key += [k for k, _ in found]
                     marks += [bits + role for _, role in found]
                     owner += [hashed] * len(found)
@@ -166,13 +197,13 @@ def _bucket_pairs(hashes: np.ndarray, marks: np.ndarray, edits: int) -> Iterator
     """Candidates of one bucket: an indexed and a probing line of nearly the same parities."""
     _, first = np.unique(np.stack([hashes, marks], axis=1), axis=0, return_index=True)
     hashes, marks = hashes[first], marks[first]
-    role, bits = marks & 3, (marks >> 2).astype(np.int64)
+    role, bits = marks & 3, (marks >> 2) & (_CHAR_MASK | _PAIR_MASK)
     held, asking = np.flatnonzero(role != PROBING), np.flatnonzero(role != INDEXED)
     step = max(1, PRODUCTS // max(len(asking), 1))
     for start in range(0, len(held), step):
         part = held[start : start + step]
-        apart = np.bitwise_count(bits[part][:, None] ^ bits[asking][None, :])
-        i, p = np.nonzero((apart <= 2 * edits) & (hashes[part][:, None] != hashes[asking][None, :]))
+        near = near_parities(bits[part][:, None], bits[asking][None, :], edits)
+        i, p = np.nonzero(near & (hashes[part][:, None] != hashes[asking][None, :]))
         if len(i):
             a, b = hashes[part[i]], hashes[asking[p]]
             yield np.minimum(a, b), np.maximum(a, b)
@@ -260,7 +291,7 @@ def line_classes(docs: DataFrame, edits: int = MAX_EDITS, text: str = "text") ->
     Rows of equal doc_id and text are one document, of which both are kept.
     """
     lines = _lines(docs, text)
-    blank = F.trim(F.translate("line", "\t\n\r\x0b\x0c", "     ")) == ""
+    blank = ~F.col("line").rlike(WORD)
     occurring = stored(lines.select("doc_id", "line_no", "hash", blank.alias("blank")), "line-places")
     links = line_links(docs, edits, text)
     labels = components(links)
