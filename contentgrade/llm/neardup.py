@@ -17,9 +17,9 @@ from contentgrade.llm.components import components
 
 COORDINATES = 128
 # Nodes of up to so many documents are compared exhaustively.
-LEAF = 512
+LEAF = 1024
 # Nodes of up to so many leaves are cut into blocks, of which every two are a leaf.
-BLOCKED = 4
+BLOCKED = 2
 # How far around the margin a document counts as both close to a pivot and apart from it.
 OVERLAP = 0.1
 MAX_LEVELS = 5
@@ -271,22 +271,32 @@ def _open_members(leaves: DataFrame, similarity: float) -> DataFrame:
     return _dealt(leaves).mapInArrow(compare, "node long, uid long, comp long")
 
 
-def intersections(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
-    """How many shingles each two of the sets share, from products of blocks of their matrix."""
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = n > 1
-    number = np.cumsum(shared) - 1
-    used = shared[place]
-    rows, place = rows[used], number[place[used]]
-    order = np.argsort(place, kind="stable")
-    rows, place = rows[order], place[order]
+def intersections(sets: list[np.ndarray], columns: int = 8192, held: int = 1 << 21) -> np.ndarray:
+    """How many shingles each two of the sorted sets share, from products of blocks of their matrix.
+
+    The hashes are taken range by range, so that about ``held`` of them are looked at at once.
+    """
     total = np.zeros((len(sets), len(sets)))
-    for start in range(0, int(shared.sum()), columns):
-        lo, hi = np.searchsorted(place, (start, start + columns))
-        block = np.zeros((len(sets), columns), dtype=np.float32)
-        block[rows[lo:hi], place[lo:hi] - start] = 1
-        total += block @ block.T
+    ranges = max(1, -(-sum(map(len, sets)) // held))
+    for k in range(ranges):
+        low, high = ((1 << 64) * x // ranges for x in (k, k + 1))
+        parts = [
+            s[np.searchsorted(s, np.uint64(low)) : np.searchsorted(s, np.uint64(high)) if k + 1 < ranges else len(s)]
+            for s in sets
+        ]
+        rows = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        _, place, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        shared = n > 1
+        number = np.cumsum(shared) - 1
+        used = shared[place]
+        rows, place = rows[used], number[place[used]]
+        order = np.argsort(place, kind="stable")
+        rows, place = rows[order], place[order]
+        for start in range(0, int(shared.sum()), columns):
+            lo, hi = np.searchsorted(place, (start, start + columns))
+            block = np.zeros((len(sets), columns), dtype=np.float32)
+            block[rows[lo:hi], place[lo:hi] - start] = 1
+            total += block @ block.T
     return total
 
 

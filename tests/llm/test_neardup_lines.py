@@ -109,8 +109,10 @@ def test_intersections():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 500, 200).astype(np.uint64)) for _ in range(9)]
     expected = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
-    for columns in (7, 8192):
-        found = neardup.intersections(sets, columns)
+    sets = [s * np.uint64(0x9E3779B97F4A7C15) for s in sets]
+    sets = [np.sort(s) for s in sets]
+    for columns, held in ((7, 1 << 21), (8192, 1 << 21), (8192, 100)):
+        found = neardup.intersections(sets, columns, held)
         off = ~np.eye(9, dtype=bool)
         assert (found[off] == np.array(expected)[off]).all()
 
