@@ -17,8 +17,18 @@ from contentgrade.session import scratch_path, shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+# Rows hold whole documents, so a batch for a Python worker has fewer than Spark's 10,000.
+BATCH_ROWS = "1000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def visible_to_workers(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package even where it isn't installed."""
+    """Settings for Python workers: small batches, unless the session asks for others.
+
+    Workers on this machine can import the package even where it isn't installed.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 

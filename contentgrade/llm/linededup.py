@@ -265,7 +265,7 @@ def line_links(docs: DataFrame, edits: int = MAX_EDITS, text: str = "text") -> D
             at = 0
             while at < len(order):
                 # Lanes of nearly one length, and fewer of them where lines are long.
-                size = max(1, min(PAIRS, (1 << 24) // (len(lines[order[at]][0]) + 64)))
+                size = max(1, min(PAIRS, (1 << 22) // (len(lines[order[at]][0]) + 64)))
                 part = order[at : at + size]
                 found = edit_distances([lines[i] for i in part], edits)
                 near += [i for i, d in zip(part, found, strict=True) if d <= edits]

@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ class Tokens:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path = path
         with open(path, encoding="utf-8") as file:
             stored = json.load(file)
         self.special = [t["content"] for t in stored.get("added_tokens", ())]
@@ -56,7 +57,13 @@ class Tokens:
             if word not in self.special
         }
         self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.own = Tokenizer.from_file(path)
+
+    @cached_property
+    def own(self):
+        """The file's own library, loaded when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def plain(self, text: str) -> bool:
         return not any(s in text for s in self.special) and (text.isascii() or max(text) <= "￿")
