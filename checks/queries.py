@@ -378,6 +378,12 @@ def _(spark, sf_dir):
     return rows.select("page_id", reports.iso_text(moment).alias("fetched_at"))
 
 
+@query("parse_filtered")
+def _(spark, sf_dir):
+    rows = parsed(spark, sf_dir).filter("title != '' and text like '%the%' and length(text) > 500")
+    return rows.select("url", "title", F.md5("text").alias("text_md5"))
+
+
 @query("parse_pages")
 def _(spark, sf_dir):
     return parsed(spark, sf_dir).select(
@@ -639,6 +645,25 @@ def _(spark, sf_dir):
     )
 
 
+def _good(rows: DataFrame) -> DataFrame:
+    good = (F.col("score.composite") >= 35) & (F.col("score.classification") != "Discreto")
+    return rows.filter(good & (F.col("metrics.word_count") > 60) & F.col("text").contains("the"))
+
+
+@query("evaluate_filtered")
+def _(spark, sf_dir):
+    """What users keep: pages above a composite, of some classes and long enough."""
+    return _good(evaluated(spark, sf_dir)).select("url", "score.composite", "score.classification", "metrics.word_count")
+
+
+@query("evaluate_stream_filtered")
+def _(spark, sf_dir):
+    path = scratch_path(spark, "streamed-filtered")
+    rows = _good(_streamed(spark, sf_dir)).select("url", "score.composite", "score.classification", "metrics.word_count")
+    streaming.write_results(rows, path, scratch_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(path)
+
+
 @query("evaluate_pages_defaults")
 def _(spark, sf_dir):
     """The default lexicon and citation patterns."""
@@ -824,7 +849,7 @@ def _(spark, sf_dir):
 @query("fit_classifier")
 def _(spark, sf_dir):
     rows = X.text_labels(spark, sf_dir)
-    found = classifier.fit_classifier(rows, key=["doc_id"])
+    found = classifier.fit_classifier(rows, key=["doc_id"], partitions=1)
     return rows.agg(F.count("*").alias("labelled")).select(
         F.lit(found.mae).alias("mae"),
         F.lit(found.mse).alias("mse"),
@@ -836,7 +861,7 @@ def _(spark, sf_dir):
 
 @query("predict_scores")
 def _(spark, sf_dir):
-    found = classifier.fit_classifier(X.text_labels(spark, sf_dir), key=["doc_id"])
+    found = classifier.fit_classifier(X.text_labels(spark, sf_dir), key=["doc_id"], partitions=1)
     predicted = classifier.predict_scores(found.model, X.documents(spark, sf_dir))
     return predicted.select("doc_id", "predicted_class", "predicted_score")
 
@@ -845,7 +870,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Scores of a model that was written and read back."""
     path = scratch_path(spark, "model")
-    found = classifier.fit_classifier(X.text_labels(spark, sf_dir), key=["doc_id"])
+    found = classifier.fit_classifier(X.text_labels(spark, sf_dir), key=["doc_id"], partitions=1)
     classifier.save_model(found.model, path)
     predicted = classifier.predict_scores(
         classifier.load_model(spark, path), X.documents(spark, sf_dir)
@@ -856,7 +881,7 @@ def _(spark, sf_dir):
 @query("train_text_model")
 def _(spark, sf_dir):
     found = train_text_model(
-        X.fetches(spark, sf_dir), unique_labels(X.label_entries(spark, sf_dir))
+        X.fetches(spark, sf_dir), unique_labels(X.label_entries(spark, sf_dir)), partitions=1
     )
     evaluated_ml = evaluate_pages(
         X.fetches(spark, sf_dir), X.AS_OF, mode="ml", model=found.model, keep=["page_id"]
@@ -867,7 +892,7 @@ def _(spark, sf_dir):
 @query("evaluate_hybrid")
 def _(spark, sf_dir):
     found = train_text_model(
-        parsed(spark, sf_dir), unique_labels(X.label_entries(spark, sf_dir))
+        parsed(spark, sf_dir), unique_labels(X.label_entries(spark, sf_dir)), partitions=1
     )
     return evaluated(spark, sf_dir, mode="hybrid", model=found.model).select(
         "page_id", "score.composite", "score.classification", "score.components.ml_score"
@@ -903,4 +928,4 @@ def _(spark, sf_dir):
     path = scratch_path(spark, "totals")
     totals = streaming.summary_stream(_streamed(spark, sf_dir))
     streaming.write_summary(totals, path, scratch_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(path)
+    return streaming.read_summary(spark, path)

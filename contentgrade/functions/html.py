@@ -22,17 +22,18 @@ from contentgrade.functions.text import strip
 # Marks every place where a tag, a comment or a skipped element separates two text nodes.
 MARK = "\x01"
 
-_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+# A tag ends before the next "<" outside quotes, so no text is looked at by two attempts.
+_ATTRIBUTES = r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 _HIDDEN = (
     r"(?is)<(?:!--.*?(?:-->|\z)"
-    r"|script(?=[\s/>])[^>]*+>.*?(?:</script\s*+>|\z)"
-    r"|style(?=[\s/>])[^>]*+>.*?(?:</style\s*+>|\z)"
-    r"|template(?=[\s/>])[^>]*+>.*?(?:</template\s*+>|\z)"
-    r"|r[tp](?=[\s/>])[^>]*+>.*?(?:</r(?:[tp]|uby)\s*+>|\z))"
+    r"|script(?=[\s/>])[^<>]*+>.*?(?:</script\s*+>|\z)"
+    r"|style(?=[\s/>])[^<>]*+>.*?(?:</style\s*+>|\z)"
+    r"|template(?=[\s/>])[^<>]*+>.*?(?:</template\s*+>|\z)"
+    r"|r[tp](?=[\s/>])[^<>]*+>.*?(?:</r(?:[tp]|uby)\s*+>|\z))"
 )
-_TAG = rf"(?s)<(?:/?[A-Za-z]{_ATTRIBUTES}|[!?][^>]*+)>"
-_TITLE = r"(?is)<title(?:[\s/][^>]*+)?+>(.*?)(?:</title\s*+>|\z)"
-_BODY_OPEN = r"(?i)<body(?:[\s/][^>]*+)?+>"
+_TAG = rf"(?s)<(?:/?[A-Za-z]{_ATTRIBUTES}|[!?][^<>]*+)>"
+_TITLE = r"(?is)<title(?:[\s/][^<>]*+)?+>(.*?)(?:</title\s*+>|\z)"
+_BODY_OPEN = r"(?i)<body(?:[\s/][^<>]*+)?+>"
 _BODY_CLOSE = r"(?i)</body\s*+>"
 _META = rf"(?i)<meta[\s/]{_ATTRIBUTES}>"
 _TIME = rf"(?i)<time(?:[\s/]{_ATTRIBUTES})?+>"
@@ -155,13 +156,10 @@ def plain_title(marked: Column) -> Column:
     return F.array_join(F.transform(F.split(marked, MARK), strip), "")
 
 
-def _first_element(visible: Column, name: Column) -> Column:
+def _first_element(visible: Column, name: str) -> Column:
     """The first element of that name with everything inside it; null if there is none."""
-    pieces = F.split(
-        F.concat(F.lit(" "), visible), F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s/>])"))
-    )
-    opening = F.concat(F.lit(r"(?i)\A<"), name, F.lit(r"[\s/>]"))
-    closing = F.concat(F.lit(r"(?i)\A</"), name, F.lit(r"[\s/>]"))
+    pieces = F.split(F.concat(F.lit(" "), visible), rf"(?i)(?=</?{name}[\s/>])")
+    opening, closing = F.lit(rf"(?i)\A<{name}[\s/>]"), F.lit(rf"(?i)\A</{name}[\s/>]")
     start = F.struct(
         F.lit(0).alias("seen"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("depth")
     )
@@ -202,9 +200,11 @@ def main_content(visible: Column) -> Column:
 
     body = F.get(F.split(F.get(F.split(visible, _BODY_OPEN, 2), 1), _BODY_CLOSE, 2), 0)
     # In ascending order of preference between equally long texts.
-    candidates = F.transform(
-        F.array(F.lit("div"), F.lit("main"), F.lit("article")),
-        lambda name, rank: F.struct(rank.alias("rank"), _first_element(visible, name).alias("html")),
+    candidates = F.array(
+        *[
+            F.struct(F.lit(rank).alias("rank"), _first_element(visible, name).alias("html"))
+            for rank, name in enumerate(("div", "main", "article"))
+        ]
     )
     sized = F.transform(
         F.filter(candidates, lambda found: found["html"].isNotNull()),
@@ -266,7 +266,7 @@ def time_value(tag: Column) -> Column:
 
 def link_targets(visible: Column) -> Column:
     """The ``href`` of every ``<a>``, decoded and stripped, in document order."""
-    before = rf"(?:[\s/]*+(?!href\s*+=)[^\s/=>]++(?:\s*+=\s*+{_VALUE}?+)?+)*+"
+    before = rf"(?:[\s/]*+(?!href\s*+=)[^\s/=<>]++(?:\s*+=\s*+{_VALUE}?+)?+)*+"
     pattern = rf"(?is)<a(?=[\s/]){before}[\s/]*+href\s*+=\s*+({_VALUE}?)"
     raw = F.regexp_extract_all(visible, F.lit(pattern), F.lit(1))
     plain = F.transform(raw, unquote)

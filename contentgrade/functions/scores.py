@@ -108,7 +108,10 @@ def iso_timestamp(text: Column) -> Column:
         )
     )
     layout = F.concat(date, F.lit("T"), padded, F.lit("."), F.rpad(fraction, 6, "0"), offset)
-    return F.when(valid, layout.try_cast("timestamp"))
+    seconds = F.coalesce(F.substr(digits, F.lit(5), F.lit(2)).try_cast("bigint"), F.lit(0))
+    signed = F.when(F.startswith(zone, F.lit("-")), -seconds).otherwise(seconds)
+    moment = layout.try_cast("timestamp")
+    return F.when(valid, F.when(signed == 0, moment).otherwise(F.timestamp_micros(F.unix_micros(moment) - signed * 1000000)))
 
 
 def as_of_column(as_of: dt.datetime | str | Column) -> Column:

@@ -30,10 +30,6 @@ SEED = 42
 MAX_ITERATIONS = 1000
 TOLERANCE = 1e-4
 
-# A fit runs one job per iteration; small samples gain from few tasks, large ones keep theirs.
-SMALL_SAMPLE = 200_000
-ROWS_PER_TASK = 20_000
-
 
 def bin_scores(score: Column) -> Column:
     """Score to class 0 to 3."""
@@ -76,12 +72,14 @@ def fit_classifier(
     test_size: float = 0.2,
     max_features: int = MAX_FEATURES,
     stop_words: Sequence[str] | None = None,
+    partitions: int | None = None,
 ) -> Training:
     """Train on scored texts and measure on the held-out share.
 
     Fewer than four samples serve as train and test rows alike. The penalty ``1 / n`` is
     that of a sum of losses with unit weight. Vocabulary and document weights come from the
-    train rows only.
+    train rows only. The fit runs one job per iteration over as many tasks as the rows have
+    partitions, or over ``partitions`` if given, which a small sample gains from.
     """
     counts = rows.agg(
         F.count("*").alias("n"), F.count(text).alias("texts"), F.count(score).alias("scores")
@@ -101,8 +99,8 @@ def fit_classifier(
         raise ValueError("training needs rows of at least two classes")
     vocabulary = fit_tfidf(train, text, max_features, stop_words)
     vectors = tfidf_transform(train, vocabulary, text).select("features", "_class")
-    if sizes["n"] <= SMALL_SAMPLE:
-        vectors = vectors.repartition(max(1, sizes["n"] // ROWS_PER_TASK))
+    if partitions is not None:
+        vectors = vectors.repartition(partitions)
     regression = LogisticRegression(
         featuresCol="features",
         labelCol="_class",

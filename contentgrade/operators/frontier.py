@@ -14,10 +14,6 @@ from contentgrade.operators.skew import nth_smallest
 from contentgrade.session import shared_dir
 from contentgrade.sources.robots import agent_rules
 
-DEFAULT_MAX_DEPTH = 2
-DEFAULT_MAX_PAGES = 100
-
-
 def _seed_frame(spark: SparkSession, seeds: Sequence[str] | DataFrame) -> DataFrame:
     frame = (
         seeds.select(F.col(seeds.columns[0]).alias("url"))
@@ -33,8 +29,8 @@ def crawl_frontier(
     fetches: DataFrame | None = None,
     groups: DataFrame | None = None,
     agent: str = "*",
-    max_depth: int = DEFAULT_MAX_DEPTH,
-    max_pages: int | None = DEFAULT_MAX_PAGES,
+    max_depth: int | None = None,
+    max_pages: int | None = None,
     dedupe: bool = True,
     salts: int = 8,
 ) -> DataFrame:
@@ -53,8 +49,13 @@ def crawl_frontier(
 
     Without ``dedupe`` a url that several pages of one level link to is visited once per
     link. Those visits come as the count ``visits`` per url and referer, not as repeated
-    rows, and multiply on the way down as the visits themselves would.
+    rows, and multiply on the way down as the visits themselves would. Such a crawl needs a
+    depth, as loops never end, and takes no page budget.
+
+    Neither depth nor pages are limited unless a limit is given.
     """
+    if not dedupe and (max_pages is not None or max_depth is None):
+        raise ValueError("a crawl without merging needs a depth and takes no page budget")
     spark = links.sparkSession
     shared_dir(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -86,9 +87,9 @@ def crawl_frontier(
     level = permitted(start).checkpoint()
     visited = level
     seen = level.count()
-    for depth in range(1, max_depth + 1):
-        if max_pages is not None and seen >= max_pages:
-            break
+    depth = 0
+    while (max_depth is None or depth < max_depth) and (max_pages is None or seen < max_pages):
+        depth += 1
         sources = (
             level.groupBy(F.col("url").alias("src_url"))
             .agg(F.sum("visits").alias("visits"))
@@ -115,7 +116,7 @@ def crawl_frontier(
         seen += found
         visited = visited.unionByName(level)
     edges.unpersist()
-    return visited if max_pages is None or not dedupe else page_budget(visited, max_pages)
+    return visited if max_pages is None else page_budget(visited, max_pages)
 
 
 def page_budget(frontier: DataFrame, max_pages: int) -> DataFrame:

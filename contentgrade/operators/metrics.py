@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentgrade.functions import text as X
+from contentgrade.operators.barrier import sealed
 
 
 def extract_metrics(
@@ -36,4 +37,4 @@ def extract_metrics(
         X.citation_matches(F.col("_lowered"), citation_patterns).alias("citation_matches"),
         X.example_values(F.col("_numbers")).alias("example_values"),
     )
-    return prepared.withColumn("metrics", metrics).drop("_lowered", "_numbers")
+    return sealed(prepared.withColumn("metrics", metrics).drop("_lowered", "_numbers"))

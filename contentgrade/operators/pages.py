@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contentgrade.functions import html as H
 from contentgrade.functions.text import strip
+from contentgrade.operators.barrier import sealed
 
 
 def usable_fetches(fetches: DataFrame) -> DataFrame:
@@ -31,6 +32,8 @@ def parse_pages(
 ) -> DataFrame:
     """Title, text and metadata of every fetched document, in one narrow stage.
 
+    A filter on the result doesn't repeat the parse.
+
     Each ``select`` names the columns that the next one reads more than once. ``keep`` lists
     columns of the input to carry along.
     """
@@ -73,7 +76,7 @@ def parse_pages(
         H.plain_title(F.col("title")).alias("title"),
         *[F.col("attributes")[at].alias(name) for at, name in enumerate(attributes)],
     )
-    return cleaned.select(
+    pages = cleaned.select(
         "url",
         "title",
         "text",
@@ -89,6 +92,7 @@ def parse_pages(
         ).alias("metadata"),
         *keep,
     )
+    return sealed(pages)
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:

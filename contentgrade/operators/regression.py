@@ -113,7 +113,8 @@ def fit_evaluate(
             clean.select(F.col(target).alias("actual"), F.lit(mean).cast("double").alias("estimate"))
         )
     train, test = split(clean, key or [*names, target], test_size, seed)
-    fit = fit_ols(train, target, names)
+    # A share that leaves nothing to learn from leaves coefficients of zero.
+    fit = LinearFit(0.0, dict.fromkeys(names, 0.0)) if train.isEmpty() else fit_ols(train, target, names)
     return regression_metrics(
         test.select(F.col(target).alias("actual"), fit.estimate().alias("estimate"))
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from contentgrade.functions import scores as S
 from contentgrade.functions.rounding import round2
+from contentgrade.operators.barrier import sealed
 
 
 def compute_components(
@@ -23,7 +24,7 @@ def compute_components(
         name,
         S.components(F.col("metrics"), F.col("_moment"), F.col("_parsed"), S.as_of_column(as_of)),
     )
-    return scored.drop("_moment", "_parsed")
+    return sealed(scored.drop("_moment", "_parsed"))
 
 
 def apply_weights(
@@ -86,7 +87,7 @@ def score_heuristic(
     )
     *parts, composite = [F.col("_rounded")[place] for place in range(len(values) + 1)]
     score = _score(F.col("url"), composite, parts, F.lit(None).cast("double"), F.col("composite"))
-    return rounded.withColumn("score", score).drop("_components", "_rounded", "composite")
+    return sealed(rounded.withColumn("score", score).drop("_components", "_rounded", "composite"))
 
 
 def score_predicted(pages: DataFrame, predicted: str = "predicted_score") -> DataFrame:
@@ -94,7 +95,7 @@ def score_predicted(pages: DataFrame, predicted: str = "predicted_score") -> Dat
     rounded = pages.withColumn("_predicted", round2(F.col(predicted)))
     value = F.col("_predicted")
     score = _score(F.col("url"), value, [value] * len(S.COMPONENTS), value, value)
-    return rounded.withColumn("score", score).drop("_predicted")
+    return sealed(rounded.withColumn("score", score).drop("_predicted"))
 
 
 def score_hybrid(
@@ -108,4 +109,4 @@ def score_hybrid(
     score = _score(
         F.col("url"), round2(F.col("_composite")), parts, F.col("_predicted"), F.col("_composite")
     )
-    return mixed.withColumn("score", score).drop("_predicted", "_composite")
+    return sealed(mixed.withColumn("score", score).drop("_predicted", "_composite"))

@@ -11,7 +11,8 @@ from contentgrade.functions.urls import label_url_key
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Labels from files that each hold a JSON array of ``{"url", "target_score"}``.
 
-    Entries that are no objects or lack a url or a score are skipped; a score of 0 counts.
+    Entries that are no objects or lack a url or a score are skipped; a score of 0 counts, and
+    true and false are 1 and 0. A score that is no number is an error.
     Of entries whose urls agree after normalising, the last one wins, in the order of file
     name and position. ``path`` may be one file or a folder of many. Anything but an array,
     and input without a valid entry, is an error.
@@ -37,9 +38,14 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
         "file",
         "pos",
         F.get_json_object("entry", "$.url").alias("url"),
-        F.get_json_object("entry", "$.target_score").try_cast("double").alias("target_score"),
-    ).filter((F.coalesce("url", F.lit("")) != "") & F.col("target_score").isNotNull())
-    labels = unique_labels(fields)
+        F.get_json_object("entry", "$.target_score").alias("score"),
+        F.schema_of_variant(F.try_variant_get(F.try_parse_json("entry"), "$.target_score", "variant")).alias("kind"),
+    ).filter((F.coalesce("url", F.lit("")) != "") & F.col("score").isNotNull())
+    number = F.when(F.col("kind") == "BOOLEAN", (F.col("score") == "true").cast("double")).otherwise(
+        F.trim("score").try_cast("double")
+    )
+    wrong = F.raise_error(F.concat(F.lit("not a score: "), "score")).cast("double")
+    labels = unique_labels(fields.select("file", "pos", "url", F.coalesce(number, wrong).alias("target_score")))
     if labels.isEmpty():
         raise ValueError("no valid label entry")
     return labels

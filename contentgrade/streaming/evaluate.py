@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from contentgrade.operators.aggregates import summary
@@ -34,15 +35,26 @@ def write_results(results: DataFrame, path: str, checkpoint: str) -> StreamingQu
 
 
 def write_summary(totals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Replace the stored summary after each batch until the input at hand is used up."""
+    """Store the summary after each batch, below its number, until the input at hand is used up.
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(path)
+    A batch that is run again replaces its own summary only, so readers of
+    :func:`read_summary` find the last complete one at any time.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
         totals.writeStream.outputMode("complete")
-        .foreachBatch(replace)
+        .foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The summary of the last batch."""
+    batches = spark.read.parquet(path)
+    last = batches.agg(F.max("batch")).first()[0]
+    return batches.filter(F.col("batch") == last).drop("batch")

@@ -192,3 +192,13 @@ def test_salted_lookup_keeps_every_row(spark):
     assert "_salt" not in small._jdf.queryExecution().executedPlan().toString()
     assert "_salt" in large._jdf.queryExecution().executedPlan().toString()
     assert small.exceptAll(large.select(small.columns)).isEmpty()
+
+
+def test_a_crawl_has_no_limits_unless_given(spark):
+    chain = [(f"u{i}", f"u{i + 1}") for i in range(5)] + [("u0", f"w{i}") for i in range(150)]
+    edges = spark.createDataFrame(chain, "src_url string, dst_url string")
+    found = crawl_frontier(edges, ["u0"])
+    assert found.count() == 156 and found.agg(F.max("depth")).first()[0] == 5
+    for options in ({"max_pages": 3, "max_depth": 2}, {}):
+        with pytest.raises(ValueError, match="budget"):
+            crawl_frontier(edges, ["u0"], dedupe=False, **options)

@@ -1,8 +1,10 @@
 """Parsing against a walk with the standard library's parser."""
 
 import datetime as dt
+import time
 from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from contentgrade.functions import html as H
@@ -166,6 +168,21 @@ def test_very_long_markup(spark):
     assert [r["dst_url"] for r in extract_links(fetch).collect()] == ["https://h.example/z"]
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<a href='", '<p title="', "<script ", "<title ", "<!d ", "<!--", "<body "])
+def test_broken_markup_takes_linear_time(spark, piece):
+    """No text is scanned again by every attempt to close a tag."""
+    seconds = []
+    for size in (30_000, 240_000):
+        html = "<body>" + piece * (size // len(piece))
+        fetch = spark.createDataFrame([("https://h.example/", html, 1.0, None)], FETCH)
+        parse_pages(fetch).collect()
+        start = time.perf_counter()
+        parse_pages(fetch).collect()
+        extract_links(fetch).collect()
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 8
+
+
 def test_attribute_entities(spark):
     cases = {
         "?a=1&amp;lang=2&lang=it&copy=3": "?a=1&lang=2&lang=it&copy=3",

@@ -99,7 +99,7 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     )
     totals = streaming.summary_stream(stream)
     streaming.write_summary(totals, str(tmp_path / "sum"), str(tmp_path / "c2")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "sum")).collect() == summary(batch).collect()
+    assert streaming.read_summary(spark, str(tmp_path / "sum")).collect() == summary(batch).collect()
     with pytest.raises(ValueError):
         streaming.evaluate_stream(batch, AS_OF)
 

@@ -162,7 +162,7 @@ def test_bins_cap_at_three(spark):
 
 
 def test_classifier_learns_and_survives_storage(spark, tmp_path):
-    found = C.fit_classifier(scored_texts(spark), key=["id"])
+    found = C.fit_classifier(scored_texts(spark), key=["id"], partitions=1)
     assert (found.train_samples, found.test_samples, found.mae, found.mse) == (32, 8, 0.0, 0.0)
     new = spark.createDataFrame([("yield curve of a bond",), ("pasta recipe",)], "text string")
     scores = [r["predicted_score"] for r in C.predict_scores(found.model, new).collect()]
@@ -190,7 +190,7 @@ def test_classifier_errors(spark, tmp_path):
 
 
 def test_small_samples_are_train_and_test(spark):
-    found = C.fit_classifier(scored_texts(spark, 3), key=["id"])
+    found = C.fit_classifier(scored_texts(spark, 3), key=["id"], partitions=1)
     assert (found.train_samples, found.test_samples) == (3, 3)
 
 
@@ -202,8 +202,8 @@ def test_train_and_score_with_the_model(spark):
         scored_texts(spark).select(F.concat(F.lit("http://h.example/"), "id", F.lit("/")).alias("url"), "target_score", F.col("id").alias("pos"))
     )
     pages = evaluate_pages(fetches, "2024-01-01")
-    found = train_text_model(pages, labels)
-    assert train_text_model(fetches, labels).model.vocabulary == found.model.vocabulary
+    found = train_text_model(pages, labels, partitions=1)
+    assert train_text_model(fetches, labels, partitions=1).model.vocabulary == found.model.vocabulary
     ml = evaluate_pages(fetches, "2024-01-01", mode="ml", model=found.model).select("score.*").collect()
     assert {(r["composite"], r["classification"]) for r in ml} == {(92.5, "Eccellente"), (25.0, "Criticità")}
     hybrid = evaluate_pages(fetches, "2024-01-01", mode="hybrid", model=found.model).select("score.*").collect()
@@ -212,3 +212,18 @@ def test_train_and_score_with_the_model(spark):
     assert calibrated.weights == learn_weights(pages, labels).weights and calibrated.samples == 40
     with pytest.raises(ValueError, match="No pages matched"):
         train_text_model(pages, labels.withColumn("url_key", F.lit("x")))
+
+
+def test_scores_that_are_no_numbers(spark, tmp_path):
+    path = write(tmp_path, [{"url": "https://h/a", "target_score": True}, {"url": "https://h/b", "target_score": " 7 "}, {"url": "https://h/c", "target_score": None}])
+    assert sorted(r["target_score"] for r in read_labels(spark, path).collect()) == [1.0, 7.0]
+    for wrong in ("abc", "true", [1]):
+        path = write(tmp_path, [{"url": "https://h/a", "target_score": 3}, {"url": "https://h/b", "target_score": wrong}])
+        with pytest.raises(Exception, match="not a score"):
+            read_labels(spark, path).collect()
+
+
+def test_nothing_left_to_train_on(spark):
+    rows = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 7.0)], "x double, y double")
+    found = fit_evaluate(rows, "y", ["x"], test_size=0.9).first()
+    assert found["mae"] == pytest.approx(13 / 3)

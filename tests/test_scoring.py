@@ -206,3 +206,29 @@ def test_scores_stay_in_range(spark, sf_dir):
         values = [v for k, v in row["components"].asDict().items() if k != "ml_score"]
         assert all(0 <= v <= 100 for v in values)
         assert min(values) <= row["composite"] <= max(values)
+
+
+def test_filters_on_results_do_not_repeat_the_work(spark, sf_dir):
+    import time
+
+    from contentgrade.plans.evaluate import evaluate_pages
+
+    fetches = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        "url", "html", F.lit(0.0).alias("fetched_at"), F.lit(None).cast("string").alias("error")
+    )
+    for condition in ("title != ''", "text != ''", "metrics.word_count > 10", "score.classification = 'x'", "score.composite > 1"):
+        start = time.perf_counter()
+        plan = evaluate_pages(fetches, "2024-06-01").filter(condition)._jdf.queryExecution()
+        optimized = plan.optimizedPlan().toString()
+        physical = plan.executedPlan().toString()
+        assert time.perf_counter() - start < 5
+        assert optimized.count("<(?:!--") == 1
+        assert "Exchange" not in physical
+
+
+def test_seconds_of_a_zone_count(spark):
+    cases = ["2024-03-01T10:00:00+01:00:30", "2024-03-01T10:00:00-05:30:15", "2024-03-01T10:00:00+01:00", "2024-03-01T10:00:00.25+00:00:01"]
+    frame = spark.createDataFrame([(c,) for c in cases], "v string")
+    found = [r[0] for r in frame.select(F.unix_micros(S.iso_timestamp(F.col("v")))).collect()]
+    epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+    assert found == [(dt.datetime.fromisoformat(c) - epoch) // dt.timedelta(microseconds=1) for c in cases]
