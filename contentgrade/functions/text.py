@@ -88,13 +88,12 @@ def term_counts(lowered: Column, lexicon: Sequence[str] = DOMAIN_TERMS) -> Colum
     """Map from each term that occurs in the lower-cased text to its number of matches.
 
     Pass a column that is already lower-cased and materialised by an earlier projection: the
-    text is read once per term.
+    text is searched once per term and copied only for terms that are there.
     """
-    counted = F.transform(
-        F.lit([term for term in dict.fromkeys(lexicon) if term]),
-        lambda term: F.struct(term.alias("term"), occurrences(lowered, term).alias("n")),
-    )
-    return F.map_from_entries(F.filter(counted, lambda entry: entry["n"] > 0))
+    terms = F.lit([term for term in dict.fromkeys(lexicon) if term])
+    present = F.filter(terms, lambda term: F.contains(lowered, term))
+    counted = F.transform(present, lambda term: F.struct(term.alias("term"), occurrences(lowered, term).alias("n")))
+    return F.map_from_entries(counted)
 
 
 def numeric_token_list(text: Column) -> Column:
