@@ -20,8 +20,6 @@ COORDINATES = 128
 LEAF = 1024
 # Nodes of up to so many leaves are cut into blocks, of which every two are a leaf.
 BLOCKED = 2
-# How far around the margin a document counts as both close to a pivot and apart from it.
-OVERLAP = 0.1
 MAX_LEVELS = 5
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -173,32 +171,15 @@ def _roots(representatives: DataFrame, trees: int, similarity: float) -> DataFra
 
 
 def _next_level(rows: DataFrame, similarity: float) -> DataFrame:
-    """Children of large nodes: by the difference to the pivot where the two are close.
-
-    Documents close to the pivot share most minwise values with each other, so these would
-    not part them; two of them can only be similar if they differ from the pivot in much the
-    same shingles, and the minwise values of that difference tell. All others branch by their
-    own values, and those in between do both.
-    """
-    apart = _margin(similarity) + OVERLAP
+    """Children of large nodes: the documents not linked to the pivot, by their own minwise values."""
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            own = batch.column(4).to_numpy() < apart * COORDINATES
-            changed = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
-            for rows, column, twist in ((own | ~changed, 3, 0), (changed, 5, 1)):
-                part = np.flatnonzero(rows)
-                if len(part):
-                    start = mix(nodes[part].view(np.uint64) + np.uint64(twist)).view(np.int64)
-                    at, child = children(start, matrix(batch.column(column).take(pa.array(part))), similarity)
-                    at = pa.array(part[at])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(child), batch.column(1).take(at), batch.column(2).take(at)], names=["node", "uid", "comp"]
-                    )
-
-    chosen = rows.select("node", "uid", "comp", "signature", "agree", "delta")
-    return chosen.mapInArrow(branch, "node long, uid long, comp long")
+            if batch.num_rows:
+                at, child = children(batch.column(0).to_numpy(), matrix(batch.column(2)), similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(child), batch.column(1).take(pa.array(at))], names=["node", "uid"])
+
+    return rows.select("node", "uid", "signature").mapInArrow(branch, "node long, uid long")
 
 
 def _margin(similarity: float) -> float:
@@ -206,17 +187,52 @@ def _margin(similarity: float) -> float:
     return similarity - 4 * float(np.sqrt(similarity * (1 - similarity) / COORDINATES))
 
 
-def _candidates(group: pa.RecordBatch, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of different components whose signatures agree enough, and how much."""
+def _reach(similarity: float) -> float:
+    """The least agreement with a pivot of what can be similar to a document linked to it.
+
+    One less the similarity is a metric, so such a document is at most twice as far away.
+    """
+    return _margin(max(0.0, 2 * similarity - 1))
+
+
+def _needed(n: np.ndarray, d: np.ndarray, similarity: float) -> np.ndarray:
+    """Agreement of the differences to a pivot that two documents of this similarity have.
+
+    ``n`` is the sum of the sizes of both sets and ``d`` that of both differences. The sets
+    differ in what is in one of the differences only, so sizes and the agreement tell
+    their similarity.
+    """
+    shared = (d - n * (1 - similarity) / (1 + similarity)) / 2
+    return shared / np.maximum(d - shared, 1)
+
+
+def _candidates(group: pa.RecordBatch, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of different components whose signatures agree enough, and how much more.
+
+    In a group of two sides, signatures are those of differences to a pivot, and a pair has a
+    row of each.
+    """
     comps, signs = group.column(2).to_numpy(), matrix(group.column(3), "u1")
-    first, second, agree = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0, int)]
-    for i in range(len(comps) - 1):
-        same = (signs[i + 1 :] == signs[i]).sum(axis=1)
-        near = np.flatnonzero((same >= least) & (comps[i + 1 :] != comps[i]))
+    side, n, d = (group.column(k).to_numpy() for k in (4, 5, 6))
+    halves = bool(len(side)) and side[-1] > 0
+    border = int(np.searchsorted(side, 2)) if halves else len(comps) - 1
+    first, second, excess = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+    for i in range(border):
+        start = border if halves else i + 1
+        same = (signs[start:] == signs[i]).sum(axis=1)
+        if halves:
+            needed = _needed(n[start:] + n[i], d[start:] + d[i], similarity)
+            within = np.clip(needed, 0, 1)
+            least = COORDINATES * (within - 4 * np.sqrt(within * (1 - within) / COORDINATES))
+            enough = (same >= least) & (needed <= 1)
+            over = same - COORDINATES * needed
+        else:
+            enough, over = same >= _margin(similarity) * COORDINATES, same
+        near = np.flatnonzero(enough & (comps[start:] != comps[i]))
         first.append(np.full(len(near), i))
-        second.append(near + i + 1)
-        agree.append(same[near])
-    return np.concatenate(first), np.concatenate(second), np.concatenate(agree)
+        second.append(near + start)
+        excess.append(over[near].astype(float))
+    return np.concatenate(first), np.concatenate(second), np.concatenate(excess)
 
 
 def forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, comps: np.ndarray) -> list[int]:
@@ -238,20 +254,20 @@ def forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, comps: np.ndarray) -
 
 
 def _dealt(leaves: DataFrame) -> DataFrame:
-    return leaves.select("node", "uid", "comp", "brief").repartition("node").sortWithinPartitions("node", "uid")
+    rows = leaves.select("node", "uid", "comp", "brief", "side", "n", "d").repartition("node")
+    return rows.sortWithinPartitions("node", "side", "uid")
 
 
 def _forest_pairs(leaves: DataFrame, similarity: float) -> DataFrame:
     """Of each node the pairs that a spanning forest of the most similar candidates needs."""
-    least = _margin(similarity) * COORDINATES
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches):
-            a, b, same = _candidates(group, least)
+            a, b, over = _candidates(group, similarity)
             if not len(a):
                 continue
             uids = group.column(1).to_numpy()
-            kept = forest(a, b, np.lexsort((uids[b], uids[a], -same)), group.column(2).to_numpy())
+            kept = forest(a, b, np.lexsort((uids[b], uids[a], -over)), group.column(2).to_numpy())
             x, y = uids[a[kept]], uids[b[kept]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
@@ -260,11 +276,10 @@ def _forest_pairs(leaves: DataFrame, similarity: float) -> DataFrame:
 
 def _open_members(leaves: DataFrame, similarity: float) -> DataFrame:
     """The documents of each node that have a candidate of another component there."""
-    least = _margin(similarity) * COORDINATES
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches):
-            a, b, _ = _candidates(group, least)
+            a, b, _ = _candidates(group, similarity)
             if len(a):
                 yield group.take(pa.array(np.unique(np.concatenate([a, b])))).select(["node", "uid", "comp"])
 
@@ -351,8 +366,9 @@ def verify(
 
     A group is a document ``a`` with some of its partners, by a hash if there are more than
     ``chunk``, so one with very many is compared in many tasks; a task holds one set and
-    streams the others past it. With ``deltas`` the signature of the shingles that are in one
-    set only comes along.
+    streams the others past it. With ``deltas`` come along the sizes ``m`` and ``n`` of both sets
+    and ``d`` of their difference, the shingles that are in one set only, and the brief form of
+    the signature of that difference.
     """
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).alias("salts"))
     salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
@@ -381,13 +397,17 @@ def verify(
                 other = shingle_set(value.as_py(), words)
                 both = len(np.intersect1d(held, other, assume_unique=True))
                 linked = 100 * both >= similarity_percent * (len(held) + len(other) - both)
-                delta = signature(np.setxor1d(held, other, assume_unique=True)).tobytes() if deltas else None
-                out.append((centre.as_py(), uid, linked, delta))
+                delta = brief(signature(np.setxor1d(held, other, assume_unique=True))).tobytes() if deltas else None
+                sizes = len(held), len(other), len(held) + len(other) - 2 * both
+                out.append((centre.as_py(), uid, linked, *sizes, delta))
             if out:
-                columns = zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["a", "b", "linked", "delta"])
+                long, binary = pa.int64(), pa.binary()
+                columns = zip(zip(*out, strict=True), (long, long, pa.bool_(), long, long, long, binary), strict=True)
+                names = ["a", "b", "linked", "m", "n", "d", "brief"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=names)
 
-    return stored(dealt.mapInArrow(check, "a long, b long, linked boolean, delta binary"), "near-verified")
+    schema = "a long, b long, linked boolean, m long, n long, d long, brief binary"
+    return stored(dealt.mapInArrow(check, schema), "near-verified")
 
 
 def _pivots(inside: DataFrame, sample: int = 64) -> DataFrame:
@@ -399,17 +419,15 @@ def _pivots(inside: DataFrame, sample: int = 64) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches):
-            signs = matrix(group.column(3))
+            signs = matrix(group.column(2))
             agree = np.array([(signs == s).sum() for s in signs])
             at = int(agree.argmax())
             yield group.slice(at, 1)
 
     few = inside.filter(F.pmod(F.xxhash64("node", "uid"), F.ceil(F.col("n") / sample)) == 0)
-    few = few.select("node", "uid", "comp", "signature").repartition("node").sortWithinPartitions("node", "uid")
-    chosen = few.mapInArrow(choose, "node long, uid long, comp long, signature binary")
-    return chosen.select(
-        "node", F.col("uid").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("signature").alias("pivot_signature")
-    )
+    few = few.select("node", "uid", "signature").repartition("node").sortWithinPartitions("node", "uid")
+    chosen = few.mapInArrow(choose, "node long, uid long, signature binary")
+    return chosen.select("node", F.col("uid").alias("pivot"), F.col("signature").alias("pivot_signature"))
 
 
 def _agreement(rows: DataFrame) -> DataFrame:
@@ -430,7 +448,39 @@ def _blocks(rows: DataFrame) -> DataFrame:
     cut = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("uid"), blocks).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
-    return cut.select(pair.alias("node"), "uid", "comp")
+    return cut.select(pair.alias("node"), "uid")
+
+
+def _crossed(found: DataFrame, similarity_percent: int, level: int) -> DataFrame:
+    """Blocks of documents linked to a pivot with those that aren't but may be similar to one that is.
+
+    ``found`` is what comparing with pivots gave, so a document is in it once a pivot. Each
+    block of one side meets each of the other; a node is two blocks of up to about a leaf.
+    """
+    least = 2 * similarity_percent - 100
+    total = F.col("m") + F.col("n")
+    rows = found.filter(F.col("linked") | (100 * (total - F.col("d")) >= least * (total + F.col("d"))))
+    counts = rows.groupBy("a").agg(F.count_if("linked").alias("inner"), F.count_if(~F.col("linked")).alias("outer"))
+    counts = counts.filter("inner > 0 and outer > 0").select(
+        "a", *[F.ceil(F.col(c) / LEAF).cast("int").alias(c) for c in ("inner", "outer")]
+    )
+    met = small_or_salted(rows, stored(counts, "near-sides"), "a").filter("inner is not null")
+    own = F.when(F.col("linked"), F.col("inner")).otherwise(F.col("outer"))
+    others = F.when(F.col("linked"), F.col("outer")).otherwise(F.col("inner"))
+    cut = met.withColumn("block", F.pmod(F.xxhash64("b"), own).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    sides = F.when(F.col("linked"), F.struct("block", F.col("other").alias("facing"))).otherwise(
+        F.struct(F.col("other").alias("block"), F.col("block").alias("facing"))
+    )
+    return cut.select(
+        F.xxhash64(F.lit(level), "a", sides).alias("node"),
+        F.col("b").alias("uid"),
+        F.when(F.col("linked"), F.col("a")).otherwise(F.col("b")).alias("comp"),
+        "brief",
+        F.when(F.col("linked"), F.lit(2)).otherwise(F.lit(1)).alias("side"),
+        "n",
+        "d",
+    )
 
 
 def near_links(
@@ -443,31 +493,23 @@ def near_links(
 ) -> DataFrame:
     """Links between representatives that connect every group of similar ones.
 
-    All trees grow together, a level at a time. A node whose documents are known to be in one
-    component is done. A small node is a leaf and is compared exhaustively. In a large node
-    a pivot, one of its documents, is compared with all others and leaves; those confirmed to be
-    similar to it share its component from there on; and the node branches by chosen minwise
-    values, of their difference for those close to it. So a group of copies, however large,
-    costs a comparison per document and level, not per pair. Nodes of a few leaves, and those
-    still large at the last level, are cut into blocks, and every pair of blocks is a leaf.
+    All trees grow together, a level at a time. A small node is a leaf and is compared
+    exhaustively. In a large node a pivot, one of its documents, is compared with all others
+    and leaves, and so do those confirmed to be similar to it: they are one component, and
+    what else may be similar to one of them, which is near the pivot too, is compared with
+    all of them, block by block, through the differences to the pivot. The others branch by
+    chosen minwise values. So a group of copies that are similar to one of them costs a
+    comparison per document and level, not per pair. Nodes of a few leaves, and those still
+    large at the last level, are cut into blocks, and every pair of blocks is a leaf.
     """
     similarity = similarity_percent / 100
     signs, briefs = representatives.select("uid", "signature"), representatives.select("uid", "brief")
-    rows = stored(_roots(representatives, trees, similarity), "near-nodes").withColumn("comp", F.col("uid"))
+    rows = stored(_roots(representatives, trees, similarity), "near-nodes")
     leaves: list[DataFrame] = []
+    sides: list[DataFrame] = []
     links: list[DataFrame] = []
     for level in range(MAX_LEVELS + 1):
-        nodes = (
-            rows.groupBy("node")
-            .agg(
-                F.count("*").alias("n"),
-                F.min("comp").alias("c0"),
-                F.max("comp").alias("c1"),
-            )
-            .filter("n > 1 and c0 != c1")
-            .select("node", "n")
-        )
-        nodes = checkpointed(nodes)
+        nodes = checkpointed(rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
         leaves.append(rows.join(nodes.filter(F.col("n") <= LEAF).select("node"), "node"))
         large = nodes.filter(F.col("n") > BLOCKED * LEAF)
         last = level == MAX_LEVELS or large.isEmpty()
@@ -483,20 +525,22 @@ def near_links(
         inside = inside.drop("n")
         met = small_or_salted(inside, pivots, "node").filter("uid != pivot")
         met = stored(_agreement(met).drop("pivot_signature"), "near-level")
-        close = F.col("agree") >= (_margin(similarity) - OVERLAP) * COORDINATES
+        close = F.col("agree") >= _reach(similarity) * COORDINATES
         pairs = met.filter(close).select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
         found = verify(documents, pairs, representatives, words, similarity_percent, text, deltas=True)
         links.append(found.filter("linked").select("a", "b"))
-        known = found.select(F.col("a").alias("pivot"), F.col("b").alias("uid"), "linked", "delta")
-        met = met.join(known, ["pivot", "uid"], "left").withColumn(
-            "comp", F.when(F.col("linked"), F.col("pivot_comp")).otherwise(F.col("comp"))
-        )
-        rows = stored(_next_level(met, similarity), "near-nodes")
+        sides.append(_crossed(found, similarity_percent, level))
+        known = found.filter("linked").select(F.col("a").alias("pivot"), F.col("b").alias("uid"))
+        rows = stored(_next_level(met.join(known, ["pivot", "uid"], "left_anti"), similarity), "near-nodes")
     small = leaves[0]
     for more in leaves[1:]:
         small = small.unionByName(more)
+    small = small.withColumn("comp", F.col("uid")).join(briefs, "uid")
+    small = small.select("node", "uid", "comp", "brief", F.lit(0).alias("side"), *[F.lit(0).cast("long").alias(c) for c in "nd"])
+    for more in sides:
+        small = small.unionByName(more)
     small = stored(small, "near-leaves")
-    pairs = stored(_forest_pairs(small.join(briefs, "uid"), similarity), "near-forest")
+    pairs = stored(_forest_pairs(small, similarity), "near-forest")
     checked = verify(documents, pairs, representatives, words, similarity_percent, text)
     links.append(checked.filter("linked").select("a", "b"))
     found = links[0]
@@ -506,7 +550,7 @@ def near_links(
     labels = components(found)
     labelled = small.drop("comp").join(labels, "uid", "left").withColumn("comp", F.coalesce("label", "uid")).drop("label")
     open_nodes = labelled.groupBy("node").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("node")
-    members = stored(_open_members(labelled.join(open_nodes, "node").join(briefs, "uid"), similarity), "near-open")
+    members = stored(_open_members(labelled.join(open_nodes, "node"), similarity), "near-open")
     return found.unionByName(verify_nodes(documents, members, representatives, words, similarity_percent, text))
 
 

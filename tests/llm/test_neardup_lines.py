@@ -83,6 +83,33 @@ def test_components_are_those_of_all_pairs(spark, corpus, monkeypatch, n, percen
     assert len(wrong) == 0
 
 
+def copies_of_copies(r, n, words, tag):
+    """Each text is a copy of an earlier one, with a stretch of it replaced."""
+    texts = [[f"{tag}{k}" for k in range(words)]]
+    while len(texts) < n:
+        text = list(r.choice(texts))
+        at, long = r.randrange(words), r.randrange(1, 12)
+        text[at : at + long] = [f"n{r.randrange(10**7)}" for _ in text[at : at + long]]
+        texts.append(text)
+    return [" ".join(t) for t in texts]
+
+
+def test_copies_of_copies_pass_large_levels(spark, monkeypatch):
+    n, percent = 3, 85
+    monkeypatch.setattr(neardup, "LEAF", 32)
+    r = random.Random(11)
+    docs = list(enumerate(copies_of_copies(r, 700, 150, "g")))
+    r.shuffle(docs)
+    levels = []
+    crossed = neardup._crossed
+    monkeypatch.setattr(neardup, "_crossed", lambda *args: levels.append(args) or crossed(*args))
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(rows, n, percent).collect()}
+    _, expected = brute_components(docs, n, percent)
+    assert len(levels) >= 3
+    assert found == expected
+
+
 def test_null_ids_and_repeated_rows(spark):
     rows = [(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (None, None), (None, "x y z")]
     found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
