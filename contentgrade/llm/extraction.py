@@ -294,8 +294,10 @@ def page_tokens(pieces: list[Piece], tags: list[int]) -> tuple[Counter, dict[int
 def main_text(html: str, template: frozenset[int]) -> str:
     """The article: what stands in the slots that the template leaves, in its main region.
 
-    Blocks of nothing but fixed texts, which are tokens of the template, go, unless nothing
-    else is there; a fixed text inside a slot, such as a label, belongs to the slot.
+    Outside a marked article, blocks of nothing but fixed texts, which are tokens of the
+    template, go, unless nothing else is there; a fixed text inside a slot, such as a label,
+    belongs to the slot. A marked article keeps all its blocks: pages that repeat an article
+    make its paragraphs look fixed.
     """
     pieces, _ = parse(html)
     inside = [p for p in pieces if not p.outside]
@@ -310,7 +312,7 @@ def main_text(html: str, template: frozenset[int]) -> str:
             linked[p.block] += len(p.text.strip()) * p.link
         inside = [p for p in inside if 2 * linked[p.block] <= total[p.block]]
     if template:
-        slots = {p.block for p in inside if not p.text.isspace() and text_token(p) not in template}
+        slots = {p.block for p in inside if not p.text.isspace() and (p.article or text_token(p) not in template)}
         if slots:
             inside = [p for p in inside if p.block in slots]
     lines: list[str] = []

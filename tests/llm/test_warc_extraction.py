@@ -174,6 +174,18 @@ def test_equal_pages_keep_their_text(spark):
     assert extraction.extract_main_text(pages.limit(0)).collect() == []
 
 
+def test_near_copies_of_an_article_keep_their_paragraphs(spark):
+    shared = [f"Paragraph {k} of an article that many pages repeat" for k in range(5)]
+    rows = []
+    for i in range(20):
+        lines = ["News in brief", *(shared if i < 12 else [f"Own text {i} {k}" for k in range(5)]), f"Printed on day {i}"]
+        html = "<body><nav>Menu</nav><article><h2>" + lines[0] + "</h2>" + "".join(f"<p>{x}</p>" for x in lines[1:]) + "</article></body>"
+        rows.append((i, "http://h.example/", html, "\n".join(lines)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, expected string")
+    for r in extraction.extract_main_text(pages).collect():
+        assert r["text"] == r["expected"]
+
+
 def test_extraction_query_against_cutting_out_the_article(spark, sf_dir):
     import re
     from html import unescape
