@@ -30,6 +30,8 @@ EVIDENCE = 500
 SAMPLE_GOOD = 8000
 SAMPLE_BAD = 4000
 SAMPLE_BYTES = 40_000_000
+# Texts of each label that a dictionary is made from, at most.
+DICTIONARY_TEXTS = 1500
 FEATURES = 8
 
 
@@ -129,14 +131,17 @@ def train(
     labels: list[int],
     odds: float | None = None,
     dictionary_bytes: int = DICTIONARY_BYTES,
+    dictionary_texts: int = DICTIONARY_TEXTS,
 ) -> QualityModel:
     """Fit on texts in the given order: the first half of each label makes the dictionaries.
 
+    That is at most ``dictionary_texts`` of a label; the rest serves the calibration.
+
     ``odds`` are those of good to bad among all labels, if the sample has others.
     """
     good = [t for t, y in zip(texts, labels, strict=True) if y == 1]
     bad = [t for t, y in zip(texts, labels, strict=True) if y == 0]
-    cut = (min((len(good) + 1) // 2, 1500), min((len(bad) + 1) // 2, 1500))
+    cut = (min((len(good) + 1) // 2, dictionary_texts), min((len(bad) + 1) // 2, dictionary_texts))
     made = [_dictionary(part[:n], dictionary_bytes) for part, n in zip((good, bad), cut, strict=True)]
     model = QualityModel(
         made[0].as_bytes(), made[1].as_bytes(), tuple(d.dict_id() == 0 for d in made)  # raw content has no id

@@ -200,3 +200,10 @@ def test_pipeline_of_odd_documents(spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
         docs.collect()
+
+
+def test_texts_of_a_dictionary_are_bounded():
+    texts = [f"text {i} of its own words {i * 7919}".encode() for i in range(40)]
+    labels = [i % 2 for i in range(40)]
+    few, more = (quality.train(texts, labels, dictionary_texts=n) for n in (2, 20))
+    assert few != more and more == quality.train(texts, labels)
