@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentgrade.llm import ann, extraction, linededup, mixing, neardup, packing, quality, sharding, topk, warc
+from contentgrade.llm import ann, extraction, linededup, mixing, neardup, packing, quality, runs, sharding, topk, warc
 from contentgrade.llm.common import read, stored, word_count
 from contentgrade.session import scratch_path
 
@@ -113,6 +113,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = runs.find_runs(docs, tail_seed=runs.tail_seed_of(F.col("doc_id")), with_text=False)
+    return found.select("doc_id", "n_runs", "best.*", "runs_sha256", "collapsed_sha256")
+
+
 ORACLE["op10_mixing"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
