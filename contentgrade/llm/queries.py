@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentgrade.llm import ann, extraction, linededup, mixing, neardup, packing, quality, runs, sharding, topk, warc
+from contentgrade.llm import ann, extraction, lexical, linededup, mixing, neardup, packing, quality, runs, sharding, topk, warc
 from contentgrade.llm.common import read, stored, word_count
 from contentgrade.session import scratch_path
 
@@ -113,6 +113,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_lexical(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
 @query
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -193,3 +198,22 @@ SELECT s.doc_id, len(grams)::BIGINT AS n_shingles, least(s.doc_id, coalesce(othe
        s.doc_id <= coalesce(other, s.doc_id) AS kept
 FROM s LEFT JOIN low ON s.doc_id = low.doc_id
 """
+
+ORACLE["op12_lexical"] = r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS row_no,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+s AS (SELECT count(*) FILTER (len(terms) > 0) AS total, sum(len(terms))::BIGINT AS l FROM t),
+e AS (SELECT row_no, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM t),
+f AS (SELECT row_no, doc_id, n, term, count(*) AS tf FROM e GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s GROUP BY term, total),
+i AS (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i),
+c AS (SELECT item_id, text, term, count(*) AS times FROM q GROUP BY ALL),
+x AS (SELECT item_id, text, row_no, doc_id,
+             sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * total) // l))))::BIGINT AS score
+      FROM c JOIN w USING (term) JOIN f USING (term), s WHERE doc_id IS NOT NULL GROUP BY item_id, text, row_no, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id)::INTEGER AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
