@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentgrade.llm import ann, extraction, lexical, linededup, mixing, neardup, packing, quality, runs, sharding, topk, warc
+from contentgrade.llm import ann, extraction, jaccard, lexical, linededup, mixing, neardup, packing, quality, runs, sharding, topk, warc
 from contentgrade.llm.common import read, stored, word_count
 from contentgrade.session import scratch_path
 
@@ -113,6 +113,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(read(spark, sf_dir, "documents"), words=5, similarity_percent=80)
+
+
 @query
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search_lexical(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
@@ -217,3 +222,21 @@ x AS (SELECT item_id, text, row_no, doc_id,
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id)::INTEGER AS rank FROM x WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
+
+ORACLE["op11_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams
+      FROM w),
+g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id
+         WHERE 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+         GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+twoway AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM twoway UNION SELECT r.a, l.b FROM reach r JOIN twoway l ON r.b = l.a),
+low AS (SELECT a AS doc_id, min(b) AS other FROM reach GROUP BY a)
+SELECT s.doc_id, len(grams)::BIGINT AS n_shingles, least(s.doc_id, coalesce(other, s.doc_id)) AS component_id
+FROM s LEFT JOIN low ON s.doc_id = low.doc_id
+"""
