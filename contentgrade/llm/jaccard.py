@@ -29,7 +29,7 @@ from contentgrade.llm.neardup import mix, shingle_set
 SAMPLE = 96
 MISS = 1e-10
 # Rounds in which a set is compared with one other set; after them all pairs left are compared.
-ROUNDS = 4
+ROUNDS = 2
 # A group that holds more than this share of all rows is met by broadcast; so fewer than
 # this many groups ever are.
 HOT_GROUPS = 100_000
@@ -129,12 +129,14 @@ def _shared(texts: DataFrame, words: int, similarity_percent: int) -> DataFrame:
     return stored(found.select("sid", "n", "shared", rarest.alias("elements")), "jaccard-shared")
 
 
-def _rare(n: str, shared: str, similarity_percent: int, subset: int) -> Column:
+def _rare(n: str, shared: str, similarity_percent: int, subset: int, of_smaller: bool = False) -> Column:
     """How many of a set's rarest shared elements hold ``subset`` of those it shares with any similar set.
 
-    What no other set has is rarer still and takes its place among the rarest.
+    They are fewer for the smaller one of a pair, of which more has to be shared. What no
+    other set has is rarer still and takes its place among the rarest.
     """
-    overlap = F.ceil(F.lit(similarity_percent) * F.col(n) / 100)
+    least = F.lit(2 * similarity_percent) / (100 + similarity_percent) if of_smaller else F.lit(similarity_percent) / 100
+    overlap = F.ceil(F.round(least * F.col(n), 9))
     return F.greatest(F.least(F.col(shared) - overlap + subset, F.col(shared)), F.lit(0)).cast("bigint")
 
 
@@ -159,23 +161,27 @@ def boundary(costs: list[tuple[int, int, int]]) -> int:
 
 
 def _keys(shared: DataFrame, border: int, similarity_percent: int) -> DataFrame:
-    """key, sid, n, shared, large (is the set), listed (is the key an inverted list) of all sets."""
+    """key, sid, n, shared, large (is the set), listed (is the key an inverted list) of all sets.
+
+    ``first`` tells whether the key counts for the set as the smaller one of a pair.
+    """
 
     def list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, rows = 0, []
             for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                sid, n, shared_, one, two, elements = row
+                sid, n, shared_, one, two, first_one, first_two, elements = row
                 own, large = np.array(elements, dtype=np.int64), n > border
-                keys, lists = np.empty(0, dtype=np.int64), 0
+                keys, first, lists = np.empty(0, dtype=np.int64), np.empty(0, dtype=bool), 0
                 # Small sets stand in the lists too, if a large one can be similar to them.
                 if large or 100 * n >= similarity_percent * (border + 1):
-                    keys, lists = own[:one], one
+                    keys, first, lists = own[:one], np.arange(one) < first_one, one
                 if not large:
                     a, b = np.triu_indices(two, 1)
                     rare = mix(own[:two].view(np.uint64) ^ _PAIRED)
                     keys = np.concatenate([keys, mix(rare[a] + rare[b]).view(np.int64)])
-                rows.append((keys, sid, n, shared_, large, lists))
+                    first = np.concatenate([first, b < first_two])
+                rows.append((keys, first, sid, n, shared_, large, lists))
                 held += len(keys)
                 if held >= KEYS:
                     yield whole(rows)
@@ -184,15 +190,16 @@ def _keys(shared: DataFrame, border: int, similarity_percent: int) -> DataFrame:
                 yield whole(rows)
 
     def whole(rows: list[tuple]) -> pa.RecordBatch:
-        keys, sid, n, shared_, large, lists = zip(*rows, strict=True)
+        keys, first, sid, n, shared_, large, lists = zip(*rows, strict=True)
         times = [len(k) for k in keys]
         columns = [pa.array(np.concatenate(keys)), *[pa.array(np.repeat(x, times)) for x in (sid, n, shared_, large)]]
         listed = np.concatenate([np.arange(len(k)) < m for k, m in zip(keys, lists, strict=True)])
-        return pa.RecordBatch.from_arrays([*columns, pa.array(listed)], names=["key", "sid", "n", "shared", "large", "listed"])
+        columns += [pa.array(listed), pa.array(np.concatenate(first))]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "sid", "n", "shared", "large", "listed", "first"])
 
-    one, two = (_rare("n", "shared", similarity_percent, k) for k in (1, 2))
-    rows = shared.select("sid", "n", "shared", one, two, "elements.element")
-    found = rows.mapInArrow(list_keys, "key long, sid long, n long, shared long, large boolean, listed boolean")
+    rare = [_rare("n", "shared", similarity_percent, k, smaller) for smaller in (False, True) for k in (1, 2)]
+    rows = shared.select("sid", "n", "shared", *rare, "elements.element")
+    found = rows.mapInArrow(list_keys, "key long, sid long, n long, shared long, large boolean, listed boolean, first boolean")
     return stored(found, "jaccard-keys")
 
 
@@ -203,8 +210,12 @@ def _labelled(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
     return joined.withColumn("label", F.coalesce("label", "sid"))
 
 
-def _mixed(rows: DataFrame, mask: int, total: int) -> tuple[DataFrame, int]:
-    """Rows of the keys at which sets of several components meet, with the key's pivot, and how many they are."""
+def _mixed(rows: DataFrame, mask: int, total: int, similarity_percent: int) -> tuple[DataFrame, int]:
+    """Rows of the keys at which sets of several components meet, with the key's pivot, and how many they are.
+
+    A set for which the key doesn't count as the smaller one stays only if one for which it
+    does is small enough.
+    """
     turned = F.col("sid").bitwiseXOR(F.lit(mask))
     groups = rows.groupBy("key").agg(
         F.count("*").alias("size"),
@@ -213,11 +224,16 @@ def _mixed(rows: DataFrame, mask: int, total: int) -> tuple[DataFrame, int]:
         F.max(F.when(F.col("large"), turned)).alias("large_pivot"),
         F.max(turned).alias("any_pivot"),
         F.max("listed").alias("list"),
+        F.min(F.when(F.col("first"), F.col("n"))).alias("least"),
     )
-    groups = groups.filter("low < high and (large_pivot is not null or not list)")
+    groups = groups.filter("low < high and least is not null and (large_pivot is not null or not list)")
     groups = groups.withColumn("pivot", F.coalesce("large_pivot", "any_pivot").bitwiseXOR(F.lit(mask)))
-    groups = stored(groups.select("key", "size", "pivot"), "jaccard-groups")
-    met = stored(_with_group(rows, groups, "key", total).drop("size"), "jaccard-met")
+    groups = stored(groups.select("key", "size", "pivot", "least"), "jaccard-groups")
+    as_larger = (F.col("least") <= F.col("n")) & (
+        (100 + similarity_percent) * F.col("shared") >= similarity_percent * (F.col("n") + F.col("least"))
+    )
+    met = _with_group(rows, groups, "key", total).filter(F.col("first") | as_larger)
+    met = stored(met.drop("size", "least"), "jaccard-met")
     return met, met.count()
 
 
@@ -247,14 +263,17 @@ def _pairs_left(met: DataFrame, similarity_percent: int, total: int) -> DataFram
     most = counted.groupBy("key").agg(F.max(F.struct("times", "label")).alias("most"), F.sum("times").alias("size"))
     most = stored(most.select("key", "size", F.col("most.label").alias("major")), "jaccard-majors")
     rows = _with_group(met.drop("pivot"), most, "key", total)
-    few = rows.filter("label <> major").select("key", *[F.col(c).alias(f"_{c}") for c in ("sid", "n", "shared", "large", "label")])
+    columns = ("sid", "n", "shared", "large", "label", "first")
+    few = rows.filter("label <> major").select("key", *[F.col(c).alias(f"_{c}") for c in columns])
+    smaller = F.struct("n", "sid") < F.struct("_n", "_sid")
     pairs = rows.join(few, "key").filter("label <> _label and (label = major or sid < _sid) and (large or _large or not listed)")
+    pairs = pairs.filter(F.when(smaller, F.col("first")).otherwise(F.col("_first")))
     pairs = pairs.filter(_can_be_similar(similarity_percent, "n", "shared", "_n", "_shared"))
-    swap = F.col("sid") > F.col("_sid")
-    ends = {"a": ("sid", "_sid"), "b": ("_sid", "sid"), "n": ("n", "_n"), "m": ("_n", "n"), "shared_n": ("shared", "_shared"), "shared_m": ("_shared", "shared")}
-    ordered = pairs.select("listed", *[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name) for name, (x, y) in ends.items()])
-    met = ordered.groupBy("a", "b", "n", "m", "shared_n", "shared_m", "listed").agg(F.count("*").alias("times"))
-    return met.filter(_enough_keys(similarity_percent)).select("a", "b")
+    both = [F.when(smaller, F.col(x)).otherwise(F.col(f"_{x}")).alias(f"{x}_1") for x in ("sid", "n", "shared")]
+    both += [F.when(smaller, F.col(f"_{x}")).otherwise(F.col(x)).alias(f"{x}_2") for x in ("sid", "n", "shared")]
+    pairs = pairs.select("listed", *both)
+    counted = pairs.groupBy(pairs.columns).agg(F.count("*").alias("times"))
+    return counted.filter(_enough_keys(similarity_percent)).select(F.col("sid_1").alias("a"), F.col("sid_2").alias("b"))
 
 
 def _enough_keys(similarity_percent: int) -> Column:
@@ -263,13 +282,14 @@ def _enough_keys(similarity_percent: int) -> Column:
     In the order of elements, what both share up to the end of one's rare elements is rare
     in both; what they share beyond is at most the rest of that one.
     """
-    overlap = F.ceil(F.lit(similarity_percent) * (F.col("n") + F.col("m")) / (100 + similarity_percent))
-    shared_rare = F.when(F.col("listed"), F.col("times")).otherwise(F.floor((1 + F.sqrt(1 + 8 * F.col("times"))) / 2))
-    rest = [
-        F.col(s) - F.when(F.col("listed"), _rare(n, s, similarity_percent, 1)).otherwise(_rare(n, s, similarity_percent, 2))
-        for n, s in (("n", "shared_n"), ("m", "shared_m"))
-    ]
-    return shared_rare + F.greatest(*rest) >= overlap
+    overlap = F.ceil(F.lit(similarity_percent) * (F.col("n_1") + F.col("n_2")) / (100 + similarity_percent))
+    rare_in_both = F.when(F.col("listed"), F.col("times")).otherwise(F.floor((1 + F.sqrt(1 + 8 * F.col("times"))) / 2))
+
+    def rest(k: int, of_smaller: bool) -> Column:
+        one, two = (_rare(f"n_{k}", f"shared_{k}", similarity_percent, subset, of_smaller) for subset in (1, 2))
+        return F.col(f"shared_{k}") - F.when(F.col("listed"), one).otherwise(two)
+
+    return rare_in_both + F.greatest(rest(1, True), rest(2, False)) >= overlap
 
 
 def _texts(documents: DataFrame, candidates: DataFrame, representatives: DataFrame, words: int, key: str, text: str) -> DataFrame:
@@ -334,7 +354,7 @@ def _classes(
     info = shared.select("sid", "n", "shared")
     links = labels = None
     for turn in range(ROUNDS + 1):
-        met, total = _mixed(_labelled(keys, labels), int(_ROUND_MASKS[turn]), total)
+        met, total = _mixed(_labelled(keys, labels), int(_ROUND_MASKS[turn]), total, similarity_percent)
         if turn == ROUNDS:
             pairs = _pairs_left(met, similarity_percent, total)
         else:
