@@ -33,8 +33,8 @@ ROUNDS = 2
 # A group that holds more than this share of all rows is met by broadcast; so fewer than
 # this many groups ever are.
 HOT_GROUPS = 100_000
-# Members of a group that are compared with its pivot in one task.
-CHUNK = 512
+# Sets are confirmed in blocks of about so many elements.
+BLOCK_ELEMENTS = 1 << 16
 # Keys that a task makes at once.
 KEYS = 1 << 19
 
@@ -308,36 +308,45 @@ def _texts(documents: DataFrame, candidates: DataFrame, representatives: DataFra
     return stored(met.select("_text", "_sids").mapInArrow(keep, "sid long, text string"), "jaccard-texts")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity_percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity_percent: int, blocks: int) -> DataFrame:
     """Those of the pairs (a, b) of which the full sets are similar.
 
-    The texts of all that meet one ``a`` follow its own in chunks, so a task holds two sets at a time
-    and a frequent ``a`` is dealt to many tasks.
+    Sets are dealt to blocks by hash. For each two blocks with pairs, the sets of the one are
+    held, those of the other pass by, so a text moves once for each block it meets and a task
+    holds one block.
     """
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    members = pairs.join(counts, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), "chunks"))
-    pivots = counts.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    rows = members.join(texts.withColumnRenamed("sid", "b"), "b").select("a", "chunk", "b", "text")
-    heads = pivots.join(texts.withColumnRenamed("sid", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "text")
-    dealt = rows.unionByName(heads).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.asc_nulls_first("b"))
+
+    def block(of: str) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(blocks)).alias(f"block_{of}")
+
+    dealt = pairs.select("a", "b", block("a"), block("b"))
+    place = ["block_a", "block_b"]
+    held = dealt.select(*place, F.col("a").alias("sid")).distinct().withColumn("others", F.lit(None).cast("array<long>"))
+    passing = dealt.groupBy(*place, F.col("b").alias("sid")).agg(F.collect_list("a").alias("others"))
+    rows = held.unionByName(passing).join(texts, "sid").select(*place, F.col("others").isNotNull().alias("passes"), "sid", "text", "others")
+    rows = rows.repartition(*place).sortWithinPartitions(*place, "passes", "sid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty(0, dtype=np.uint64)
+        now, sets = None, {}
         for batch in batches:
             found = []
-            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            columns = [batch.column(k).to_pylist() for k in (0, 1, 3, 5)]
+            for block_a, block_b, sid, others, text in zip(*columns, batch.column(4), strict=True):
+                if now != (block_a, block_b):
+                    now, sets = (block_a, block_b), {}
                 own = shingle_set(text.as_py(), words)
-                if b is None:
-                    held = own
-                else:
-                    both = len(np.intersect1d(held, own, assume_unique=True))
-                    if 100 * both >= similarity_percent * (len(held) + len(own) - both):
-                        found.append((a, b))
+                if others is None:
+                    sets[sid] = own
+                    continue
+                for a in others:
+                    both = len(np.intersect1d(sets[a], own, assume_unique=True))
+                    if 100 * both >= similarity_percent * (len(sets[a]) + len(own) - both):
+                        found.append((a, sid))
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    return rows.mapInArrow(compare, "a long, b long")
 
 
 def _classes(
@@ -352,14 +361,19 @@ def _classes(
     if not total:
         return None
     info = shared.select("sid", "n", "shared")
+    blocks = math.ceil(shared.agg(F.sum("n")).first()[0] / BLOCK_ELEMENTS)
     links = labels = None
     for turn in range(ROUNDS + 1):
+        if turn == ROUNDS:
+            # A pair of sets with much in common meets at far fewer lists than subsets.
+            keys = _keys(shared, -1, similarity_percent)
+            total = keys.count()
         met, total = _mixed(_labelled(keys, labels), int(_ROUND_MASKS[turn]), total, similarity_percent)
         if turn == ROUNDS:
             pairs = _pairs_left(met, similarity_percent, total)
         else:
             pairs = _star_pairs(met, _labelled(info, labels), similarity_percent)
-        found = checkpointed(confirmed(stored(pairs, "jaccard-pairs"), texts, words, similarity_percent))
+        found = checkpointed(confirmed(stored(pairs, "jaccard-pairs"), texts, words, similarity_percent, blocks))
         # Keys at which only one component is left stay so.
         keys = met.drop("pivot", "label")
         if not found.isEmpty():

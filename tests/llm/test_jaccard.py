@@ -35,7 +35,7 @@ def test_components_are_those_of_all_pairs(spark, corpus, monkeypatch, border):
         monkeypatch.setattr(jaccard, "boundary", lambda costs: border)
         monkeypatch.setattr(jaccard, "HOT_GROUPS", 200)
         monkeypatch.setattr(jaccard, "KEYS", 1000)
-        monkeypatch.setattr(jaccard, "CHUNK", 8)
+        monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", 1000)
     some = [d for d in corpus if border is None or d[0] < 4011]
     docs = spark.createDataFrame(some, "doc_id long, text string").withColumn("sid", F.lit("x")).withColumn("a.b", F.lit(1))
     found = {r["doc_id"]: r for r in jaccard.similar_documents(docs.repartition(4)).collect()}
