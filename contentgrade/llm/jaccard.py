@@ -129,14 +129,12 @@ def _shared(texts: DataFrame, words: int, similarity_percent: int) -> DataFrame:
     return stored(found.select("sid", "n", "shared", rarest.alias("elements")), "jaccard-shared")
 
 
-def _rare(n: str, shared: str, similarity_percent: int, subset: int, of_smaller: bool = False) -> Column:
+def _rare(n: str, shared: str, similarity_percent: int, subset: int) -> Column:
     """How many of a set's rarest shared elements hold ``subset`` of those it shares with any similar set.
 
-    They are fewer for the smaller one of a pair, of which more has to be shared. What no
-    other set has is rarer still and takes its place among the rarest.
+    What no other set has is rarer still and takes its place among the rarest.
     """
-    least = F.lit(2 * similarity_percent) / (100 + similarity_percent) if of_smaller else F.lit(similarity_percent) / 100
-    overlap = F.ceil(F.round(least * F.col(n), 9))
+    overlap = F.ceil(F.lit(similarity_percent) * F.col(n) / 100)
     return F.greatest(F.least(F.col(shared) - overlap + subset, F.col(shared)), F.lit(0)).cast("bigint")
 
 
@@ -161,27 +159,28 @@ def boundary(costs: list[tuple[int, int, int]]) -> int:
 
 
 def _keys(shared: DataFrame, border: int, similarity_percent: int) -> DataFrame:
-    """key, sid, n, shared, large (is the set), listed (is the key an inverted list) of all sets.
+    """key, sid, n, room, large (is the set), listed (is the key an inverted list) of all sets.
 
-    ``first`` tells whether the key counts for the set as the smaller one of a pair.
+    ``room`` is the most that the set can share with another one if this is the first key,
+    in the order of elements, at which both meet: nothing before it, all behind it.
     """
 
     def list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, rows = 0, []
             for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                sid, n, shared_, one, two, first_one, first_two, elements = row
+                sid, n, shared_, one, two, elements = row
                 own, large = np.array(elements, dtype=np.int64), n > border
-                keys, first, lists = np.empty(0, dtype=np.int64), np.empty(0, dtype=bool), 0
+                keys, room, lists = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), 0
                 # Small sets stand in the lists too, if a large one can be similar to them.
                 if large or 100 * n >= similarity_percent * (border + 1):
-                    keys, first, lists = own[:one], np.arange(one) < first_one, one
+                    keys, room, lists = own[:one], shared_ - np.arange(one), one
                 if not large:
                     a, b = np.triu_indices(two, 1)
                     rare = mix(own[:two].view(np.uint64) ^ _PAIRED)
                     keys = np.concatenate([keys, mix(rare[a] + rare[b]).view(np.int64)])
-                    first = np.concatenate([first, b < first_two])
-                rows.append((keys, first, sid, n, shared_, large, lists))
+                    room = np.concatenate([room, shared_ - b + 1])
+                rows.append((keys, room, sid, n, large, lists))
                 held += len(keys)
                 if held >= KEYS:
                     yield whole(rows)
@@ -190,16 +189,15 @@ def _keys(shared: DataFrame, border: int, similarity_percent: int) -> DataFrame:
                 yield whole(rows)
 
     def whole(rows: list[tuple]) -> pa.RecordBatch:
-        keys, first, sid, n, shared_, large, lists = zip(*rows, strict=True)
+        keys, room, sid, n, large, lists = zip(*rows, strict=True)
         times = [len(k) for k in keys]
-        columns = [pa.array(np.concatenate(keys)), *[pa.array(np.repeat(x, times)) for x in (sid, n, shared_, large)]]
-        listed = np.concatenate([np.arange(len(k)) < m for k, m in zip(keys, lists, strict=True)])
-        columns += [pa.array(listed), pa.array(np.concatenate(first))]
-        return pa.RecordBatch.from_arrays(columns, names=["key", "sid", "n", "shared", "large", "listed", "first"])
-
-    rare = [_rare("n", "shared", similarity_percent, k, smaller) for smaller in (False, True) for k in (1, 2)]
-    rows = shared.select("sid", "n", "shared", *rare, "elements.element")
-    found = rows.mapInArrow(list_keys, "key long, sid long, n long, shared long, large boolean, listed boolean, first boolean")
+        columns = [np.concatenate(keys), *[np.repeat(x, times) for x in (sid, n)], np.concatenate(room), np.repeat(large, times)]
+        columns.append(np.concatenate([np.arange(len(k)) < m for k, m in zip(keys, lists, strict=True)]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "sid", "n", "room", "large", "listed"])
+
+    one, two = (_rare("n", "shared", similarity_percent, k) for k in (1, 2))
+    rows = shared.select("sid", "n", "shared", one, two, "elements.element")
+    found = rows.mapInArrow(list_keys, "key long, sid long, n long, room long, large boolean, listed boolean")
     return stored(found, "jaccard-keys")
 
 
@@ -210,13 +208,19 @@ def _labelled(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
     return joined.withColumn("label", F.coalesce("label", "sid"))
 
 
+def _can_be_similar(similarity_percent: int, n: str, room: str, m: str, room_m: str) -> Column:
+    """Whether the sizes, and the most that each can share with others, allow for a link."""
+    sizes = 100 * F.least(n, m) >= similarity_percent * F.greatest(n, m)
+    return sizes & ((100 + similarity_percent) * F.least(room, room_m) >= similarity_percent * (F.col(n) + F.col(m)))
+
+
 def _mixed(rows: DataFrame, mask: int, total: int, similarity_percent: int) -> tuple[DataFrame, int]:
     """Rows of the keys at which sets of several components meet, with the key's pivot, and how many they are.
 
-    A set for which the key doesn't count as the smaller one stays only if one for which it
-    does is small enough.
+    Sets without room for a link with the smallest set of the key that has room leave it.
     """
     turned = F.col("sid").bitwiseXOR(F.lit(mask))
+    as_smaller = (100 + similarity_percent) * F.col("room") >= 2 * similarity_percent * F.col("n")
     groups = rows.groupBy("key").agg(
         F.count("*").alias("size"),
         F.min("label").alias("low"),
@@ -224,72 +228,44 @@ def _mixed(rows: DataFrame, mask: int, total: int, similarity_percent: int) -> t
         F.max(F.when(F.col("large"), turned)).alias("large_pivot"),
         F.max(turned).alias("any_pivot"),
         F.max("listed").alias("list"),
-        F.min(F.when(F.col("first"), F.col("n"))).alias("least"),
+        F.min(F.when(as_smaller, F.col("n"))).alias("least"),
     )
     groups = groups.filter("low < high and least is not null and (large_pivot is not null or not list)")
     groups = groups.withColumn("pivot", F.coalesce("large_pivot", "any_pivot").bitwiseXOR(F.lit(mask)))
     groups = stored(groups.select("key", "size", "pivot", "least"), "jaccard-groups")
     as_larger = (F.col("least") <= F.col("n")) & (
-        (100 + similarity_percent) * F.col("shared") >= similarity_percent * (F.col("n") + F.col("least"))
+        (100 + similarity_percent) * F.col("room") >= similarity_percent * (F.col("n") + F.col("least"))
     )
-    met = _with_group(rows, groups, "key", total).filter(F.col("first") | as_larger)
+    met = _with_group(rows, groups, "key", total).filter(as_smaller | as_larger)
     met = stored(met.drop("size", "least"), "jaccard-met")
     return met, met.count()
 
 
-def _can_be_similar(similarity_percent: int, n: str, shared: str, m: str, shared_m: str) -> Column:
-    """Whether the sizes, and how much of each other sets have at all, allow for a link."""
-    sizes = 100 * F.least(n, m) >= similarity_percent * F.greatest(n, m)
-    return sizes & ((100 + similarity_percent) * F.least(shared, shared_m) >= similarity_percent * (F.col(n) + F.col(m)))
-
-
 def _star_pairs(met: DataFrame, info: DataFrame, similarity_percent: int) -> DataFrame:
     """For each set that pivot of another component that it shares most keys with: a (the pivot), b."""
-    pairs = met.filter("sid <> pivot").groupBy("sid", "n", "shared", "label", "pivot").agg(F.count("*").alias("times"))
+    pairs = met.filter("sid <> pivot").groupBy("sid", "n", "label", "pivot")
+    pairs = pairs.agg(F.count("*").alias("times"), F.max("room").alias("room"))
     other = info.select(F.col("sid").alias("pivot"), *[F.col(c).alias(f"_{c}") for c in ("n", "shared", "label")])
     pairs = pairs.join(other, "pivot").filter("label <> _label")
-    pairs = pairs.filter(_can_be_similar(similarity_percent, "n", "shared", "_n", "_shared"))
+    pairs = pairs.filter(_can_be_similar(similarity_percent, "n", "room", "_n", "_shared"))
     best = pairs.groupBy("sid").agg(F.max(F.struct("times", "pivot")).alias("best"))
     return best.select(F.col("best.pivot").alias("a"), F.col("sid").alias("b"))
 
 
 def _pairs_left(met: DataFrame, similarity_percent: int, total: int) -> DataFrame:
-    """All pairs of sets of different components that meet at a key: a, b.
+    """All pairs of sets of different components that meet at a key and have room for a link there: a, b.
 
-    The sets of a key's most frequent component don't meet each other, so the pairs are
-    those of the others with all.
+    Sets with a link have it at the first key they share, so no pair is missed. The sets of a key's most
+    frequent component don't meet each other, so the pairs are those of the others with all.
     """
     counted = met.groupBy("key", "label").agg(F.count("*").alias("times"))
     most = counted.groupBy("key").agg(F.max(F.struct("times", "label")).alias("most"), F.sum("times").alias("size"))
     most = stored(most.select("key", "size", F.col("most.label").alias("major")), "jaccard-majors")
     rows = _with_group(met.drop("pivot"), most, "key", total)
-    columns = ("sid", "n", "shared", "large", "label", "first")
-    few = rows.filter("label <> major").select("key", *[F.col(c).alias(f"_{c}") for c in columns])
-    smaller = F.struct("n", "sid") < F.struct("_n", "_sid")
+    few = rows.filter("label <> major").select("key", *[F.col(c).alias(f"_{c}") for c in ("sid", "n", "room", "large", "label")])
     pairs = rows.join(few, "key").filter("label <> _label and (label = major or sid < _sid) and (large or _large or not listed)")
-    pairs = pairs.filter(F.when(smaller, F.col("first")).otherwise(F.col("_first")))
-    pairs = pairs.filter(_can_be_similar(similarity_percent, "n", "shared", "_n", "_shared"))
-    both = [F.when(smaller, F.col(x)).otherwise(F.col(f"_{x}")).alias(f"{x}_1") for x in ("sid", "n", "shared")]
-    both += [F.when(smaller, F.col(f"_{x}")).otherwise(F.col(x)).alias(f"{x}_2") for x in ("sid", "n", "shared")]
-    pairs = pairs.select("listed", *both)
-    counted = pairs.groupBy(pairs.columns).agg(F.count("*").alias("times"))
-    return counted.filter(_enough_keys(similarity_percent)).select(F.col("sid_1").alias("a"), F.col("sid_2").alias("b"))
-
-
-def _enough_keys(similarity_percent: int) -> Column:
-    """Whether the keys at which two sets meet are as many as a link needs.
-
-    In the order of elements, what both share up to the end of one's rare elements is rare
-    in both; what they share beyond is at most the rest of that one.
-    """
-    overlap = F.ceil(F.lit(similarity_percent) * (F.col("n_1") + F.col("n_2")) / (100 + similarity_percent))
-    rare_in_both = F.when(F.col("listed"), F.col("times")).otherwise(F.floor((1 + F.sqrt(1 + 8 * F.col("times"))) / 2))
-
-    def rest(k: int, of_smaller: bool) -> Column:
-        one, two = (_rare(f"n_{k}", f"shared_{k}", similarity_percent, subset, of_smaller) for subset in (1, 2))
-        return F.col(f"shared_{k}") - F.when(F.col("listed"), one).otherwise(two)
-
-    return rare_in_both + F.greatest(rest(1, True), rest(2, False)) >= overlap
+    pairs = pairs.filter(_can_be_similar(similarity_percent, "n", "room", "_n", "_room"))
+    return pairs.select(F.least("sid", "_sid").alias("a"), F.greatest("sid", "_sid").alias("b")).distinct()
 
 
 def _texts(documents: DataFrame, candidates: DataFrame, representatives: DataFrame, words: int, key: str, text: str) -> DataFrame:
