@@ -151,13 +151,15 @@ def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels for all but the German pages under a rewritten url, some of them twice."""
-    pages = table(spark, sf_dir, "pages").filter(~F.contains("url", F.lit("/de/")))
+    """Labels for all pages under a rewritten url, some of them twice, and one for a page that isn't there."""
+    pages = table(spark, sf_dir, "pages")
     rewritten = F.concat(F.regexp_replace("url", "^https://", "http://"), F.lit("/"))
     score = (F.lit(40) + F.col("page_id") % 60).cast("double")
     once = pages.select(
         "page_id", rewritten.alias("url"), score.alias("target_score"), F.col("page_id").cast("int").alias("pos")
     )
+    no_page = [(-1, "http://nowhere.example/", 50.0, -1)]
+    once = once.unionByName(spark.createDataFrame(no_page, "page_id long, url string, target_score double, pos int"))
     again = once.filter("page_id % 9 = 0").select(
         "page_id", "url", (F.col("target_score") + 1.0).alias("target_score"), (F.col("pos") + 1).alias("pos")
     )

@@ -849,7 +849,7 @@ def _(spark, sf_dir):
 @query("fit_classifier")
 def _(spark, sf_dir):
     rows = X.text_labels(spark, sf_dir)
-    found = classifier.fit_classifier(rows, key=["doc_id"], partitions=1)
+    found = classifier.fit_classifier(rows, key=["doc_id"], stop_words=X.STOP_WORDS)
     return rows.agg(F.count("*").alias("labelled")).select(
         F.lit(found.mae).alias("mae"),
         F.lit(found.mse).alias("mse"),
@@ -861,7 +861,7 @@ def _(spark, sf_dir):
 
 @query("predict_scores")
 def _(spark, sf_dir):
-    found = classifier.fit_classifier(X.text_labels(spark, sf_dir), key=["doc_id"], partitions=1)
+    found = classifier.fit_classifier(X.text_labels(spark, sf_dir), key=["doc_id"], stop_words=X.STOP_WORDS)
     predicted = classifier.predict_scores(found.model, X.documents(spark, sf_dir))
     return predicted.select("doc_id", "predicted_class", "predicted_score")
 
@@ -870,7 +870,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Scores of a model that was written and read back."""
     path = scratch_path(spark, "model")
-    found = classifier.fit_classifier(X.text_labels(spark, sf_dir), key=["doc_id"], partitions=1)
+    found = classifier.fit_classifier(X.text_labels(spark, sf_dir), key=["doc_id"], stop_words=X.STOP_WORDS)
     classifier.save_model(found.model, path)
     predicted = classifier.predict_scores(
         classifier.load_model(spark, path), X.documents(spark, sf_dir)
@@ -881,7 +881,7 @@ def _(spark, sf_dir):
 @query("train_text_model")
 def _(spark, sf_dir):
     found = train_text_model(
-        X.fetches(spark, sf_dir), unique_labels(X.label_entries(spark, sf_dir)), partitions=1
+        X.fetches(spark, sf_dir), unique_labels(X.label_entries(spark, sf_dir)), stop_words=X.STOP_WORDS
     )
     evaluated_ml = evaluate_pages(
         X.fetches(spark, sf_dir), X.AS_OF, mode="ml", model=found.model, keep=["page_id"]
@@ -892,7 +892,7 @@ def _(spark, sf_dir):
 @query("evaluate_hybrid")
 def _(spark, sf_dir):
     found = train_text_model(
-        parsed(spark, sf_dir), unique_labels(X.label_entries(spark, sf_dir)), partitions=1
+        parsed(spark, sf_dir), unique_labels(X.label_entries(spark, sf_dir)), stop_words=X.STOP_WORDS
     )
     return evaluated(spark, sf_dir, mode="hybrid", model=found.model).select(
         "page_id", "score.composite", "score.classification", "score.components.ml_score"

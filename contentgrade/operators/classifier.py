@@ -8,11 +8,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentgrade.operators.aggregates import classifier_metrics
+from contentgrade.operators.logistic import LogisticFit, fit_logistic
 from contentgrade.operators.regression import split
 from contentgrade.operators.tfidf import (
     MAX_FEATURES,
@@ -21,14 +22,13 @@ from contentgrade.operators.tfidf import (
     fit_tfidf,
     tfidf_transform,
 )
+from contentgrade.session import scratch_path
 
 # Lower bounds of the classes 1 to 3, the score that stands for each class,
-# and the settings of the fit.
+# and the seed of the split.
 BOUNDS = (50.0, 70.0, 85.0)
 MIDPOINTS = (25.0, 60.0, 77.5, 92.5)
 SEED = 42
-MAX_ITERATIONS = 1000
-TOLERANCE = 1e-4
 
 
 def bin_scores(score: Column) -> Column:
@@ -48,7 +48,7 @@ class TextModel:
     """Vocabulary and fitted regression; both are None before training."""
 
     vocabulary: Vocabulary | None = None
-    regression: LogisticRegressionModel | None = None
+    regression: LogisticFit | None = None
 
     @property
     def is_trained(self) -> bool:
@@ -72,14 +72,14 @@ def fit_classifier(
     test_size: float = 0.2,
     max_features: int = MAX_FEATURES,
     stop_words: Sequence[str] | None = None,
-    partitions: int | None = None,
 ) -> Training:
     """Train on scored texts and measure on the held-out share.
 
-    Fewer than four samples serve as train and test rows alike. The penalty ``1 / n`` is
-    that of a sum of losses with unit weight. Vocabulary and document weights come from the
-    train rows only. The fit runs one job per iteration over as many tasks as the rows have
-    partitions, or over ``partitions`` if given, which a small sample gains from.
+    Fewer than four samples serve as train and test rows alike. Half the squares of the weights
+    are the penalty on the sum of losses. Vocabulary and document weights come from the
+    train rows only. Their vectors are written to the shared folder once, and each step of the fit
+    adds up the shares of their rows in as many tasks as they have files. Neither the number
+    of tasks nor their order changes the model (see ``logistic``).
     """
     counts = rows.agg(
         F.count("*").alias("n"), F.count(text).alias("texts"), F.count(score).alias("scores")
@@ -94,27 +94,26 @@ def fit_classifier(
     else:
         n_test = math.ceil(test_size * counts["n"])
         train, test = split(binned, key, test_size, SEED, n_test=n_test)
-    sizes = train.agg(F.count("*").alias("n"), F.count_distinct("_class").alias("classes")).first()
-    if sizes["classes"] < 2:
+    sizes = train.groupBy("_class").count().orderBy("_class").collect()
+    classes, samples = tuple(int(row["_class"]) for row in sizes), sum(row["count"] for row in sizes)
+    if len(classes) < 2:
         raise ValueError("training needs rows of at least two classes")
     vocabulary = fit_tfidf(train, text, max_features, stop_words)
-    vectors = tfidf_transform(train, vocabulary, text).select("features", "_class")
-    if partitions is not None:
-        vectors = vectors.repartition(partitions)
-    regression = LogisticRegression(
-        featuresCol="features",
-        labelCol="_class",
-        family="multinomial",
-        regParam=1.0 / sizes["n"],
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=MAX_ITERATIONS,
-        tol=TOLERANCE,
-    ).fit(vectors)
+    places = F.create_map(*[F.lit(x) for place, label in enumerate(classes) for x in (label, place)])
+    entries = F.filter(
+        F.transform(vector_to_array("features"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] != 0
+    )
+    vectors = tfidf_transform(train, vocabulary, text).select(
+        places[F.col("_class").cast("int")].alias("label"), entries.alias("_entries")
+    )
+    path = scratch_path(rows.sparkSession, "training-vectors")
+    vectors.select("label", F.col("_entries.i").alias("indices"), F.col("_entries.x").alias("values")).write.parquet(path)
+    stored = rows.sparkSession.read.parquet(path)
+    regression = fit_logistic(stored, classes, len(vocabulary.terms), samples)
     model = TextModel(vocabulary, regression)
     predicted = predict_scores(model, test, text).withColumn("_actual", midpoint(F.col("_class")))
     errors = classifier_metrics(predicted, "_actual", "predicted_score").first()
-    return Training(model, errors["mae"], errors["mse"], sizes["n"], errors["samples"])
+    return Training(model, errors["mae"], errors["mse"], samples, errors["samples"])
 
 
 def predict_scores(model: TextModel, rows: DataFrame, text: str = "text") -> DataFrame:
@@ -122,16 +121,10 @@ def predict_scores(model: TextModel, rows: DataFrame, text: str = "text") -> Dat
     if model is None or not model.is_trained:
         raise RuntimeError("the model is not trained")
     featured = tfidf_transform(rows, model.vocabulary, text, "_features")
-    regression = model.regression.copy()
-    regression.setFeaturesCol("_features")
-    regression.setPredictionCol("_prediction")
-    regression.setRawPredictionCol("_raw")
-    regression.setProbabilityCol("_probability")
     return (
-        regression.transform(featured)
-        .withColumn("predicted_class", F.col("_prediction").cast("int"))
+        featured.withColumn("predicted_class", model.regression.predicted(vector_to_array("_features")).cast("int"))
         .withColumn("predicted_score", midpoint(F.col("predicted_class")))
-        .drop("_features", "_prediction", "_raw", "_probability")
+        .drop("_features")
     )
 
 
@@ -148,7 +141,10 @@ def save_model(model: TextModel, path: str) -> None:
     spark.createDataFrame([(facts,)], "value string").coalesce(1).write.mode("overwrite").text(
         f"{path}/facts"
     )
-    model.regression.write().overwrite().save(f"{path}/regression")
+    fit = model.regression
+    weights = list(zip(fit.classes, fit.intercepts, fit.weights))
+    table = spark.createDataFrame(weights, "label int, intercept double, weights array<double>")
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/regression")
 
 
 def load_model(spark: SparkSession, path: str) -> TextModel:
@@ -168,4 +164,10 @@ def load_model(spark: SparkSession, path: str) -> TextModel:
         facts["documents"],
         tuple(facts["stop_words"]),
     )
-    return TextModel(vocabulary, LogisticRegressionModel.load(f"{path}/regression"))
+    fitted = spark.read.parquet(f"{path}/regression").orderBy("label").collect()
+    regression = LogisticFit(
+        tuple(row["label"] for row in fitted),
+        tuple(tuple(row["weights"]) for row in fitted),
+        tuple(row["intercept"] for row in fitted),
+    )
+    return TextModel(vocabulary, regression)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from contentgrade.functions.scores import COMPONENTS, Weights
 from contentgrade.operators import classifier as C
+from contentgrade.operators.logistic import LogisticFit, fit_logistic
 from contentgrade.operators.calibration import learn_weights
 from contentgrade.operators.labels import match_labels
 from contentgrade.operators.regression import fit_evaluate, fit_ols, prepare, split
@@ -162,7 +163,7 @@ def test_bins_cap_at_three(spark):
 
 
 def test_classifier_learns_and_survives_storage(spark, tmp_path):
-    found = C.fit_classifier(scored_texts(spark), key=["id"], partitions=1)
+    found = C.fit_classifier(scored_texts(spark), key=["id"])
     assert (found.train_samples, found.test_samples, found.mae, found.mse) == (32, 8, 0.0, 0.0)
     new = spark.createDataFrame([("yield curve of a bond",), ("pasta recipe",)], "text string")
     scores = [r["predicted_score"] for r in C.predict_scores(found.model, new).collect()]
@@ -173,6 +174,35 @@ def test_classifier_learns_and_survives_storage(spark, tmp_path):
     assert [r["predicted_score"] for r in C.predict_scores(loaded, new).collect()] == scores
 
 
+def test_logistic_fit_is_the_same_for_any_partitioning(spark):
+    r = np.random.default_rng(4)
+    dense = r.normal(size=(90, 5)) * (r.random((90, 5)) < 0.7)
+    labels = (dense[:, :3] + r.normal(size=(90, 3))).argmax(axis=1)
+    for classes in ((0, 3), (0, 1, 3)):
+        rows = [
+            (int(y), [int(j) for j in np.flatnonzero(x)], [float(v) for v in x[x != 0]])
+            for x, y in zip(dense, labels) if y < len(classes)
+        ]
+        table = spark.createDataFrame(rows, "label int, indices array<int>, values array<double>")
+        fits = [fit_logistic(table.repartition(n), classes, 5, len(rows)) for n in (1, 7, 64)]
+        assert fits[0] == fits[1] == fits[2]
+        # At the minimum the slope of the penalised loss is zero; checked with dense arithmetic.
+        x = np.array([np.bincount(i, v, 5) if i else np.zeros(5) for _, i, v in rows])
+        y = np.array([label for label, _, _ in rows])
+        w, b = np.array(fits[0].weights), np.array(fits[0].intercepts)
+        z = x @ w.T + b
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        gap = p - (y[:, None] == np.arange(len(classes)))
+        assert np.abs(gap.T @ x + w)[1:].max() < 2e-5 and np.abs(gap.sum(axis=0)).max() < 2e-5
+
+
+def test_margins_choose_the_smallest_of_equal_classes(spark):
+    fit = LogisticFit((0, 2), ((0.0, 0.0), (1.0, -1.0)), (0.0, 0.0))
+    rows = spark.createDataFrame([([1.0, 1.0],), ([2.0, 1.0],), ([0.0, 1.0],)], "x array<double>")
+    assert [r[0] for r in rows.select(fit.predicted(F.col("x"))).collect()] == [0, 2, 0]
+
+
 def test_classifier_errors(spark, tmp_path):
     rows = scored_texts(spark)
     with pytest.raises(ValueError, match="no rows"):
@@ -190,7 +220,7 @@ def test_classifier_errors(spark, tmp_path):
 
 
 def test_small_samples_are_train_and_test(spark):
-    found = C.fit_classifier(scored_texts(spark, 3), key=["id"], partitions=1)
+    found = C.fit_classifier(scored_texts(spark, 3), key=["id"])
     assert (found.train_samples, found.test_samples) == (3, 3)
 
 
@@ -202,8 +232,8 @@ def test_train_and_score_with_the_model(spark):
         scored_texts(spark).select(F.concat(F.lit("http://h.example/"), "id", F.lit("/")).alias("url"), "target_score", F.col("id").alias("pos"))
     )
     pages = evaluate_pages(fetches, "2024-01-01")
-    found = train_text_model(pages, labels, partitions=1)
-    assert train_text_model(fetches, labels, partitions=1).model.vocabulary == found.model.vocabulary
+    found = train_text_model(pages, labels)
+    assert train_text_model(fetches, labels).model.vocabulary == found.model.vocabulary
     ml = evaluate_pages(fetches, "2024-01-01", mode="ml", model=found.model).select("score.*").collect()
     assert {(r["composite"], r["classification"]) for r in ml} == {(92.5, "Eccellente"), (25.0, "Criticità")}
     hybrid = evaluate_pages(fetches, "2024-01-01", mode="hybrid", model=found.model).select("score.*").collect()
