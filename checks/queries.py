@@ -291,9 +291,7 @@ def _(spark, sf_dir):
 @query("cached_fetch")
 def _(spark, sf_dir):
     events = X.table(spark, sf_dir, "events")
-    requests = events.filter("event_type = 'purchase'").select(
-        "event_id", F.col("user_id").alias("url"), F.col("ts").alias("requested_at")
-    )
+    requests = events.select("event_id", F.col("user_id").alias("url"), F.col("ts").alias("requested_at"))
     stored = events.filter("event_type = 'view'").select(
         F.col("user_id").alias("url"), F.col("ts").alias("fetched_at")
     )

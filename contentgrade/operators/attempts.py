@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contentgrade.session import shared_dir
+
 # The retry policy.
 MAX_ATTEMPTS = 3
 FIRST_WAIT_SECONDS = 1.0
@@ -53,7 +55,6 @@ def cached_fetch(
     requests: DataFrame,
     fetches: DataFrame,
     ttl_seconds: int = 3600,
-    slots: int = 4,
     url: str = "url",
     requested_at: str = "requested_at",
     fetched_at: str = "fetched_at",
@@ -61,62 +62,44 @@ def cached_fetch(
 ) -> DataFrame:
     """Add ``cached_at``: the latest fetch of the url at most ``ttl_seconds`` old, or null.
 
-    An as-of lookup without pairs. Time is cut into slots of ``ttl / slots``. Inside a slot
-    a running ``last`` over requests and fetches together finds the answer; the latest fetch
-    of the ``slots`` slots before comes in as one extra row per url and slot. A busy url is
-    thus spread over its slots, and no request is ever paired with several fetches. Columns
-    named in ``payload`` are taken from the fetch that was found, as ``cached_<name>``.
+    An as-of lookup without pairs, as a scan over segments. Requests and fetches together are dealt
+    to partitions by ranges of url and time, so that a url of any share of the rows fills as many
+    partitions as it needs, even if all its rows are of one hour or one instant. Each
+    partition is scanned by itself. What it has to know from those before it is one fetch at most, the last
+    of the url that it begins with; a second pass over one row per partition finds that.
+
+    A fetch at the very time of a request counts. Requests without a url or a time stay, with
+    a null. Columns named in ``payload`` are taken from the fetch that was found, as
+    ``cached_<name>``; of several at one time it is the one of the greatest hash of these.
     """
     ttl = ttl_seconds * 1_000_000
-    width = -(-ttl // slots)
-
-    def slot(at: Column) -> Column:
-        return F.floor(at / F.lit(width)).cast("bigint")
-
+    shared_dir(requests.sparkSession)
     at = F.unix_micros(F.col(fetched_at).cast("timestamp"))
     seen = fetches.filter(F.col(url).isNotNull() & F.col(fetched_at).isNotNull()).select(
         F.col(url).alias("_url"),
-        slot(at).alias("_slot"),
         at.alias("_at"),
+        F.lit(1).alias("_kind"),
+        (F.xxhash64(F.to_json(F.struct(*payload))) if payload else F.lit(0).cast("bigint")).alias("_spread"),
         F.struct(at.alias("at"), *payload).alias("_found"),
     )
-    latest = seen.groupBy("_url", "_slot").agg(F.max_by("_found", "_at").alias("_found"))
-    carried = (
-        latest.select(
-            "_url",
-            F.explode(F.sequence(F.col("_slot") + 1, F.col("_slot") + slots)).alias("_slot"),
-            "_found",
-        )
-        .groupBy("_url", "_slot")
-        .agg(F.max_by("_found", F.col("_found.at")).alias("_found"))
-    )
-
     request = F.struct(*[F.col(name) for name in requests.columns])
-    no_request = F.lit(None).cast(requests.select(request.alias("r")).schema["r"].dataType)
-    no_fetch = F.lit(None).cast(seen.schema["_found"].dataType)
     asked_at = F.unix_micros(F.col(requested_at).cast("timestamp"))
-    keyed = requests.filter(F.col(url).isNotNull())
-    asked = keyed.select(
+    keyed = F.col(url).isNotNull() & asked_at.isNotNull()
+    asked = requests.filter(keyed).select(
         F.col(url).alias("_url"),
-        slot(asked_at).alias("_slot"),
         asked_at.alias("_at"),
-        no_fetch.alias("_found"),
-        request.alias("_request"),
         F.lit(2).alias("_kind"),
+        F.xxhash64(F.to_json(request)).alias("_spread"),
+        request.alias("_request"),
     )
-    inside = seen.withColumns({"_request": no_request, "_kind": F.lit(1)})
-    before = carried.withColumns(
-        {"_at": F.col("_slot") * width, "_request": no_request, "_kind": F.lit(0)}
-    )
-    running = (
-        Window.partitionBy("_url", "_slot")
-        .orderBy("_at", "_kind")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    order = ["_at", "_kind", "_spread"]
+    rows = asked.unionByName(seen, allowMissingColumns=True)
+    # A checkpoint keeps partitions as they are, so both passes see the same ones.
+    dealt = rows.repartitionByRange("_url", *order).checkpoint().withColumn("_part", F.spark_partition_id())
+    scan = Window.partitionBy("_part", "_url").orderBy(*order)
     answered = (
-        asked.unionByName(inside)
-        .unionByName(before)
-        .withColumn("_last", F.last("_found", ignorenulls=True).over(running))
+        dealt.unionByName(_carried(dealt), allowMissingColumns=True)
+        .withColumn("_last", F.last("_found", ignorenulls=True).over(scan.rowsBetween(Window.unboundedPreceding, 0)))
         .filter(F.col("_kind") == 2)
         .withColumn("_fresh", F.when(F.col("_last.at") >= F.col("_at") - ttl, F.col("_last")))
     )
@@ -125,5 +108,23 @@ def cached_fetch(
         F.timestamp_micros("_fresh.at").alias("cached_at"),
         *[F.col(f"_fresh.{name}").alias(f"cached_{name}") for name in payload],
     )
-    unkeyed = requests.filter(F.col(url).isNull())
-    return hit.unionByName(unkeyed, allowMissingColumns=True)
+    return hit.unionByName(requests.filter(~keyed), allowMissingColumns=True)
+
+
+def _carried(dealt: DataFrame) -> DataFrame:
+    """For each partition the last earlier fetch of the url it begins with, as a row before all others.
+
+    A url that goes on in the next partition is the last of its own, so one row per
+    partition, with its first url and its last fetch, tells everything.
+    """
+    is_fetch = F.col("_kind") == 1
+    ends = dealt.groupBy("_part").agg(
+        F.min("_url").alias("first"),
+        F.max_by(F.struct("_url", "_found"), F.when(is_fetch, F.struct("_url", "_at", "_spread"))).alias("last"),
+    )
+    heads = ends.select("_part", F.col("first").alias("_url"), F.lit(0).alias("place"))
+    tails = ends.filter("last is not null").select("_part", "last.*", F.lit(1).alias("place"))
+    along = Window.partitionBy("_url").orderBy("_part", "place").rowsBetween(Window.unboundedPreceding, 0)
+    known = heads.unionByName(tails, allowMissingColumns=True).withColumn("_found", F.last("_found", ignorenulls=True).over(along))
+    found = known.filter((F.col("place") == 0) & F.col("_found").isNotNull())
+    return found.select("_part", "_url", F.col("_found.at").alias("_at"), F.lit(0).alias("_kind"), "_found")

@@ -85,11 +85,33 @@ def test_attempts_are_cut_before_the_shuffle(spark, sf_dir):
     assert plan.count("WindowGroupLimit") == 2
 
 
-@pytest.mark.parametrize("slots", [1, 3, 7])
-def test_cached_fetch_matches_brute_force(spark, slots):
+def test_hot_url_is_scanned_in_even_parts(spark):
+    """Nine rows of ten are of one url and one hour, many of one instant, with few fetches among them."""
+    start = 1_700_000_000
+    asked = [(i, "hot" if i % 10 else f"u{i % 70}", start + (i * 7 % 3600 if i % 3 else 1800)) for i in range(6000)]
+    stored = [("hot", start + t, t) for t in (5, 900, 1800, 3599)] + [(f"u{k}", start + 100, k) for k in range(70)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        r = spark.createDataFrame(asked, "id int, url string, s long").withColumn("requested_at", F.timestamp_seconds("s"))
+        f = spark.createDataFrame(stored, "url string, s long, n long").withColumn("fetched_at", F.timestamp_seconds("s"))
+        found = cached_fetch(r, f, 3600, payload=["n"])
+        parts = found.groupBy(F.spark_partition_id()).count().collect()
+        got = {x["id"]: x["cached_n"] for x in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for i, url, s in asked:
+        before = [t for u, t, _ in stored if u == url and t <= s]
+        assert got[i] == (None if not before else next(n for u, t, n in stored if u == url and t == max(before)))
+    assert max(x["count"] for x in parts) < 6000 / 3
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_cached_fetch_matches_brute_force(spark, seed):
     import random
 
-    rng = random.Random(slots)
+    rng = random.Random(seed)
     base = 1_700_000_000
     fetches = [(rng.choice("abc"), base + rng.randrange(40000) / 4, i) for i in range(300)]
     requests = [(i, rng.choice(["a", "b", "z", None]), base + rng.randrange(40000) / 4) for i in range(300)]
@@ -97,7 +119,7 @@ def test_cached_fetch_matches_brute_force(spark, slots):
     to_time = lambda name: F.timestamp_micros((F.col(name) * 1e6).cast("bigint")).alias(name)
     f = spark.createDataFrame(fetches, "url string, fetched_at double, n int").select("url", to_time("fetched_at"), "n")
     r = spark.createDataFrame(requests, "id int, url string, requested_at double").select("id", "url", to_time("requested_at"))
-    found = cached_fetch(r, f, 3600, slots, payload=["n"]).select("id", F.unix_micros("cached_at") / 1e6, "cached_n").collect()
+    found = cached_fetch(r, f, 3600, payload=["n"]).select("id", F.unix_micros("cached_at") / 1e6, "cached_n").collect()
     assert len(found) == len(requests)
     times = {i: t for _, t, i in fetches}
     for id_, at, n in found:
