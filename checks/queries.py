@@ -405,9 +405,17 @@ def _(spark, sf_dir):
 @query("crawl_frontier")
 def _(spark, sf_dir):
     found = frontier.crawl_frontier(
-        X.fixture_links(spark, sf_dir), X.first_page(spark, sf_dir), max_depth=3, max_pages=None
+        X.fixture_links(spark, sf_dir), X.first_page(spark, sf_dir)
     )
-    return found.select("url", F.col("depth").cast("bigint").alias("depth"), "referer")
+    return found.select("url", F.col("depth").cast("bigint").alias("depth"), "referer", "order")
+
+
+@query("crawl_budget")
+def _(spark, sf_dir):
+    """A budget of half the pages, which ends inside a level."""
+    budget = X.page_urls(spark, sf_dir).count() // 2
+    found = frontier.crawl_frontier(X.fixture_links(spark, sf_dir), _seed_pages(spark, sf_dir), max_pages=budget)
+    return found.select("url", F.col("depth").cast("bigint").alias("depth"), "referer", "order")
 
 
 @query("crawl_frontier_rules")
@@ -420,10 +428,8 @@ def _(spark, sf_dir):
         fetches=X.fetches(spark, sf_dir, rich=False),
         groups=groups,
         agent="somebot",
-        max_depth=3,
-        max_pages=None,
     )
-    return found.select("url", F.col("depth").cast("bigint").alias("depth"), "referer")
+    return found.select("url", F.col("depth").cast("bigint").alias("depth"), "referer", "order")
 
 
 def _seed_pages(spark, sf_dir):

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from contentgrade.functions.urls import normalize_url
 from contentgrade.operators.pages import usable_fetches
 from contentgrade.operators.robots import apply_rules
-from contentgrade.operators.skew import nth_smallest
-from contentgrade.session import shared_dir
+from contentgrade.operators.skew import numbered
+from contentgrade.session import scratch_path, shared_dir
 from contentgrade.sources.robots import agent_rules
 
 def _seed_frame(spark: SparkSession, seeds: Sequence[str] | DataFrame) -> DataFrame:
@@ -34,16 +34,18 @@ def crawl_frontier(
     dedupe: bool = True,
     salts: int = 8,
 ) -> DataFrame:
-    """``url, depth, referer, visits`` of the pages that a crawl from the seeds would visit.
+    """``url, depth, referer, visits, order`` of the pages that a crawl from the seeds would visit.
 
     ``links`` has ``src_url, dst_url`` in normal form. With ``fetches``, only pages whose
     fetch was usable are expanded. With ``groups`` of robots rules, urls that ``agent`` may
     not visit are left out. The referer is the smallest url among the pages of the level
-    before that link here, so the result does not depend on timing.
+    before that link here, so the result does not depend on timing. ``order`` numbers the
+    pages from 0 without gaps by depth, url and referer.
 
-    One join per level. The links are cut to expandable pages, made distinct and hashed once
-    and kept that way, so each level shuffles its own rows only. A page with very many links
-    is spread over ``salts`` partitions. Candidates are combined per target before they
+    One join per level. The links are cut to expandable pages, made distinct and written once,
+    as a table in buckets by source, to the shared folder; a level joins them in place, from any
+    executor, and shuffles its own rows, and the urls seen before to leave those out. A page with very
+    many links is spread over ``salts`` buckets. Candidates are combined per target before they
     move, which keeps a page that everyone links to small. Each level is checkpointed, which
     ends its lineage.
 
@@ -66,10 +68,8 @@ def crawl_frontier(
         alive = usable_fetches(fetches).select(normalize_url(F.col("url")).alias("src_url"))
         expandable = alive.distinct().withColumn("salt", every_salt)
         edges = edges.join(expandable, ["src_url", "salt"], "left_semi")
-    # Counting fills the cache, after which Spark knows its partitioning and joins in place.
-    # Behind it lies a checkpoint, so a lost executor costs one shuffle and no new extraction.
-    edges = edges.checkpoint().repartition(partitions, "src_url", "salt").persist()
-    edges.count()
+    name = _bucketed(edges, partitions)
+    edges = spark.table(name)
 
     rules = None if groups is None else agent_rules(groups, agent).checkpoint()
 
@@ -115,30 +115,29 @@ def crawl_frontier(
             break
         seen += found
         visited = visited.unionByName(level)
-    edges.unpersist()
-    return visited if max_pages is None else page_budget(visited, max_pages)
+    ordered = numbered(visited, ["depth", "url", "referer"])
+    spark.sql(f"DROP TABLE {name}")
+    return ordered if max_pages is None else page_budget(ordered, max_pages)
+
+
+def _bucketed(edges: DataFrame, partitions: int) -> str:
+    """Write the edges as a table of so many buckets by source and salt; its name in the session's catalog.
+
+    Its files lie in the shared folder and stay there when the name is dropped.
+    """
+    spark = edges.sparkSession
+    path = scratch_path(spark, "edges")
+    name = "edges_" + path.rsplit("-", 1)[1]
+    dealt = edges.repartition(partitions, "src_url", "salt")
+    dealt.write.bucketBy(partitions, "src_url", "salt").sortBy("src_url").option("path", path).saveAsTable(name)
+    return name
 
 
 def page_budget(frontier: DataFrame, max_pages: int) -> DataFrame:
-    """The first ``max_pages`` pages in breadth-first order.
+    """The first ``max_pages`` pages in breadth-first order, inside a level by url.
 
-    Inside the level where the budget ends, pages go by the hash of their url. Whole levels
-    are kept by depth alone and the last one is cut at a hash value, so the result is exact
-    for any budget and nothing is sorted or gathered in one task.
+    Takes a frontier with or without its ``order``; nothing is gathered in one task.
     """
-    left = max_pages
-    sizes = frontier.groupBy("depth").count().orderBy("depth").collect()
-    for row in sizes:
-        if row["count"] > left:
-            break
-        left -= row["count"]
-    else:
-        return frontier
-    cut_depth = row["depth"]
-    whole = F.col("depth") < cut_depth
-    if left == 0:
-        return frontier.filter(whole)
-    hashed = frontier.withColumn("_hash", F.md5("url"))
-    limit = nth_smallest(hashed.filter(F.col("depth") == cut_depth), "_hash", left)
-    in_budget = (F.col("depth") == cut_depth) & (F.col("_hash") <= limit)
-    return hashed.filter(whole | in_budget).drop("_hash")
+    if "order" in frontier.columns:
+        return frontier.filter(F.col("order") < max_pages)
+    return numbered(frontier, ["depth", "url"]).filter(F.col("order") < max_pages).drop("order")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contentgrade.session import shared_dir
+
 
 def salted_lookup(
     rows: DataFrame, lookup: DataFrame, key: str, salts: int = 16, spread_by: Column | None = None
@@ -55,6 +57,25 @@ def lookup(
     return salted_lookup(rows, table, key, salts, spread_by)
 
 
+def numbered(rows: DataFrame, by: Sequence[str], name: str = "order") -> DataFrame:
+    """Number rows from 0 without gaps in the order of columns that are unique together.
+
+    Rows are dealt to partitions by ranges and sorted there. A row's number is its place in
+    its partition plus the rows of the partitions before, of which there is one count per
+    partition; no task holds more than a partition.
+    """
+    shared_dir(rows.sparkSession)
+    # A checkpoint keeps partitions and their order, so both passes see the same ones.
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).checkpoint()
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = dealt.withColumns({"_part": F.spark_partition_id(), "_place": place})
+    counts = placed.groupBy("_part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("_part")) - F.col("n")
+    offsets = counts.select("_part", before.alias("_before"))
+    found = placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_place"))
+    return found.drop("_part", "_place", "_before")
+
+
 def nth_smallest(
     rows: DataFrame, hashed: str, n: int | Callable[[int], int], digits: int = 3
 ) -> str | None:

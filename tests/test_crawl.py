@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from contentgrade.operators.attempts import cached_fetch, final_attempts, number_attempts
-from contentgrade.operators.frontier import crawl_frontier, page_budget
+from contentgrade.operators.frontier import _bucketed, crawl_frontier, page_budget
 from contentgrade.operators.robots import effective_delay, robots_allowed
-from contentgrade.operators.skew import lookup, nth_smallest, salted_lookup
+from contentgrade.operators.skew import lookup, nth_smallest, numbered, salted_lookup
 from contentgrade.sources.robots import agent_rules, parse_robots, robots_rules
 
 BODIES = {
@@ -181,11 +181,36 @@ def test_frontier_budget_and_rules(spark, robots):
 
 def test_page_budget_takes_whole_levels_first(spark):
     rows = spark.range(5000).select(F.concat(F.lit("u"), "id").alias("url"), (F.col("id") % 3).cast("int").alias("depth"))
-    import hashlib
-
-    ordered = sorted((r["depth"], hashlib.md5(r["url"].encode()).hexdigest(), r["url"]) for r in rows.collect())
+    ordered = sorted((r["depth"], r["url"]) for r in rows.collect())
     for budget in (1, 1667, 1668, 2500, 4999, 5000, 9000):
-        assert {r["url"] for r in page_budget(rows, budget).collect()} == {u for _, _, u in ordered[:budget]}
+        assert {r["url"] for r in page_budget(rows, budget).collect()} == {u for _, u in ordered[:budget]}
+
+
+def test_numbers_have_no_gaps_in_many_partitions(spark):
+    rows = spark.range(3000).select((F.col("id") % 7).alias("a"), F.sha1(F.col("id").cast("string")).alias("b")).repartition(9)
+    found = numbered(rows, ["a", "b"], "place").collect()
+    ordered = sorted((r["a"], r["b"]) for r in found)
+    assert sorted((r["place"], r["a"], r["b"]) for r in found) == [(k, *row) for k, row in enumerate(ordered)]
+    assert numbered(rows.limit(0), ["a", "b"]).count() == 0
+
+
+def test_order_of_a_crawl_and_its_budget(spark):
+    links = spark.createDataFrame(graph(), "src_url string, dst_url string")
+    full = crawl_frontier(links, ["https://h.example/5"]).collect()
+    by_rule = sorted(full, key=lambda r: (r["depth"], r["url"]))
+    assert [r["order"] for r in by_rule] == list(range(len(full)))
+    cut = crawl_frontier(links, ["https://h.example/5"], max_pages=11).collect()
+    assert {r["url"] for r in cut} == {r["url"] for r in by_rule[:11]}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("edges_")]
+
+
+def test_edges_are_joined_where_they_lie(spark):
+    edges = spark.createDataFrame(graph(), "src_url string, dst_url string").withColumn("salt", F.lit(0))
+    name = _bucketed(edges, 4)
+    level = spark.createDataFrame([("https://h.example/5", 0)], "src_url string, salt int").hint("merge")
+    plan = level.join(spark.table(name), ["src_url", "salt"])._jdf.queryExecution().executedPlan().toString()
+    spark.sql(f"DROP TABLE {name}")
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_visits_count_repeated_discoveries(spark):
