@@ -777,12 +777,13 @@ def _(spark, sf_dir):
 @query("fit_evaluate_many")
 def _(spark, sf_dir):
     rows = X.table(spark, sf_dir, "lineitem")
-    return regression.fit_evaluate(
+    found = regression.fit_evaluate(
         rows,
         "l_extendedprice",
         ["l_quantity", "l_discount", "l_tax", "l_linenumber"],
         key=["l_orderkey", "l_linenumber"],
     )
+    return found.select(F.round("mae", 2).alias("mae"), F.round("rmse", 2).alias("rmse"), F.round("r2", 5).alias("r2"))
 
 
 @query("learn_weights")
@@ -792,9 +793,9 @@ def _(spark, sf_dir):
     weights = found.weights.as_dict()
     counted = results.agg(F.count("*").alias("pages"))
     return counted.select(
-        *[F.lit(value).alias(name) for name, value in weights.items()],
-        F.lit(found.mae).alias("mae"),
-        F.lit(found.mse).alias("mse"),
+        *[F.round(F.lit(value), 6).alias(name) for name, value in weights.items()],
+        F.round(F.lit(found.mae), 6).alias("mae"),
+        F.round(F.lit(found.mse), 6).alias("mse"),
         F.lit(found.samples).cast("bigint").alias("samples"),
         "pages",
     )
@@ -811,7 +812,7 @@ def _(spark, sf_dir):
         citation_patterns=X.CITATIONS,
     )
     return entries.agg(F.count("*").alias("labels")).select(
-        *[F.lit(value).alias(name) for name, value in found.weights.as_dict().items()],
+        *[F.round(F.lit(value), 6).alias(name) for name, value in found.weights.as_dict().items()],
         F.lit(found.samples).cast("bigint").alias("samples"),
         "labels",
     )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentgrade.functions.scores import COMPONENTS, Weights, weighted_sum
 from contentgrade.operators.labels import match_labels
+from contentgrade.operators.regression import least_squares
 from contentgrade.session import shared_dir
 
 
@@ -25,9 +25,8 @@ def learn_weights(results: DataFrame, labels: DataFrame | None = None) -> Calibr
     """Weights whose composite comes closest to the labels, with their errors on these pages.
 
     Without ``labels`` the results carry their ``target_score`` already. Least squares over the five components without intercept, negative weights set to zero,
-    then normalised. The pages are reduced to the twenty sums of the normal equations in one
-    aggregation; only those reach the driver. Components that do not vary are solved with
-    minimum norm.
+    then normalised. The pages are reduced to one triangle of six columns (see ``regression.triangle``); only that
+    reaches the driver. Components that do not vary are solved with minimum norm.
     """
     matched = results if labels is None else match_labels(results, labels)
     shared_dir(results.sparkSession)
@@ -35,21 +34,12 @@ def learn_weights(results: DataFrame, labels: DataFrame | None = None) -> Calibr
     samples = matched.select(
         *[F.col(f"score.components.{name}").alias(name) for name in COMPONENTS], "target_score"
     ).checkpoint()
-    pairs = [(a, b) for i, a in enumerate(COMPONENTS) for b in COMPONENTS[i:]]
-    sums = samples.agg(
-        F.count("*").alias("n"),
-        *[F.sum(F.col(a) * F.col(b)).alias(f"{a}*{b}") for a, b in pairs],
-        *[F.sum(F.col(a) * F.col("target_score")).alias(f"{a}*y") for a in COMPONENTS],
-    ).first()
-    if not sums["n"]:
+    n = samples.count()
+    if not n:
         raise ValueError("No pages matched with labels")
-    gram = np.array(
-        [[sums[f"{a}*{b}"] if (a, b) in pairs else sums[f"{b}*{a}"] for b in COMPONENTS] for a in COMPONENTS]
-    )
-    moments = np.array([sums[f"{a}*y"] for a in COMPONENTS])
-    solution, *_ = np.linalg.lstsq(gram, moments, rcond=1e-10)
+    solution = least_squares(samples, COMPONENTS, "target_score")
     weights = Weights(*[max(0.0, float(w)) for w in solution]).normalized()
     parts = F.struct(*COMPONENTS)
     gap = weighted_sum(parts, weights.as_column()) - F.col("target_score")
     errors = samples.agg(F.avg(F.abs(gap)).alias("mae"), F.avg(gap * gap).alias("mse")).first()
-    return Calibration(weights, errors["mae"], errors["mse"], sums["n"])
+    return Calibration(weights, errors["mae"], errors["mse"], n)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contentgrade.session import importable_by_workers
+
 # Shares of the loss and of the gradient are multiples of 2**-BITS.
 BITS = 36
 MAX_ITERATIONS = 1000
@@ -163,6 +165,7 @@ def fit_logistic(rows: DataFrame, classes: tuple[int, ...], features: int, sampl
     """
     if len(classes) < 2:
         raise ValueError("training needs rows of at least two classes")
+    importable_by_workers(rows.sparkSession)
     shape = (1 if len(classes) == 2 else len(classes), features + 1)
     free = np.full(shape, penalty)
     free[:, -1] = 0

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentgrade.operators.aggregates import regression_metrics
 from contentgrade.operators.skew import nth_smallest
+from contentgrade.session import importable_by_workers, shared_dir
+
+# Triangles that one task reduces to one in a step of the tree.
+FAN_IN = 16
 
 
 def prepare(
@@ -79,16 +83,64 @@ class LinearFit:
         return total
 
 
+def _reduced(block: np.ndarray) -> np.ndarray:
+    """The triangle of a block's QR factors: all that least squares needs of its rows."""
+    return np.linalg.qr(block, mode="r")
+
+
+def triangle(rows: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """The triangular factor of the matrix of these columns, by a tree over its rows.
+
+    Every task reduces its rows, batch by batch, to a square of the columns' number; further steps
+    stack ``FAN_IN`` of these and reduce them again, until one is left for the driver. Unlike sums of
+    products, that keeps the digits of nearly collinear columns.
+    """
+    width = len(columns)
+    importable_by_workers(rows.sparkSession)
+
+    def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, width))
+        for batch in batches:
+            block = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            held = _reduced(np.vstack([held, block])) if batch.num_rows else held
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array([held.ravel().tolist()], pa.list_(pa.float64()))], names=["r"])
+
+    def reduce_triangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, width))
+        for batch in batches:
+            for values in batch.column(0).to_pylist():
+                held = _reduced(np.vstack([held, np.array(values).reshape(-1, width)]))
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array([held.ravel().tolist()], pa.list_(pa.float64()))], names=["r"])
+
+    shared_dir(rows.sparkSession)
+    level = rows.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(reduce_rows, "r array<double>").checkpoint()
+    left = level.count()
+    while left > FAN_IN:
+        level = level.repartition(-(-left // FAN_IN)).mapInArrow(reduce_triangles, "r array<double>").checkpoint()
+        left = level.count()
+    found = [np.array(row["r"]).reshape(-1, width) for row in level.collect()]
+    return _reduced(np.vstack(found)) if found else np.zeros((0, width))
+
+
+def least_squares(rows: DataFrame, columns: Sequence[str], target: str) -> np.ndarray:
+    """Weights of the columns that come closest to the target, of equally close ones the shortest.
+
+    Rank is decided by singular values below the largest by a factor of the machine's precision times the columns.
+    """
+    r = triangle(rows, [*columns, target])
+    if not np.isfinite(r).all():
+        raise ValueError("least squares takes numbers only")
+    solution, *_ = np.linalg.lstsq(r[:, :-1], r[:, -1], rcond=64 * len(columns) * np.finfo(float).eps)
+    return solution
+
+
 def fit_ols(rows: DataFrame, target: str, features: Sequence[str]) -> LinearFit:
-    """Ordinary least squares with intercept from one aggregation of the normal equations."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
-    vectors = assembler.transform(rows.select(*features, target)).select("_features", target)
-    model = LinearRegression(
-        featuresCol="_features", labelCol=target, solver="normal", regParam=0.0
-    ).fit(vectors)
-    return LinearFit(
-        float(model.intercept), dict(zip(features, map(float, model.coefficients.toArray())))
-    )
+    """Ordinary least squares with intercept; of equally good answers the one of the smallest norm."""
+    ones = rows.select(*features, target).withColumn("_one", F.lit(1.0))
+    solution = least_squares(ones, [*features, "_one"], target)
+    return LinearFit(float(solution[-1]), dict(zip(features, map(float, solution[:-1]))))
 
 
 def fit_evaluate(

@@ -174,6 +174,25 @@ def test_classifier_learns_and_survives_storage(spark, tmp_path):
     assert [r["predicted_score"] for r in C.predict_scores(loaded, new).collect()] == scores
 
 
+def test_least_squares_keeps_digits_and_takes_the_shortest_answer(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(900, 3))
+    x = np.column_stack([x, x[:, 0] + 1e-7 * r.normal(size=900)])
+    y = x @ [2.0, -1.0, 0.5, 3.0] + 0.25
+    rows = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], "a double, b double, c double, d double, y double")
+    for parts in (1, 40):
+        fit = fit_ols(rows.repartition(parts), "y", ["a", "b", "c", "d"])
+        found = [*fit.coefficients.values(), fit.intercept]
+        assert np.allclose(found, [2.0, -1.0, 0.5, 3.0, 0.25], rtol=0, atol=1e-6)
+        # A column that is a multiple of another shares its weight with it.
+        twice = rows.repartition(parts).withColumn("e", 2 * F.col("b"))
+        shortest = list(fit_ols(twice, "y", ["b", "c", "e"]).coefficients.values())
+        exact = np.linalg.lstsq(np.column_stack([x[:, 1], x[:, 2], 2 * x[:, 1], np.ones(900)]), y, rcond=None)[0]
+        assert np.allclose(shortest, exact[:3], atol=1e-9)
+    with pytest.raises(ValueError, match="numbers"):
+        fit_ols(rows.withColumn("a", F.when(F.col("a") > 0, F.col("a"))), "y", ["a", "b"])
+
+
 def test_logistic_fit_is_the_same_for_any_partitioning(spark):
     r = np.random.default_rng(4)
     dense = r.normal(size=(90, 5)) * (r.random((90, 5)) < 0.7)
