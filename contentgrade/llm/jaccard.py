@@ -139,11 +139,16 @@ def _rare(n: str, shared: str, similarity_percent: int, subset: int) -> Column:
 
 
 def _costs(shared: DataFrame, similarity_percent: int) -> DataFrame:
-    """By classes of sizes, named by their largest: the pairs of rare elements, and the lengths of the lists of rare elements."""
+    """By classes of sizes, named by their largest: what sets cost as small ones and as large ones.
+
+    The unit is a row that moves. A pair of rare elements is mostly of one set alone and moves
+    once. A rare element is in another set's list by its choice, so its list is scanned for
+    a candidate in every round.
+    """
     one, two = (_rare("n", "shared", similarity_percent, k) for k in (1, 2))
-    lists = F.aggregate(F.slice("elements.size", 1, one.cast("int")), F.lit(0).cast("bigint"), lambda a, x: a + x)
     sizes = F.when(F.col("n") < 256, F.col("n")).otherwise(F.floor(16 * F.log2("n")) + 256)
-    costs = shared.select("n", sizes.alias("class"), (two * (two - 1) / 2).cast("bigint").alias("pairs"), lists.alias("scanned"))
+    pairs, scanned = (two * (two - 1) / 2).cast("bigint"), one * (ROUNDS + 1)
+    costs = shared.select("n", sizes.alias("class"), pairs.alias("pairs"), scanned.alias("scanned"))
     return costs.groupBy("class").agg(F.max("n"), F.sum("pairs"), F.sum("scanned")).drop("class")
 
 
