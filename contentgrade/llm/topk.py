@@ -20,8 +20,6 @@ QUERY_SET = 32_768
 BLOCK_ROWS = 8_192
 LEAF = 48
 CHILDREN = 12
-# Beyond this magnitude a component takes no part, so that every score fits in 64 bits.
-LARGEST = 1 << 27
 
 
 @dataclass(slots=True)
@@ -68,8 +66,18 @@ def build(points: np.ndarray, rows: np.ndarray | None = None, centre: int | None
     return node
 
 
-def _exact_products(a: np.ndarray, b: np.ndarray, exact_in_doubles: bool) -> np.ndarray:
-    return a @ b.T if exact_in_doubles else (a.astype(np.int64) @ b.astype(np.int64).T)
+def _exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of whole-numbered rows: in doubles or 64-bit integers where no sum can leave them, else in Python's.
+
+    What doesn't fit in 64 bits becomes the number nearest to it that does.
+    """
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    if most < 2**52:
+        return a @ b.T
+    if most < 2**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    return np.clip(whole(a) @ whole(b).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 class DualSearch:
@@ -84,19 +92,13 @@ class DualSearch:
         # Queries are rows too: the kth best of some of them is a score that the kth best reaches.
         others = points[:seeds]
         if len(others) > k:
-            exact = self._in_doubles(points)
             for start in range(0, len(points), 4096):
-                s = _exact_products(points[start : start + 4096], others, exact).astype(float)
+                s = _exact_products(points[start : start + 4096], others).astype(float)
                 own = np.arange(start, min(start + 4096, len(points)))
                 inside = own < len(others)
                 s[np.flatnonzero(inside), own[inside]] = -np.inf
                 self.floor[start : start + len(s)] = np.partition(s, -k, axis=1)[:, -k]
 
-    @staticmethod
-    def _in_doubles(*parts: np.ndarray) -> bool:
-        largest = max((float(np.abs(p).max()) if p.size else 0.0) for p in parts)
-        return largest * largest * parts[0].shape[1] < 2**52
-
     def _kth(self, q: int) -> float:
         return max(self.floor[q], float(self.scores[q][-1]) if len(self.scores[q]) == self.k else -np.inf)
 
@@ -122,7 +124,6 @@ class DualSearch:
         """Index a block of rows and search it for all queries together."""
         if self.tree is None or not len(data):
             return
-        exact = self._in_doubles(self.points, data)
         self._refresh(self.tree)
         tree = build(data)
         order = 0
@@ -134,7 +135,7 @@ class DualSearch:
             if bound + slack < (self._worst(q) if not q.children else q.worst):
                 continue
             if not q.children and not d.children:
-                self._leaves(q, d, data, ids, versions, exact)
+                self._leaves(q, d, data, ids, versions)
                 continue
             if d.children and (d.radius >= q.radius or not q.children):
                 pairs = [(q, c) for c in d.children]
@@ -147,8 +148,8 @@ class DualSearch:
                     order += 1
                     heapq.heappush(heap, (-most, order, a, b))
 
-    def _leaves(self, q: Node, d: Node, data: np.ndarray, ids: np.ndarray, versions: np.ndarray, exact: bool) -> None:
-        products = _exact_products(self.points[q.rows], data[d.rows], exact)
+    def _leaves(self, q: Node, d: Node, data: np.ndarray, ids: np.ndarray, versions: np.ndarray) -> None:
+        products = _exact_products(self.points[q.rows], data[d.rows])
         for i, row in enumerate(q.rows):
             row = int(row)
             near = np.flatnonzero(products[i] >= self._kth(row))
@@ -180,12 +181,17 @@ def top_k(
     blocks. A task returns at most ``k`` rows per query.
 
     Returns query_id, rank (from 1), vec_id and score; ties go to the smaller vec_id. Rows
-    left out are those of :func:`vectors.usable` (zero vectors take part) and vectors with a
-    component that is 2**27 or more after scaling; rows of equal id and vector are one.
+    left out are those of :func:`vectors.usable` (zero vectors take part); rows of equal id and vector
+    are one. Scores of components of any size are exact; one beyond 64 bits is given as the
+    largest or smallest 64-bit number.
     """
     rows = usable(vectors, key, vector, zeros=True)
-    rows = rows.withColumn("vec", F.transform("vec", lambda x: F.floor(F.lit(float(scale)) * x).cast("double")))
-    rows = rows.filter(F.forall("vec", lambda x: F.abs(x) < LARGEST))
+
+    def whole(x: Column) -> Column:
+        scaled = F.lit(float(scale)) * x
+        return F.when(F.abs(scaled) < 2.0**53, F.floor(scaled).cast("double")).otherwise(scaled)
+
+    rows = rows.withColumn("vec", F.transform("vec", whole))
     rows = stored(rows, "topk-vectors")
     chosen = vectors.filter(is_query).select(F.col(key).cast("bigint").alias("vec_id")).distinct()
     queries = stored(rows.join(chosen, "vec_id", "left_semi"), "topk-queries")

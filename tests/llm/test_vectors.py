@@ -119,6 +119,19 @@ def test_large_components_stay_exact():
         assert dual.found[q][:, 0].tolist() == best and dual.scores[q].tolist() == [scores[i] for i in best]
 
 
+def test_vectors_of_large_components_take_part(spark):
+    r = np.random.default_rng(9)
+    v = r.normal(size=(120, 4)).astype(np.float32)
+    v[40, 0], v[60, 1], v[77, 2] = 200_000.0, -3.0e8, 3.0e12
+    table = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<float>")
+    found = by_query(topk.top_k(table, F.col("vec_id") % 20 == 0).collect())
+    ints = [[int(np.floor(1024 * float(x))) for x in row] for row in v]
+    for q in range(0, 120, 20):
+        scores = [max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(ints[q], row, strict=True)))) for row in ints]
+        best = sorted((i for i in range(120) if i != q), key=lambda i: (-scores[i], i))[:10]
+        assert found[q] == [(i, scores[i]) for i in best]
+
+
 @pytest.mark.parametrize("points", [np.random.default_rng(2).normal(size=(3000, 5)), np.ones((500, 3))])
 def test_nodes_cover_their_rows(points):
     def check(node):
