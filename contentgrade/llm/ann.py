@@ -20,6 +20,8 @@ MAX_LISTS = 4_096
 # Lists are searched in groups of about so many rows, for about so many queries at a time.
 PART_ROWS = 16_384
 QUERY_ROWS = 4_096
+# Lengths of vectors that so few rows have are searched whole; every other length has its own index.
+FEW_ROWS = 1_024
 DEGREE = 24
 BEAM = 96
 
@@ -165,7 +167,8 @@ def calibrate(
     products = sample[:queries] @ sample.T
     products[np.arange(queries), np.arange(queries)] = -np.inf
     top = np.argsort(-products, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
-    ids, far = centroids.nearest(lifted[top.ravel()])
+    found = [centroids.nearest(lifted[part]) for part in np.array_split(top.ravel(), -(-top.size // 256))]
+    ids, far = (np.vstack([f[side] for f in found]) for side in (0, 1))
     chosen = boundary_lists(far, boundary_ratio, copies)
     ids = ids[:, : chosen.shape[1]]
     rows = np.repeat(np.arange(queries), top.shape[1])[:, None]
@@ -273,6 +276,10 @@ def nearest_neighbours(
     many queries search in several, by a hash, so no vector, however often it occurs, makes a
     long task. The driver holds the sample, the centroids and a few numbers per list.
 
+    An inner product needs two vectors of one length, so a query is answered from the vectors of
+    its own length. The most frequent length, and every other that more than ``FEW_ROWS`` rows
+    have, gets an index of its own; the rest are compared whole, length by length.
+
     Returns query_id, rank (from 1), vec_id and score in double precision; ties go to the
     smaller vec_id. Rows that are left out are those of :func:`vectors.usable`, among them
     zero vectors; rows of equal id and vector are one. Other columns are not looked at.
@@ -280,12 +287,61 @@ def nearest_neighbours(
     rows = stored(usable(vectors, key, vector, zeros=False), "ann-vectors")
     chosen = vectors.filter(is_query).select(F.col(key).cast("bigint").alias("vec_id")).distinct()
     queries = rows.join(chosen, "vec_id", "left_semi")
-    n, longest = rows.agg(
-        F.count("*"), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)))
-    ).first()
-    if not n:
-        none = rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-        return none.limit(0)
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    lengths = rows.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("held"), F.max(norm).alias("longest"))
+    # A row per length that has an index, and the most frequent one always has.
+    indexed = lengths.orderBy(F.desc("held"), "n").limit(1).unionByName(lengths.filter(F.col("held") > FEW_ROWS))
+    found = []
+    for r in indexed.distinct().orderBy(F.desc("held"), "n").collect():
+        own = F.size("vec") == r["n"]
+        found.append(
+            _indexed(rows.filter(own), queries.filter(own), r["held"], r["longest"], k, copies, boundary_ratio, recall)
+        )
+        rows, queries = rows.filter(~own), queries.filter(~own)
+    found.append(_compared(rows, queries, k))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return ranked(every, k)
+
+
+FOUND = "query_id long, query_version long, vec_id long, version long, score double"
+
+
+def _compared(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each query of a rare length, from all rows of that length."""
+    asked = queries.select("vec_id", "version").withColumn("asked", F.lit(True))
+    sides = rows.join(asked, ["vec_id", "version"], "left").select(
+        F.size("vec").alias("n"), F.coalesce("asked", F.lit(False)).alias("asked"), "vec_id", "version", "vec"
+    )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sorted_groups(batches):
+            ids, versions, x = part.column(2).to_numpy(), part.column(3).to_numpy(), rows_of(part.column(4))
+            for q in np.flatnonzero(part.column(1).to_numpy(zero_copy_only=False)):
+                scores = (x * x[q]).sum(axis=1)
+                best = np.lexsort((versions, ids, -scores))
+                best = best[best != q][:k]
+                same = np.full(len(best), q)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in (ids[same], versions[same], ids[best], versions[best], scores[best])],
+                    names=["query_id", "query_version", "vec_id", "version", "score"],
+                )
+
+    return sides.repartition("n").sortWithinPartitions("n").mapInArrow(search, FOUND)
+
+
+def _indexed(
+    rows: DataFrame,
+    queries: DataFrame,
+    n: int,
+    longest: float,
+    k: int,
+    copies: int,
+    boundary_ratio: float,
+    recall: float,
+) -> DataFrame:
+    """What an index over vectors of one length finds: at least the ``k`` best rows of each query's lists."""
     sample = rows.orderBy(F.xxhash64("vec_id", "version")).limit(SAMPLE).select("vec").toArrow()
     matrix = rows_of(sample.column("vec").combine_chunks())
     fitted = fit_centroids(matrix, n, longest)
@@ -376,5 +432,4 @@ def nearest_neighbours(
                     names=["query_id", "query_version", "vec_id", "version", "score"],
                 )
 
-    found = met.mapInArrow(search, "query_id long, query_version long, vec_id long, version long, score double")
-    return ranked(found, k)
+    return met.mapInArrow(search, FOUND)

@@ -57,6 +57,15 @@ def small_or_salted(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return salted_lookup(rows, table, key)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(table: DataFrame) -> list[Column]:
+    """All columns of a table, whatever characters are in their names."""
+    return [F.col(quoted(name)) for name in table.columns]
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentgrade.llm.common import small_or_salted, stored
+from contentgrade.llm.common import quoted, small_or_salted, stored
 
 # A host of fewer pages has no template; a class of fewer tokens or on a smaller part of the
 # host's pages is no part of one.
@@ -428,7 +428,7 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", te
         return pd.Series(out, dtype=object)
 
     rows = pages.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"),
+        F.struct(*[F.col(quoted(c)) for c in kept]).alias("_row"),
         F.col(html).cast("string").alias("_html"),
         host_hash(F.col(url).cast("string")).alias("_host"),
     )

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentgrade.llm.common import checkpointed, small_or_salted, stored
+from contentgrade.llm.common import checkpointed, quoted, small_or_salted, stored
 from contentgrade.llm.components import components
 from contentgrade.llm.neardup import mix, shingle_set
 
@@ -74,7 +74,7 @@ def _with_sets(documents: DataFrame, words: int, key: str, text: str) -> DataFra
                 names=["doc_id", "n_shingles", "sid", "sample"],
             )
 
-    rows = documents.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("_text"))
+    rows = documents.select(F.col(quoted(key)).alias("doc_id"), F.col(quoted(text)).cast("string").alias("_text"))
     return rows.mapInArrow(measure, f"doc_id {kind}, n_shingles long, sid long, sample array<long>")
 
 
@@ -276,7 +276,7 @@ def _pairs_left(met: DataFrame, similarity_percent: int, total: int) -> DataFram
 def _texts(documents: DataFrame, candidates: DataFrame, representatives: DataFrame, words: int, key: str, text: str) -> DataFrame:
     """sid and text of the sets that may have links, each from a document with that set."""
     wanted = representatives.select("sid", "doc_id").join(candidates, "sid").groupBy("doc_id").agg(F.collect_set("sid").alias("_sids"))
-    rows = documents.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("_text"))
+    rows = documents.select(F.col(quoted(key)).alias("doc_id"), F.col(quoted(text)).cast("string").alias("_text"))
     met = small_or_salted(rows.filter("doc_id is not null"), stored(wanted, "jaccard-ids"), "doc_id").filter("_sids is not null")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contentgrade.llm.common import stored
+from contentgrade.llm.common import quoted, stored
 
 # A term is a stretch of ASCII letters, digits and characters beyond ASCII.
 TERM = rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -130,7 +130,7 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 def _item_blocks(items: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
     """Distinct items with a block number each: blocks follow the size of the items, which is measured."""
-    kept = items.select(F.col(f"`{key}`").alias("item_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    kept = items.select(F.col(quoted(key)).alias("item_id"), F.col(quoted(text)).cast("string").alias("text"))
     kept = kept.filter("text is not null").distinct()
     count, size = kept.agg(F.count("*"), F.sum(F.octet_length("text").cast("bigint"))).first()
     blocks = max(1, math.ceil(2 * count / BLOCK_ITEMS), math.ceil(2 * (size or 0) / BLOCK_BYTES))
@@ -157,7 +157,7 @@ def _entries(documents: DataFrame, vocabulary, key: str, text: str) -> DataFrame
                 names=["doc_id", "n", "terms", "tfs"],
             )
 
-    rows = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = documents.select(F.col(quoted(key)).cast("bigint").alias("doc_id"), F.col(quoted(text)).cast("string").alias("text"))
     return rows.mapInArrow(count, "doc_id long, n long, terms array<int>, tfs array<int>")
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentgrade.llm.common import WORD, small_or_salted, stored
+from contentgrade.llm.common import WORD, quoted, small_or_salted, stored
 from contentgrade.llm.components import components
 
 MAX_EDITS = 2
@@ -351,4 +351,4 @@ def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, text: str = "text") ->
 
     left = met.withColumn("_rest", F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(rest(F.col(text), F.col("_dropped"))))
     left = left.filter(F.col("_dropped").isNull() | F.col("_rest").rlike(r"[^\x20\x09-\x0D]"))
-    return left.select(*[F.col("_rest").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return left.select(*[F.col("_rest").alias(c) if c == text else F.col(quoted(c)) for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contentgrade.llm.common import checkpointed, small_or_salted
+from contentgrade.llm.common import checkpointed, columns_of, quoted, small_or_salted
 
 HASH_BITS = 60
 DIGIT_BITS = 12
@@ -161,7 +161,7 @@ def mix_sources(
     """
     kept = [c for c in docs.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_times")]
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"),
+        F.struct(*[F.col(quoted(c)) for c in kept]).alias("_row"),
         F.col(source).alias("_source"),
         _source_key(F.col(source)).alias("_key"),
         F.coalesce(size.cast("bigint"), F.lit(0)).alias("_size"),
@@ -204,4 +204,4 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, one row per repetition, with the columns they came with."""
     times = mix_sources(docs, **options)
     copies = times.filter("mix_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times"))))
-    return copies.select(*docs.columns)
+    return copies.select(*columns_of(docs))

@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contentgrade.llm.common import columns_of, quoted
 from contentgrade.llm.mixing import seeded_hash
 
 DICTIONARY_BYTES = 65536
@@ -233,10 +234,10 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", scor
         for part in parts:
             yield pd.Series(shared.value.scores([("" if t is None else t).encode() for t in part]), dtype=float)
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], scored(F.col(text)).alias(score))
+    return docs.select(*[F.col(quoted(c)) for c in kept], scored(F.col(text)).alias(score))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents whose score reaches the threshold, with the columns they came with."""
     scored = score_quality(docs, fit_quality(docs, labels), score="_quality_score")
-    return scored.filter(F.col("_quality_score") >= threshold).select(*docs.columns)
+    return scored.filter(F.col("_quality_score") >= threshold).select(*columns_of(docs))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentgrade.llm.common import WORD
+from contentgrade.llm.common import WORD, quoted
 
 MIN_LENGTH = 24
 MIN_PERIODS = 3
@@ -246,7 +246,7 @@ def find_runs(
         return pa.RecordBatch.from_pydict(columns)
 
     seed = F.lit(None).cast("bigint") if tail_seed is None else tail_seed.cast("bigint")
-    rows = documents.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string").alias("_text"), seed.alias("_seed"))
+    rows = documents.select(F.col(quoted(key)), F.col(quoted(text)).cast("string").alias("_text"), seed.alias("_seed"))
     schema = _SCHEMA.format(text="collapsed string, " if with_text else "")
     return rows.mapInArrow(results, f"`{key}` {kind}, {schema}")
 

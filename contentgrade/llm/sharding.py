@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contentgrade.llm.common import checkpointed
+from contentgrade.llm.common import checkpointed, quoted
 
 # By what part of a shard a cut may move to keep the rows of a group in one shard.
 GROUP_SLACK = 0.02
@@ -110,10 +110,10 @@ def shard_by_bytes(rows: DataFrame, size: Column, group: Column, order: Sequence
     """
     kept = [c for c in rows.columns if c not in ("shard", "slot")]
     packed = rows.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"),
+        F.struct(*[F.col(quoted(c)) for c in kept]).alias("_row"),
         F.coalesce(size.cast("bigint"), F.lit(1)).alias("_size"),
         F.xxhash64(group).alias("_group"),
-        F.struct(*[F.col(f"`{c}`") for c in order], F.monotonically_increasing_id()).alias("_order"),
+        F.struct(*[F.col(quoted(c)) for c in order], F.monotonically_increasing_id()).alias("_order"),
     )
     ranged = checkpointed(packed.repartitionByRange("_group", "_order").sortWithinPartitions("_group", "_order").drop("_order"))
     ranged = ranged.withColumn("_part", F.spark_partition_id())

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentgrade.llm.common import stored
-from contentgrade.llm.vectors import ranked, rows_of, usable
+from contentgrade.llm.vectors import by_length, ranked, rows_of, usable
 
 # Queries go to the tasks in sets of about so many; a set is all that the driver ever holds.
 QUERY_SET = 32_768
@@ -182,7 +182,8 @@ def top_k(
 
     Returns query_id, rank (from 1), vec_id and score; ties go to the smaller vec_id. Rows
     left out are those of :func:`vectors.usable` (zero vectors take part); rows of equal id and vector
-    are one. Scores of components of any size are exact; one beyond 64 bits is given as the
+    are one. A query is answered from the vectors of its own length, whatever lengths there are: a
+    task has a tree of queries per length. Scores of components of any size are exact; one beyond 64 bits is given as the
     largest or smallest 64-bit number.
     """
     rows = usable(vectors, key, vector, zeros=True)
@@ -200,27 +201,32 @@ def top_k(
     for number in range(sets):
         table = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(sets)) == number).orderBy("vec_id", "version").toArrow()
         shared = rows.sparkSession.sparkContext.broadcast(
-            (
-                rows_of(table.column("vec").combine_chunks()),
-                table.column("vec_id").to_numpy(),
-                table.column("version").to_numpy(),
-            )
+            {
+                n: (rows_of(part.column("vec")), part.column("vec_id").to_numpy(), part.column("version").to_numpy())
+                for batch in table.combine_chunks().to_batches()
+                for n, part in by_length(batch, batch.schema.get_field_index("vec")).items()
+            }
         )
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            points, q_ids, q_versions = shared.value
-            dual = DualSearch(points, q_ids, q_versions, k)
+            duals: dict[int, DualSearch] = {}
             for batch in batches:
                 for start in range(0, batch.num_rows, BLOCK_ROWS):
-                    part = batch.slice(start, BLOCK_ROWS)
-                    dual.add(rows_of(part.column(2)), part.column(0).to_numpy(), part.column(1).to_numpy())
-            n = [len(s) for s in dual.scores]
-            if sum(n):
+                    for n, part in by_length(batch.slice(start, BLOCK_ROWS), 2).items():
+                        if n not in duals:
+                            if n not in shared.value:
+                                continue
+                            duals[n] = DualSearch(*shared.value[n], k)
+                        duals[n].add(rows_of(part.column(2)), part.column(0).to_numpy(), part.column(1).to_numpy())
+            for dual in duals.values():
+                n = [len(s) for s in dual.scores]
+                if not sum(n):
+                    continue
                 found = np.vstack(dual.found)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat(q_ids, n)),
-                        pa.array(np.repeat(q_versions, n)),
+                        pa.array(np.repeat(dual.ids, n)),
+                        pa.array(np.repeat(dual.versions, n)),
                         pa.array(found[:, 0]),
                         pa.array(found[:, 1]),
                         pa.array(np.concatenate(dual.scores)),

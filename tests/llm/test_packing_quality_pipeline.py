@@ -202,6 +202,18 @@ def test_pipeline_of_odd_documents(spark, sf_dir):
         docs.collect()
 
 
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    odd = ["a.b", "tick`ed", "with blank", "kept", "component_id", "size", "score", "shard"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    docs = docs.select("*", *[F.col("doc_id").alias(name) for name in odd])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, sf_dir)
+        assert found.columns == docs.columns, name
+        for row in found.collect():
+            assert all(row[n] == row["doc_id"] for n in odd), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() > 0
+
+
 def test_texts_of_a_dictionary_are_bounded():
     texts = [f"text {i} of its own words {i * 7919}".encode() for i in range(40)]
     labels = [i % 2 for i in range(40)]

@@ -132,6 +132,32 @@ def test_vectors_of_large_components_take_part(spark):
         assert found[q] == [(i, scores[i]) for i in best]
 
 
+@pytest.mark.parametrize("few", [1_024, 30])
+def test_every_length_is_answered_among_its_own(spark, monkeypatch, few):
+    monkeypatch.setattr(ann, "FEW_ROWS", few)
+    r = np.random.default_rng(13)
+    tables = {n: r.normal(size=(count, n)) for n, count in ((8, 300), (5, 60), (3, 25), (2, 1))}
+    rows, own = [], {}
+    for n, v in tables.items():
+        own[n] = np.arange(len(v)) * 10 + n
+        rows += [(int(i), [float(x) for x in x_]) for i, x_ in zip(own[n], v, strict=True)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    exact, near = {}, {}
+    for n, v in tables.items():
+        exact |= brute(np.floor(1024 * v), own[n], range(len(v)), 10)
+        near |= brute(v, own[n], range(len(v)), 20)
+    found = by_query(topk.top_k(table, F.lit(True)).collect())
+    assert found == {q: [(i, int(s)) for i, s in best] for q, best in exact.items() if best}
+    found = by_query(ann.nearest_neighbours(table, F.lit(True)).collect())
+    assert found.keys() == {q for q, best in near.items() if best}
+    for q, best in near.items():
+        if best:
+            same = len({i for i, _ in found[q]} & {i for i, _ in best})
+            assert len(found[q]) == len(best) and same >= 0.7 * len(best)
+    rare = {q for q in near if q % 10 == 3 or (q % 10 == 5 and few > 60)}
+    assert all([i for i, _ in found[q]] == [i for i, _ in near[q]] for q in rare)
+
+
 @pytest.mark.parametrize("points", [np.random.default_rng(2).normal(size=(3000, 5)), np.ones((500, 3))])
 def test_nodes_cover_their_rows(points):
     def check(node):
