@@ -10,18 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentgrade.llm import linededup, mixing, neardup, packing, quality
-from contentgrade.llm.common import read, small_or_salted, stored, visible_to_workers, word_count
+from contentgrade.llm.common import columns_of, read, small_or_salted, stored, visible_to_workers, word_count
 from contentgrade.session import scratch_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a quality score of at least one half, learned from the labels."""
+    """Documents of a quality score of at least one half, learned from the labels.
+
+    A null text counts as an empty one; repeated rows are scored alike, so they stay or go
+    together. An empty table stays empty. Columns of any name are kept.
+    """
     visible_to_workers(spark)
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one but for two edits; n_chars follows."""
+    """Documents without lines that repeat an earlier one but for two edits; n_chars follows.
+
+    A null or an empty text has no lines and stays as it is. Of repeated rows the lines of one
+    stay. A document goes if nothing of its text is left.
+    """
     visible_to_workers(spark)
     left = linededup.dedup_lines(docs)
     return left.withColumn("n_chars", F.coalesce(F.char_length("text").cast("bigint"), F.col("n_chars")))
@@ -37,16 +45,23 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     classes = neardup.near_duplicates(docs, words=5, similarity_percent=80)
     gone = classes.filter("doc_id is not null and not kept").select("doc_id").distinct()
     gone = stored(gone.withColumn("_gone", F.lit(True)), "near-gone")
-    return small_or_salted(docs, gone, "doc_id").filter("_gone is null").select(*docs.columns)
+    return small_or_salted(docs, gone, "doc_id").filter("_gone is null").select(*columns_of(docs))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document; what it doesn't take goes."""
+    """A row for each time the mix takes a document; what it doesn't take goes.
+
+    A null source is a source of its own, a text without words has size 0, and rows of one
+    doc_id are taken alike.
+    """
     return mixing.mixed(docs, size=word_count(F.col("text")), key=F.col("doc_id"))
 
 
 def pack_into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 1024 tokens."""
+    """The pieces of all documents with their places in sequences of 1024 tokens.
+
+    A null text is packed as an empty one; each of several equal rows has its own place.
+    """
     visible_to_workers(spark)
     return packing.pack_documents(docs, capacity=1024)
 
