@@ -137,6 +137,37 @@ def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def robots_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fetch of the host's robots.txt per page, no two of one body, some of them failed."""
+    digits = F.md5("url")
+
+    def line(i: Column) -> Column:
+        def at(length: int) -> Column:
+            return F.substring(digits, i + 1, F.lit(length))
+
+        digit = F.substring(digits, i, F.lit(1))
+        return (
+            F.when(digit.isin("0", "1"), F.lit("User-agent: *"))
+            .when(digit.isin("2", "3"), F.concat(F.lit("user-agent : bot"), at(1)))
+            .when(digit.isin("4", "5"), F.concat(F.lit("Disallow: /"), at(2), F.lit(" # rest")))
+            .when(digit.isin("6", "7"), F.concat(F.lit("ALLOW:/"), at(3)))
+            .when(digit == "8", F.concat(F.lit("Crawl-delay: "), i.cast("string")))
+            .when(digit == "9", F.lit("Crawl-delay: soon"))
+            .when(digit.isin("a", "b"), F.lit(""))
+            .when(digit == "c", F.lit("# note"))
+            .when(digit == "d", F.concat(F.lit("Sitemap: https://maps.example/"), i.cast("string")))
+            .otherwise(F.lit("Disallow:"))
+        )
+
+    lines = F.transform(F.sequence(F.lit(1), F.lit(28)), line)
+    return table(spark, sf_dir, "pages").select(
+        netloc(F.col("url")).alias("host"),
+        F.when(F.substring(digits, 32, 1) < "2", F.lit(404)).otherwise(F.lit(200)).alias("status_code"),
+        F.concat(F.lit("User-agent: *\n"), F.array_join(lines, "\n")).alias("body"),
+        F.col("page_id").alias("fetched_at"),
+    )
+
+
 def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as fetch attempts of the user's url."""
     events = table(spark, sf_dir, "events")

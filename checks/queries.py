@@ -35,7 +35,7 @@ from contentgrade.sinks import reports
 from contentgrade.sinks.weights import write_weights
 from contentgrade.sources.fetches import read_fetches, stream_fetches
 from contentgrade.sources.labels import read_labels, unique_labels
-from contentgrade.sources.robots import parse_robots, robots_rules
+from contentgrade.sources.robots import latest_robots, parse_robots, robots_files, robots_rules
 from contentgrade.sources.weights import read_weights
 from contentgrade.streaming import evaluate as streaming
 
@@ -147,6 +147,21 @@ def _(spark, sf_dir):
     )
 
 
+@query("robots_latest")
+def _(spark, sf_dir):
+    """The latest file of each host, parsed; every host has other rules."""
+    files = robots_files(latest_robots(X.robots_fetches(spark, sf_dir)))
+    rules = F.transform("rules", lambda r: F.concat_ws(" ", r["seq"].cast("string"), r["allow"].cast("string"), r["path"]))
+    return files.select("host", F.array_join("sitemaps", ",").alias("sitemaps"), F.inline("groups")).select(
+        "host",
+        "sitemaps",
+        F.col("group_no").cast("bigint").alias("group_no"),
+        F.array_join("agents", ",").alias("agents"),
+        "crawl_delay",
+        F.array_join(rules, ",").alias("rules"),
+    )
+
+
 # Sinks.
 
 
@@ -259,7 +274,7 @@ def _(spark, sf_dir):
 
 @query("robots_allowed")
 def _(spark, sf_dir):
-    groups, _ = parse_robots(X.robots(spark, sf_dir))
+    groups = robots_files(X.robots(spark, sf_dir))
     rows = X.table(spark, sf_dir, "pages").select("page_id", "url")
     allowed = robots.robots_allowed(rows, groups, "somebot")
     return allowed.select("page_id", "allowed")
@@ -267,7 +282,7 @@ def _(spark, sf_dir):
 
 @query("robots_allowed_named_agent")
 def _(spark, sf_dir):
-    groups, _ = parse_robots(X.robots(spark, sf_dir))
+    groups = robots_files(X.robots(spark, sf_dir))
     rows = X.table(spark, sf_dir, "pages").select("page_id", "url")
     return robots.robots_allowed(rows, groups, AGENT).select("page_id", "allowed")
 
@@ -275,7 +290,7 @@ def _(spark, sf_dir):
 @query("effective_delay")
 def _(spark, sf_dir):
     bodies = X.robots(spark, sf_dir)
-    groups, _ = parse_robots(bodies)
+    groups = robots_files(bodies)
     return robots.effective_delay(bodies.select("host"), groups, AGENT, 0.5).select("host", "delay")
 
 
@@ -421,7 +436,7 @@ def _(spark, sf_dir):
 @query("crawl_frontier_rules")
 def _(spark, sf_dir):
     """Failed pages are reached but not expanded, and robots rules leave pages out."""
-    groups, _ = parse_robots(X.robots(spark, sf_dir))
+    groups = robots_files(X.robots(spark, sf_dir))
     found = frontier.crawl_frontier(
         X.fixture_links(spark, sf_dir),
         _seed_pages(spark, sf_dir),

@@ -13,7 +13,7 @@ from contentgrade.sources.robots import agent_rules
 def robots_allowed(
     urls: DataFrame, groups: DataFrame, agent: str, url: str = "url", salts: int = 16
 ) -> DataFrame:
-    """Add ``allowed`` for one agent, from the groups of ``parse_robots``."""
+    """Add ``allowed`` for one agent, from ``robots_files`` or the groups of ``parse_robots``."""
     return apply_rules(urls, agent_rules(groups, agent), url, salts)
 
 

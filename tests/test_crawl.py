@@ -1,5 +1,6 @@
 """Robots rules, retry policy, cache and traversal."""
 
+import random
 from collections import deque
 from urllib.robotparser import RobotFileParser
 
@@ -10,7 +11,7 @@ from contentgrade.operators.attempts import cached_fetch, final_attempts, number
 from contentgrade.operators.frontier import _bucketed, crawl_frontier, page_budget
 from contentgrade.operators.robots import effective_delay, robots_allowed
 from contentgrade.operators.skew import lookup, nth_smallest, numbered, salted_lookup
-from contentgrade.sources.robots import agent_rules, parse_robots, robots_rules
+from contentgrade.sources.robots import agent_rules, latest_robots, parse_robots, robots_files, robots_rules
 
 BODIES = {
     "star.example": "User-agent: *\nAllow: /a/ok\nDisallow: /a/\nCrawl-delay: 3\n",
@@ -65,6 +66,41 @@ def test_delays_and_sitemaps(spark, robots):
     assert robots_rules(groups).filter("host = 'star.example'").count() == 2
 
 
+def test_files_are_read_within_their_rows(spark, robots):
+    files = robots_files(robots)
+    for table in (files, *parse_robots(robots), agent_rules(files, "somebot")):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+    groups, _ = parse_robots(robots)
+    for agent in AGENTS:
+        narrow, shuffled = (sorted(map(str, agent_rules(t, agent).collect())) for t in (files, groups))
+        assert narrow == shuffled
+
+
+def test_bodies_of_random_lines_match_the_standard_parser(spark):
+    r = random.Random(8)
+    lines = ["User-agent: *", "User-agent: gradebot", "user-agent : other", "Disallow: /a", "Allow: /a/b", "Disallow:", "Disallow: /",
+             "Crawl-delay: 4", "Crawl-delay: no", "", "", "# note", "Sitemap: https://s/1", "Request-rate: 1/5", "odd"]
+    bodies = {f"h{i}.example": r.choice(["\n", "\r\n", "\r"]).join(r.choices(lines, k=r.randrange(1, 14))) for i in range(150)}
+    files = robots_files(spark.createDataFrame([(h, 200, b) for h, b in bodies.items()], "host string, status_code int, body string"))
+    urls = spark.createDataFrame([(f"https://{h}{p}",) for h in bodies for p in ("/", "/a", "/a/b", "/c")], "url string")
+    for agent in AGENTS[:2]:
+        for row in robots_allowed(urls, files, agent).collect():
+            parser = RobotFileParser()
+            parser.parse(bodies[row["url"].split("/")[2]].splitlines())
+            assert row["allowed"] == parser.can_fetch(agent, row["url"]), (agent, row["url"])
+
+
+def test_a_long_file_and_the_latest_of_several(spark):
+    long = "User-agent: *\n" + "\n".join(f"Disallow: /p{i}/" for i in range(20_000)) + "\n\nUser-agent: x\nDisallow: /\n"
+    rows = [("a", 200, "User-agent: *\nDisallow: /old\n", 1), ("a", 200, long, 5), ("a", 404, "", 3), ("b", 200, long, 1), ("b", 500, "", 2)]
+    files = robots_files(latest_robots(spark.createDataFrame(rows, "host string, status_code int, body string, fetched_at int")))
+    groups = files.select("host", F.inline("groups")).collect()
+    assert [(g["host"], g["group_no"], len(g["rules"]), g["rules"][-1]["path"]) for g in groups] == [
+        ("a", 1, 20_000, "/p19999/"), ("a", 2, 1, "/"),
+    ]
+
+
 def test_final_attempts(spark):
     log = [
         ("a", 1, "timeout"), ("a", 2, "ok"), ("a", 3, "ok"),
