@@ -84,14 +84,73 @@ def occurrences(text: Column, term: Column) -> Column:
     return (removed / F.octet_length(term)).cast("int")
 
 
+# Lexicons of more terms are searched by one pattern instead of term by term.
+TERM_BY_TERM = 100
+
+
+def trie_pattern(terms: Sequence[str]) -> str:
+    """A pattern that matches, where it is tried, the longest of the terms that begins there.
+
+    Terms that begin alike share their beginning, so a place in a text is left at the first
+    character that no term has, however many terms there are.
+    """
+    root: dict = {}
+    for term in terms:
+        node = root
+        for sign in term:
+            node = node.setdefault(sign, {})
+        node[""] = {}
+
+    def literal(sign: str) -> str:
+        return sign if sign.isalnum() else rf"\x{{{ord(sign):x}}}"
+
+    # From the leaves up and without recursion, since a term may be long.
+    order, patterns = [root], {}
+    for node in order:
+        order.extend(child for sign, child in node.items() if sign)
+    for node in reversed(order):
+        branches = [literal(sign) + patterns.pop(id(child)) for sign, child in node.items() if sign]
+        if "" in node:
+            patterns[id(node)] = f"(?:{'|'.join(branches)})?" if branches else ""
+        else:
+            patterns[id(node)] = branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+    return patterns[id(root)]
+
+
+def _present_by_trie(text: Column, terms: Sequence[str]) -> Column:
+    """The terms that occur anywhere in the text, by one pass over it.
+
+    At each place the longest term is found; all others that begin there are its beginnings.
+    """
+    known = set(terms)
+    nested = [term for term in terms if any(term[:n] in known for n in range(1, len(term)))]
+    starts = "".join(sorted({rf"\x{{{ord(term[0]):x}}}" for term in terms}))
+    found = F.array_distinct(
+        F.regexp_extract_all(text, F.lit(f"(?=[{starts}])(?=({trie_pattern(terms)}))"), F.lit(1))
+    )
+    if not nested:
+        return found
+
+    def beginnings(term: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(term)), lambda n: F.substring(term, F.lit(1), n))
+        return F.filter(cut, lambda part: part.isin(*terms))
+
+    closed = F.transform(found, lambda term: F.when(term.isin(*nested), beginnings(term)).otherwise(F.array(term)))
+    return F.array_distinct(F.flatten(closed))
+
+
 def term_counts(lowered: Column, lexicon: Sequence[str] = DOMAIN_TERMS) -> Column:
     """Map from each term that occurs in the lower-cased text to its number of matches.
 
     Pass a column that is already lower-cased and materialised by an earlier projection: the
-    text is searched once per term and copied only for terms that are there.
+    text is searched once per term, or once in all for more than ``TERM_BY_TERM`` terms, and
+    copied only for terms that are there.
     """
-    terms = F.lit([term for term in dict.fromkeys(lexicon) if term])
-    present = F.filter(terms, lambda term: F.contains(lowered, term))
+    terms = [term for term in dict.fromkeys(lexicon) if term]
+    if len(terms) > TERM_BY_TERM:
+        present = _present_by_trie(lowered, terms)
+    else:
+        present = F.filter(F.lit(terms), lambda term: F.contains(lowered, term))
     counted = F.transform(present, lambda term: F.struct(term.alias("term"), occurrences(lowered, term).alias("n")))
     return F.map_from_entries(counted)
 

@@ -75,6 +75,25 @@ def test_random_text_matches_python(spark, texts):
         assert found == expected(text), text
 
 
+@settings(max_examples=4, deadline=None)
+@given(
+    st.lists(st.text(alphabet="abé .*\n😀", min_size=1, max_size=5), min_size=1, max_size=60),
+    st.lists(st.text(alphabet="abé .*\n😀", max_size=60), min_size=5, max_size=20),
+)
+def test_terms_of_a_large_lexicon_match_python(spark, terms, texts):
+    lexicon = [*terms, *(f"filler {i}" for i in range(X.TERM_BY_TERM + 1))]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "", None, "filler 10" * 3]], "t string").coalesce(1)
+    for row in rows.select("t", X.term_counts(F.col("t"), lexicon).alias("found")).collect():
+        assert row["found"] == (None if row["t"] is None else {t: row["t"].count(t) for t in lexicon if t in row["t"]})
+
+
+def test_long_terms_and_many_terms(spark):
+    lexicon = ["x" * 2_000, *(f"{chr(97 + i % 26)}{i:04d} {i % 7}" for i in range(5_000))]
+    text = "y" * 500 + "x" * 4_100 + " ".join(lexicon[1:200])
+    row = spark.createDataFrame([(text,)], "t string").select(X.term_counts(F.col("t"), lexicon)).first()
+    assert row[0] == {t: text.count(t) for t in lexicon if t in text}
+
+
 def test_lexicon_is_a_parameter(spark):
     frame = spark.createDataFrame([("alfa beta alfa", "")], "text string, html string")
     row = extract_metrics(frame, lexicon=["alfa", "gamma", "alfa"]).first()
