@@ -755,8 +755,9 @@ def _(spark, sf_dir):
 @query("split_exact")
 def _(spark, sf_dir):
     rows = X.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    _, test = regression.split(rows, ["l_orderkey", "l_linenumber"], 0.2, seed=7)
-    return test.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"))
+    train, test = regression.split(rows, ["l_orderkey", "l_linenumber"], 0.2, seed=7)
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "part")
 
 
 @query("split_by_range")
