@@ -24,6 +24,15 @@ MIN_CLASS = 3
 MIN_SUPPORT = 0.5
 # Texts of up to so many words are also taken apart into words.
 SHORT_TEXT = 8
+# Where slots hold a smaller share of a host's text, its pages are copies and tell no template.
+MIN_SLOTS = 0.1
+# Slots of a mass this near the largest are tied: marks of the elements decide among them.
+TIE = 0.5
+# A heading beside the main slot belongs to it if what else joins with it has this share at most.
+BESIDE = 0.2
+
+# Bits of what a token is.
+TAG, OUT, MARKED, HEADING, UNSEEN = 1, 2, 4, 8, 16
 
 # The elements and attribute words of HTML that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -186,15 +195,17 @@ def _marks(tag: str) -> tuple[str, frozenset[str], str]:
     return kind, frozenset(words), role
 
 
-def parse(html: str) -> tuple[list[Piece], list[int]]:
-    """The texts of a page and, in order of their places, the hashes of its tags.
+def parse(html: str) -> tuple[list[Piece], list[int], dict[int, tuple[int, int]]]:
+    """The texts of a page, the hashes of its tags in order of their places, and the tags' tree.
 
     A tag's hash covers its element, its class and those of its ancestors, so equal tags in
-    different roles are different tokens. Missing end tags of paragraphs, list items and
+    different roles are different tokens. The tree gives the hash of the tag around each and
+    the bits of what it is. Missing end tags of paragraphs, list items and
     cells are supplied; end tags without a beginning are ignored.
     """
     pieces: list[Piece] = []
     tokens: list[int] = []
+    tree: dict[int, tuple[int, int]] = {}
     # element, path hash, outside, article, link, inside a header of an article
     stack: list[tuple[str, int, bool, bool, bool, bool]] = [("", 0, False, False, False, False)]
     open_names: Counter = Counter()
@@ -245,9 +256,11 @@ def parse(html: str) -> tuple[list[Piece], list[int]]:
         css, words, role = _marks(tag)
         here = _hashed(path, value, css)
         tokens.append(here)
+        around = path
         if value in SPACES:
             pieces.append(Piece(" ", path, block, article, link, outside))
         if value in VOID or tag.endswith("/>") and value not in BLOCKS:
+            tree.setdefault(here, (around, TAG))
             continue
         if value == "header" and article and not outside:
             header = outside = True
@@ -259,48 +272,87 @@ def parse(html: str) -> tuple[list[Piece], list[int]]:
             outside = outside or bool(words & ARTICLE_WORDS)
         elif value not in ("html", "body") and words & OUTSIDE_WORDS:
             outside = True
-        stack.append(
-            (value, here, outside, article or value == "article" or value == "main" or role in ("main", "article"), link or value == "a", header)
-        )
+        article = article or value == "article" or value == "main" or role in ("main", "article")
+        unseen = value in RAW or value == "head" or bool(tree.get(around, (0, 0))[1] & UNSEEN)
+        tree.setdefault(here, (around, TAG | OUT * outside | MARKED * article | HEADING * (value in HEADINGS) | UNSEEN * unseen))
+        stack.append((value, here, outside, article, link or value == "a", header))
         open_names[value] += 1
-    return pieces, tokens
+    return pieces, tokens, tree
 
 
 def text_token(piece: Piece) -> int:
     return _hashed(piece.path, "t", " ".join(piece.text.split()))
 
 
-def page_tokens(pieces: list[Piece], tags: list[int]) -> tuple[Counter, dict[int, int]]:
-    """How often each token of the template model occurs, and after how many tags it first does.
+@dataclass(slots=True)
+class Token:
+    """How often a token of the template model occurs on a page, and where."""
+
+    n: int
+    place: int
+    around: int
+    bits: int
+    chars: int
+
 
-    Tokens are tags, texts, and the words of short texts outside the article.
+def page_tokens(html: str) -> dict[int, Token]:
+    """The tokens of a page: tags, texts, and the words of short texts outside the article.
+
+    The place of a token is the number of tags before its first occurrence. A tag's ``chars``
+    are those of the visible texts inside it that are no links; a text's are its own.
     """
-    found = Counter(tags)
-    places: dict[int, int] = {}
+    pieces, tags, tree = parse(html)
+    found: dict[int, Token] = {}
     for place, token in enumerate(tags):
-        places.setdefault(token, place)
+        known = found.get(token)
+        if known is None:
+            found[token] = Token(1, place, *tree[token], 0)
+        else:
+            known.n += 1
     for piece in pieces:
         words = piece.text.split()
-        if words:
-            tokens = [text_token(piece)]
-            if 1 < len(words) <= SHORT_TEXT and not piece.article:
-                tokens += [_hashed(piece.path, "w", w) for w in words]
-            found.update(tokens)
-            for token in tokens:
-                places.setdefault(token, piece.place)
-    return found, places
-
-
-def main_text(html: str, template: frozenset[int]) -> str:
-    """The article: what stands in the slots that the template leaves, in its main region.
-
-    Outside a marked article, blocks of nothing but fixed texts, which are tokens of the
-    template, go, unless nothing else is there; a fixed text inside a slot, such as a label,
-    belongs to the slot. A marked article keeps all its blocks: pages that repeat an article
-    make its paragraphs look fixed.
+        if not words:
+            continue
+        visible = not piece.link and not tree.get(piece.path, (0, 0))[1] & UNSEEN
+        chars = sum(map(len, words)) * visible
+        texts = [(text_token(piece), chars)]
+        if 1 < len(words) <= SHORT_TEXT and not piece.article:
+            texts += [(_hashed(piece.path, "w", w), 0) for w in words]
+        for token, size in texts:
+            known = found.get(token)
+            if known is None:
+                found[token] = Token(1, piece.place, piece.path, 0, size)
+            else:
+                known.n += 1
+                known.chars += size
+        if piece.path in found:
+            found[piece.path].chars += chars
+    # Tags come after those around them, so sums move outwards in one walk back.
+    for token in reversed(dict.fromkeys(tags)):
+        if tree[token][0] in found:
+            found[tree[token][0]].chars += found[token].chars
+    return found
+
+
+def main_text(html: str, template: frozenset[int], region: int = 0) -> str:
+    """The article: what stands in the slots of ``region``, the tag around the main slots of a host.
+
+    On a page without that tag, or with nothing in it, a marked article is the region, and
+    without one the whole page. Inside, a marked article goes before what is beside it, parts
+    that are marked as something else go, and outside a marked article blocks that are mostly
+    links and blocks of nothing but fixed texts, which are tokens of the template, unless
+    nothing else is there. A fixed text inside a slot, such as a label, belongs to the slot.
     """
-    pieces, _ = parse(html)
+    pieces, tags, tree = parse(html)
     inside = [p for p in pieces if not p.outside]
+    if region and region in tree:
+        within = {region}
+        for tag in tags:
+            if tree[tag][0] in within:
+                within.add(tag)
+        main = [p for p in inside if p.path in within]
+        if any(not p.text.isspace() for p in main):
+            inside = main
     if any(p.article and not p.text.isspace() for p in inside):
         inside = [p for p in inside if p.article]
     else:
@@ -333,9 +385,10 @@ def _host(url: str | None) -> str:
 
 
 def _nest(tokens: pd.DataFrame) -> pd.DataFrame:
-    """The template of one host from the tokens on at least half of its pages.
+    """The template of one host, and its main region, from the tokens on at least half of its pages.
 
-    Tokens of one occurrence vector are a class; a class is valid if it has enough tokens and
+    Tokens of one occurrence vector are a class; a class is valid if it has enough tokens, a
+    tag among them, since texts without markup of their own are content that pages repeat, and
     its places, ordered by the mean, lie either around all of another valid class, or in one
     gap between neighbouring tokens of it, so that the classes form a tree. Larger classes go
     first; a class that would cut across one already taken is left out.
@@ -344,7 +397,7 @@ def _nest(tokens: pd.DataFrame) -> pd.DataFrame:
     chosen: list[int] = []
     groups = sorted((g.sort_values("place") for _, g in tokens.groupby("vector")), key=lambda g: (-len(g), g["token"].min()))
     for group in groups:
-        if len(group) < MIN_CLASS:
+        if len(group) < MIN_CLASS or not (group["bits"] & TAG).any():
             continue
         places = group["place"].to_numpy()
         nested = all(
@@ -354,11 +407,78 @@ def _nest(tokens: pd.DataFrame) -> pd.DataFrame:
         if nested:
             taken.append(places)
             chosen += group["token"].tolist()
-    return pd.DataFrame({"host": [tokens["host"].iloc[0]], "template": [sorted(chosen)]})
+    region = _main_region(tokens, set(chosen))
+    if region is None:
+        chosen, region = [], 0
+    return pd.DataFrame({"host": [tokens["host"].iloc[0]], "template": [sorted(chosen)], "region": [region]})
+
+
+def _main_region(tokens: pd.DataFrame, template: set[int]) -> int | None:
+    """The tag around the main slots, 0 for the whole page, None if there are hardly any slots.
+
+    A tag's mass is the text inside it that isn't fixed, over all pages. From the whole page
+    inwards, the tag of the template that occurs once a page and has the most mass is entered,
+    as long as it has more than what lies in no such tag. Of tags of about the same mass a
+    marked article is taken first and one marked as something else last, and a marked article
+    isn't taken apart. If the main slot has no heading, but the tag around it has
+    one and little else, it belongs to it.
+    """
+    by_token = {t.token: t for t in tokens.itertuples(index=False)}
+    mass: Counter = Counter()
+    total = 0
+    for t in by_token.values():
+        if t.bits & TAG:
+            mass[t.token] += t.chars
+            total += t.chars * (t.around == 0)
+    whole = total
+    for t in by_token.values():
+        if t.token in template and not t.bits & TAG:
+            total -= t.chars
+            at = t.around
+            while at in by_token:
+                mass[at] -= t.chars
+                at = by_token[at].around
+    if total < MIN_SLOTS * whole or not whole:
+        return None
+    inner: dict[int, list[int]] = {}
+    outer: dict[int, int] = {}
+    for t in by_token.values():
+        if t.token in template and t.bits & TAG and not t.bits & UNSEEN and t.times == t.pages:
+            at = t.around
+            while at in by_token and not (at in template and by_token[at].times == by_token[at].pages):
+                at = by_token[at].around
+            outer[t.token] = at if at in by_token else 0
+            inner.setdefault(outer[t.token], []).append(t.token)
+
+    def rank(tag: int) -> tuple[int, int, int]:
+        bits = by_token[tag].bits
+        return (2 if bits & OUT else 0 if bits & MARKED else 1), -mass[tag], tag
+
+    region, held = 0, total
+    while inner.get(region) and not (region and by_token[region].bits & MARKED):
+        most = max(mass[x] for x in inner[region])
+        best = min((x for x in inner[region] if mass[x] >= TIE * most), key=rank)
+        if by_token[best].bits & (HEADING | OUT) or mass[best] <= held - sum(mass[x] for x in inner[region]):
+            break
+        region, held = best, mass[best]
+    if region and not by_token[region].bits & MARKED and not _heading(region, inner, by_token):
+        wider = outer[region]
+        while wider and mass[wider] <= (1 + BESIDE) * held:
+            if _heading(wider, inner, by_token):
+                return wider
+            wider = outer[wider]
+    return region
+
+
+def _heading(tag: int, inner: dict[int, list[int]], by_token: dict) -> bool:
+    """Whether a heading occurs once a page inside a tag, in nothing that is marked as something else."""
+    return any(
+        not by_token[x].bits & OUT and (by_token[x].bits & HEADING or _heading(x, inner, by_token)) for x in inner.get(tag, ())
+    )
 
 
 def deduce_templates(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """One row per host of at least ``MIN_PAGES`` pages: the tokens of its template.
+    """One row per host of at least ``MIN_PAGES`` pages: the tokens of its template, its main region.
 
     A page yields each of its tokens with the number of times it occurs and its first place.
     The occurrence vector of a token over the pages of a host is never built: the bitwise
@@ -369,32 +489,36 @@ def deduce_templates(pages: DataFrame, html: str = "html", url: str = "url") ->
     """
     numbered = pages.select(F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), F.monotonically_increasing_id().alias("row"))
 
+    long, int_ = pa.int64(), pa.int32()
+    kinds = dict(host=long, token=long, row=long, n=int_, place=int_, around=long, bits=int_, chars=long)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in kinds]
             for url, html, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 host = _hashed("host", _host(url))
-                pieces, tags = parse(html or "")
-                found, places = page_tokens(pieces, tags)
-                found[0] = 1  # the page itself
-                for token, n in found.items():
-                    for column, value in zip(out, (host, token, row, n, places.get(token, 0)), strict=True):
+                found = page_tokens(html or "")
+                found[0] = Token(1, 0, 0, 0, 0)  # the page itself
+                for token, t in found.items():
+                    values = (host, token, row, t.n, t.place, t.around, t.bits, t.chars)
+                    for column, value in zip(out, values, strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)],
-                names=["host", "token", "row", "n", "place"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds.values(), strict=True)], names=list(kinds))
 
-    counted = numbered.mapInArrow(count, "host long, token long, row long, n int, place int")
+    counted = numbered.mapInArrow(count, "host long, token long, row long, n int, place int, around long, bits int, chars long")
     vectors = counted.groupBy("host", "token").agg(
         F.count("*").alias("pages"),
         F.bit_xor(F.xxhash64("row", "n")).alias("vector"),
         F.avg("place").alias("place"),
+        F.sum("n").alias("times"),
+        F.min("around").alias("around"),
+        F.bit_or("bits").alias("bits"),
+        F.sum("chars").alias("chars"),
     )
     frequent = stored(vectors.filter(F.col("pages") >= MIN_PAGES), "page-tokens")
     hosts = frequent.filter("token = 0").select("host", F.col("pages").alias("host_pages"))
     candidates = frequent.filter("token != 0").join(hosts, "host").filter(F.col("pages") >= MIN_SUPPORT * F.col("host_pages"))
-    return candidates.groupBy("host").applyInPandas(_nest, "host long, template array<long>")
+    return candidates.groupBy("host").applyInPandas(_nest, "host long, template array<long>, region long")
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", text: str = "text") -> DataFrame:
@@ -416,15 +540,15 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", te
         return urls.map(lambda u: _hashed("host", _host(u)), na_action=None).astype("int64")
 
     @F.pandas_udf("string")
-    def extracted(html: pd.Series, template: pd.Series) -> pd.Series:
+    def extracted(html: pd.Series, template: pd.Series, region: pd.Series) -> pd.Series:
         known: dict[bytes, frozenset[int]] = {}
         out = []
-        for page, tokens in zip(html, template, strict=True):
+        for page, tokens, tag in zip(html, template, region, strict=True):
             tokens = np.asarray(() if tokens is None else tokens, dtype=np.int64)
             key = tokens.tobytes()
             if key not in known:
                 known[key] = frozenset(tokens.tolist())
-            out.append(main_text(page or "", known[key]))
+            out.append(main_text(page or "", known[key], int(tag)))
         return pd.Series(out, dtype=object)
 
     rows = pages.select(
@@ -433,4 +557,4 @@ def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", te
         host_hash(F.col(url).cast("string")).alias("_host"),
     )
     met = small_or_salted(rows, templates, "_host")
-    return met.select("_row.*", extracted("_html", "template").alias(text))
+    return met.select("_row.*", extracted("_html", "template", F.coalesce("region", F.lit(0).cast("long"))).alias(text))

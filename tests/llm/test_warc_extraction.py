@@ -186,6 +186,49 @@ def test_near_copies_of_an_article_keep_their_paragraphs(spark):
         assert r["text"] == r["expected"]
 
 
+def layout(i: int, lines: list[str], marked: bool) -> str:
+    """A page of a host; unmarked ones name nothing that tells what an element is."""
+    around = "<article>%s</article>" if marked else "<div class=x4>%s</div>"
+    side, talk, foot = (("aside", "section class=comments", "footer") if marked else ("div class=x2", "div class=x5", "div class=x6"))
+    said = "".join(f"<p>Reader {i * 3 + k} says this about it</p>" for k in range(1 + i % 2))
+    return (
+        f"<body><div class=x1><a href=/{i}>Go {i}</a> <a href=/b>Back</a></div><{side}>Tip {i}: look here</{side.split()[0]}>"
+        + around % (f"<h1>{lines[0]}</h1>" + "".join(f"<p>{x}</p>" for x in lines[1:]))
+        + f"<{talk}>{said}</{talk.split()[0]}><{foot}>Printed in town, visited {i} times</{foot.split()[0]}></body>"
+    )
+
+
+@pytest.mark.parametrize("copies", [0, 12])
+def test_templates_find_the_article_without_marks(spark, copies):
+    shared = [f"Paragraph {k} of an article that many pages repeat" for k in range(5)]
+    rows = []
+    for i in range(20):
+        body = shared if i < copies else [f"Own text {i} {k} with some more words in it" for k in range(4 + i % 3)]
+        lines = [f"News number {i}", *body, f"Day {i}"]
+        for host, marked in (("plain", False), ("marked", True)):
+            rows.append((i, f"http://{host}.example/{i}", layout(i, lines, marked), "\n".join(lines)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, expected string").repartition(5)
+    for r in extraction.extract_main_text(pages).collect():
+        assert r["text"] == r["expected"], r["url"]
+    for _, url, html, expected in rows:
+        assert (text_of(html) == expected) == ("marked" in url)
+
+
+def test_title_beside_the_text_belongs_to_it(spark):
+    rows = []
+    for i in range(10):
+        html = (
+            f"<body><div class=q1>Our paper</div><div class=q2><div class=q3><h1>Title {i}</h1></div><div class=q4>"
+            + "".join(f"<p>Text {i} {k} of some length, as texts have</p>" for k in range(2 + i % 4))
+            + f"</div></div><div class=q5>{'Say %d and more. ' % i * 4}</div></body>"
+        )
+        lines = [f"Title {i}", *(f"Text {i} {k} of some length, as texts have" for k in range(2 + i % 4))]
+        rows.append((i, "http://h.example/", html, "\n".join(lines)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, expected string")
+    for r in extraction.extract_main_text(pages).collect():
+        assert r["text"] == r["expected"]
+
+
 def test_extraction_query_against_cutting_out_the_article(spark, sf_dir):
     import re
     from html import unescape
