@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentgrade.functions.text import WORD
+from contentgrade.session import shared_dir
 
 MAX_FEATURES = 500
 
@@ -29,26 +30,20 @@ def tokens(text: Column, stop_words: Sequence[str]) -> Column:
     return F.filter(words, lambda word: ~word.isin(*stop_words)) if stop_words else words
 
 
-def bigrams(words: Column, among: Sequence[str] | None = None) -> Column:
-    """All pairs of neighbours, or those of which both words are ``among`` the given ones.
-
-    Reads its input several times.
-    """
-    if among is not None:
-        if not among:
-            return F.array().cast("array<string>")
-        words = F.transform(words, lambda word: F.when(word.isin(*among), word))
+def bigrams(words: Column) -> Column:
+    """All pairs of neighbours. Reads its input several times."""
     n_pairs = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(
+    return F.zip_with(
         F.slice(words, F.lit(1), n_pairs),
         F.slice(words, F.lit(2), n_pairs),
         lambda left, right: F.concat(left, F.lit(" "), right),
     )
-    return pairs if among is None else F.filter(pairs, lambda pair: pair.isNotNull())
 
 
-def _with_words(rows: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
-    return rows.withColumn("_words", tokens(F.coalesce(text, F.lit("")), stop_words))
+def with_terms(rows: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
+    """Add ``_terms``, the words and bigrams of a text, which is taken apart once."""
+    worded = rows.withColumn("_words", tokens(F.coalesce(text, F.lit("")), stop_words))
+    return worded.withColumn("_terms", F.concat("_words", bigrams(F.col("_words")))).drop("_words")
 
 
 @dataclass(frozen=True)
@@ -69,52 +64,62 @@ class Vocabulary:
 ROW_SCHEMA = "term string, corpus_count bigint, document_count bigint, idf double"
 
 
-# With more candidate words than this, bigrams are counted without leaving any out.
-MAX_CANDIDATES = 2000
-
+# Terms that a task's summary of the frequent ones holds, and the buckets, for each term asked
+# for, that all others are counted in. Both set the cost only, never the result.
+TRACKED = 1 << 14
+BUCKETS = 128
 
-def _frequency(terms: DataFrame) -> DataFrame:
-    return terms.groupBy("term").agg(F.count("*").alias("n"))
 
+def _likely(terms: DataFrame, max_features: int) -> DataFrame:
+    """Up to ``max_features`` terms that are probably the most frequent ones.
 
-def _top(counts: DataFrame, n: int) -> list:
-    return counts.orderBy(F.col("n").desc(), "term").limit(n).collect()
+    Every task keeps a summary of frequent items of bounded size, and summaries are merged.
+    """
+    tracked = min(max(TRACKED, 8 * max_features), 1_000_000)
+    found = F.expr(f"approx_top_k(term, {min(max_features, tracked)}, {tracked})")
+    return terms.agg(found.alias("_top")).select(F.inline("_top")).select(F.col("item").alias("term"))
 
 
-def top_terms(words: DataFrame, max_features: int) -> list[tuple[str, int]]:
-    """The most frequent words and bigrams of ``_words`` arrays with their counts, ties by term.
+def top_terms(terms: DataFrame, max_features: int) -> list[tuple[str, int]]:
+    """The most frequent values of ``term`` with their counts, ties by term. Exact.
 
-    Words are counted first. A bigram is at most as frequent as each of its words, so once
-    ``max_features`` words reach some count, only bigrams of words with that count can still
-    enter the list. The bigrams that are shuffled are thus those of a few hundred words
-    instead of all that the corpus holds, and the result is the same.
+    A summary names the likely ones. One pass counts these exactly and all other terms by
+    the bucket of their hash, so what moves is at most a number per bucket and task. A
+    term that the summary missed can belong to the result only if its whole bucket has as
+    many rows as the last of the likely ones. The terms of such buckets, mostly none, are counted
+    by themselves.
     """
-    singles = _top(
-        _frequency(words.select(F.explode("_words").alias("term"))),
-        max(max_features, MAX_CANDIDATES) + 1,
-    )
-    best = singles[:max_features]
-    among = None
-    if len(best) == max_features:
-        frequent = [row["term"] for row in singles if row["n"] >= best[-1]["n"]]
-        # If even the last word read belongs to them, there may be more that were not read.
-        among = frequent if len(frequent) <= MAX_CANDIDATES else None
-    pairs = words.select(F.explode(bigrams(F.col("_words"), among)).alias("term"))
-    both = best + _top(_frequency(pairs), max_features)
-    ranked = sorted(((row["term"], row["n"]) for row in both), key=lambda t: (-t[1], t[0]))
-    return ranked[:max_features]
-
-
-def _counted(
-    rows: DataFrame, text: str, terms: Sequence[str], stop_words: Sequence[str], out: str
-) -> DataFrame:
-    """Add the sparse count vector; only bigrams of words that occur in one of the terms' are built."""
-    parts = dict.fromkeys(word for term in terms if " " in term for word in term.split(" "))
-    among = list(parts) if len(parts) <= MAX_CANDIDATES else None
-    worded = _with_words(rows, text, stop_words)
-    termed = worded.withColumn("_terms", F.concat("_words", bigrams(F.col("_words"), among)))
+    spark = terms.sparkSession
+    likely = [row["term"] for row in _likely(terms, max_features).collect()]
+    if not likely:
+        return []
+    # At most max_features rows, which the result has as well.
+    marked = F.broadcast(spark.createDataFrame([(term, term) for term in likely], "term string, _likely string"))
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS * max_features)).alias("_bucket")
+    others = F.when(F.col("_likely").isNull(), bucket).alias("_bucket")
+    counts = terms.join(marked, "term", "left").groupBy("_likely", others).agg(F.count("*").alias("n")).checkpoint()
+    best = [(row["_likely"], row["n"]) for row in counts.filter("_likely IS NOT NULL").collect()]
+    least = min(n for _, n in best) if len(best) == max_features else 1
+    full = counts.filter(F.col("_likely").isNull() & (F.col("n") >= least)).select("_bucket")
+    if not full.isEmpty():
+        missed = (
+            terms.select("term", bucket)
+            .join(F.broadcast(full), "_bucket")
+            .join(marked, "term", "left_anti")
+            .groupBy("term")
+            .agg(F.count("*").alias("n"))
+            .filter(F.col("n") >= least)
+            .orderBy(F.col("n").desc(), "term")
+            .limit(max_features)
+        )
+        best += [(row["term"], row["n"]) for row in missed.collect()]
+    return sorted(best, key=lambda t: (-t[1], t[0]))[:max_features]
+
+
+def _counted(termed: DataFrame, terms: Sequence[str], out: str) -> DataFrame:
+    """Turn ``_terms`` into the sparse vector of counts."""
     counter = CountVectorizerModel.from_vocabulary(list(terms), inputCol="_terms", outputCol=out)
-    return counter.transform(termed).drop("_words", "_terms")
+    return counter.transform(termed).drop("_terms")
 
 
 def fit_tfidf(
@@ -125,15 +130,18 @@ def fit_tfidf(
 ) -> Vocabulary:
     """The most frequent terms of the corpus and their weights ``ln((1 + n) / (1 + df)) + 1``.
 
-    The document counts follow in a last, narrow pass that needs the chosen terms only: each
+    Texts are taken apart in one pass, which stores their terms in the shared folder; all
+    counts read those. Document counts come last and need the chosen terms only: each
     document becomes a sparse vector and the non-zero entries are added up per position.
     """
     kept = english_stop_words() if stop_words is None else tuple(stop_words)
-    ranked = top_terms(_with_words(rows.select(text), text, kept).select("_words"), max_features)
+    shared_dir(rows.sparkSession)
+    termed = with_terms(rows.select(text), text, kept).select("_terms").checkpoint()
+    ranked = top_terms(termed.select(F.explode("_terms").alias("term")), max_features)
     if not ranked:
         raise ValueError("No terms in the corpus")
     terms, counts = zip(*ranked)
-    vectors = _counted(rows.select(text), text, terms, kept, "_counts")
+    vectors = _counted(termed, terms, "_counts")
     totals = vectors.select(
         Summarizer.metrics("count", "numNonZeros").summary(F.col("_counts")).alias("s")
     ).select(
@@ -150,7 +158,7 @@ def tfidf_transform(
     rows: DataFrame, vocabulary: Vocabulary, text: str = "text", features: str = "features"
 ) -> DataFrame:
     """Add the sparse vector of term weights with length one. Narrow: no shuffle, no explode."""
-    counted = _counted(rows, text, vocabulary.terms, vocabulary.stop_words, "_counts")
+    counted = _counted(with_terms(rows, text, vocabulary.stop_words), vocabulary.terms, "_counts")
     scale = ElementwiseProduct(
         scalingVec=Vectors.dense(vocabulary.idf), inputCol="_counts", outputCol="_scaled"
     )

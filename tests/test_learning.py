@@ -17,8 +17,10 @@ from contentgrade.operators.logistic import LogisticFit, fit_logistic
 from contentgrade.operators.calibration import learn_weights
 from contentgrade.operators.labels import match_labels
 from contentgrade.operators.regression import fit_evaluate, fit_ols, prepare, split
+from contentgrade.operators import tfidf
 from contentgrade.operators.tfidf import english_stop_words, fit_tfidf, tfidf_transform
 from contentgrade.plans.evaluate import calibrate_weights, evaluate_pages, train_text_model
+from contentgrade.session import shared_dir
 from contentgrade.sources.labels import read_labels, unique_labels
 
 
@@ -152,6 +154,23 @@ def test_tfidf_matches_a_plain_computation(spark):
         assert row["v"] == pytest.approx([v / norm if norm else 0.0 for v in raw])
 
 
+@pytest.mark.parametrize("tracked,buckets", [(1 << 14, 128), (32, 1)])
+def test_frequent_terms_are_exact_however_small_the_summary(spark, monkeypatch, tracked, buckets):
+    """A summary of 32 terms misses most of them, and few buckets are mostly full."""
+    monkeypatch.setattr(tfidf, "TRACKED", tracked)
+    monkeypatch.setattr(tfidf, "BUCKETS", buckets)
+    shared_dir(spark)
+    generator = random.Random(7)
+    # Flat counts: many terms are as frequent as the last that is taken.
+    values = [f"t{generator.randrange(400)}" for _ in range(6000)] + ["much"] * 900
+    rows = spark.createDataFrame([(v,) for v in values], "term string").repartition(6)
+    counts = Counter(values)
+    for size in (1, 3, 4, 200, 401, 5000):
+        expected = sorted(counts.items(), key=lambda t: (-t[1], t[0]))[:size]
+        assert tfidf.top_terms(rows, size) == expected
+    assert tfidf.top_terms(rows.limit(0), 4) == []
+
+
 def scored_texts(spark, n=40):
     rows = [(i, f"bond yield curve number{i}" if i % 2 else f"cooking pasta recipe number{i}", 90.0 if i % 2 else 30.0) for i in range(n)]
     return spark.createDataFrame(rows, "id int, text string, target_score double")
