@@ -21,7 +21,7 @@ from contentgrade.operators import tfidf
 from contentgrade.operators.tfidf import english_stop_words, fit_tfidf, tfidf_transform
 from contentgrade.plans.evaluate import calibrate_weights, evaluate_pages, train_text_model
 from contentgrade.session import shared_dir
-from contentgrade.sources.labels import read_labels, unique_labels
+from contentgrade.sources.labels import array_objects, read_labels, unique_labels
 
 
 def write(tmp_path, value, name="labels.json"):
@@ -48,7 +48,40 @@ def test_read_labels(spark, tmp_path):
     }
 
 
-@pytest.mark.parametrize("value", [{"url": "u", "target_score": 1}, [], [{"url": "u"}], "nonsense", "5"])
+@pytest.mark.parametrize("block", [1 << 27, 997, 64])
+def test_a_label_array_is_read_by_many_tasks(spark, tmp_path, block):
+    """Strings hold quotes, escapes, braces and brackets, and blocks begin anywhere in them."""
+    generator = random.Random(block)
+    signs = ['"', "\\", "{", "}", "[", "]", ",", "é", "\n", " ", "x"]
+
+    def text(n):
+        return "".join(generator.choices(signs, k=n))
+
+    def entry(i):
+        kind = generator.randrange(8)
+        if kind == 0:
+            return generator.choice([7, None, True, text(9), [1, {"url": "no", "target_score": 1}], [], {}, text(0)])
+        note = [text(generator.randrange(30)), {"deep": [{"er": text(5)}, text(3)]}][kind % 2]
+        return {"note": note, "url": f"https://h.example/{i}", "target_score": i, text(4): note}
+
+    arrays = [[entry(i) for i in range(k, k + 150)] for k in (0, 1000)] + [[5], [], [{"url": "https://h.example/last", "target_score": 3}]]
+    for k, entries in enumerate(arrays):
+        write(tmp_path, json.dumps(entries, ensure_ascii=k % 2 == 0, indent=k or None), f"part{k}.json")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        found = array_objects(spark, str(tmp_path)).collect()
+        tasks = array_objects(spark, str(tmp_path / "part0.json")).select("file").count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for k, entries in enumerate(arrays):
+        mine = sorted((r["pos"], r["entry"]) for r in found if r["file"].endswith(f"part{k}.json") and r["pos"] is not None)
+        assert [json.loads(e) for _, e in mine] == [e for e in entries if isinstance(e, dict)]
+        assert len({pos for pos, _ in mine}) == len(mine)
+    assert tasks > 100
+
+
+@pytest.mark.parametrize("value", [{"url": "u", "target_score": 1}, [], [{"url": "u"}], "nonsense", "5", '[{"url": "u", "target_score": 1}', '[{"url": "u", "target_score": 1'])
 def test_read_labels_errors(spark, tmp_path, value):
     with pytest.raises(Exception, match="JSON array|no valid label"):
         read_labels(spark, write(tmp_path, value))
