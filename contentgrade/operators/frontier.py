@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contentgrade.functions.urls import normalize_url
 from contentgrade.operators.pages import usable_fetches
-from contentgrade.operators.robots import apply_rules
+from contentgrade.operators.robots import apply_rules, index_rules
 from contentgrade.operators.skew import numbered
 from contentgrade.session import scratch_path, shared_dir
 from contentgrade.sources.robots import agent_rules
@@ -71,7 +71,7 @@ def crawl_frontier(
     name = _bucketed(edges, partitions)
     edges = spark.table(name)
 
-    rules = None if groups is None else agent_rules(groups, agent).checkpoint()
+    rules = None if groups is None else index_rules(agent_rules(groups, agent)).checkpoint()
 
     def permitted(level: DataFrame) -> DataFrame:
         if rules is None:

@@ -1,16 +1,19 @@
 """Robots rules, retry policy, cache and traversal."""
 
 import random
+import time
 from collections import deque
 from urllib.robotparser import RobotFileParser
 
 import pytest
 from pyspark.sql import functions as F
 
+from contentgrade.functions import urls as U
 from contentgrade.operators.attempts import cached_fetch, final_attempts, number_attempts
 from contentgrade.operators.frontier import _bucketed, crawl_frontier, page_budget
-from contentgrade.operators.robots import effective_delay, robots_allowed
+from contentgrade.operators.robots import apply_rules, effective_delay, index_rules, robots_allowed
 from contentgrade.operators.skew import lookup, nth_smallest, numbered, salted_lookup
+from contentgrade.session import shared_dir
 from contentgrade.sources.robots import agent_rules, latest_robots, parse_robots, robots_files, robots_rules
 
 BODIES = {
@@ -285,3 +288,43 @@ def test_a_crawl_has_no_limits_unless_given(spark):
     for options in ({"max_pages": 3, "max_depth": 2}, {}):
         with pytest.raises(ValueError, match="budget"):
             crawl_frontier(edges, ["u0"], dedupe=False, **options)
+
+
+RULES = "host string, rules array<struct<seq: int, allow: boolean, path: string>>, crawl_delay double"
+
+
+def test_rules_by_index_equal_a_plain_scan(spark):
+    generator = random.Random(3)
+
+    def path(n):
+        return "/" + "".join(generator.choices("ab/é*", k=generator.randrange(n)))
+
+    hosts = {f"h{k}.example": [(i, generator.random() < 0.5, path(7)) for i in range(n)] for k, n in enumerate((0, 1, 2, 3, 40, 300))}
+    hosts["h3.example"].append((99, False, "*"))
+    hosts["h4.example"].insert(20, (100, True, ""))
+    rules = spark.createDataFrame([(h, r, None) for h, r in hosts.items()], RULES)
+    rows = [(f"https://{h}{path(9)}",) for h in [*hosts, "none.example"] for _ in range(200)]
+    urls = spark.createDataFrame(rows, "url string").select("url", U.robots_path(F.col("url")).alias("path"))
+    for row in apply_rules(urls, index_rules(rules)).collect():
+        of_host = sorted(hosts.get(row["url"].split("/")[2], []))
+        expected = next((allow for _, allow, p in of_host if p == "*" or row["path"].startswith(p)), True)
+        assert row["allowed"] == expected, row
+
+
+def test_many_rules_cost_little_more_than_few(spark):
+    """A scan of 100,000 rules for each of 20,000 urls would compare two thousand million paths."""
+
+    def seconds(n):
+        rules = [(i, i % 3 == 0, f"/{i:06d}/") for i in range(n)]
+        table = index_rules(spark.createDataFrame([("h.example", rules, None)], RULES)).checkpoint()
+        urls = spark.range(20_000).select(F.format_string("https://h.example/%06d/x", F.col("id") % (2 * n)).alias("url"))
+        found = apply_rules(urls, table).groupBy("allowed").count()
+        start = time.perf_counter()
+        counts = {r["allowed"]: r["count"] for r in found.collect()}
+        assert counts[False] == sum(i % (2 * n) < n and i % (2 * n) % 3 != 0 for i in range(20_000))
+        return time.perf_counter() - start
+
+    shared_dir(spark)
+    seconds(10)
+    few, many = seconds(10), seconds(100_000)
+    assert many < 5 * few + 5
