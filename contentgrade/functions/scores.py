@@ -78,14 +78,35 @@ _BASIC_SECONDS = r"(?s)\A(.{11}[0-9]{2})([0-9]{2})([0-9]{2})(?![0-9:])"
 _BASIC_MINUTES = r"(?s)\A(.{11}[0-9]{2})([0-9]{2})(?![0-9:])"
 
 
+# Year, week and maybe day, then the end or a time behind any separator.
+_WEEK = r"(?s)\A([0-9]{4})(?:-W([0-9]{2})(?:-([1-7]))?|W([0-9]{2})([1-7])?)(|[^0-9\-].*)\z"
+
+
+def _calendar_date(text: Column) -> Column:
+    """An ISO week date as a calendar date, a missing day as Monday; any other text as it is."""
+
+    def part(n: int) -> Column:
+        return F.regexp_extract(text, _WEEK, n)
+
+    year = part(1).try_cast("int")
+    week = F.concat(part(2), part(4)).try_cast("int")
+    day = F.coalesce(F.concat(part(3), part(5)).try_cast("int"), F.lit(1))
+    # The fourth of January is always in week 1, and a week belongs to the year of its Thursday.
+    fourth = F.make_date(F.greatest(year, F.lit(1)), F.lit(1), F.lit(4))
+    monday = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (week - 1) * 7)
+    valid = (year > 0) & (week > 0) & (F.year(F.date_add(monday, 3)) == year)
+    date = F.date_format(F.date_add(monday, day - 1), "yyyy-MM-dd")
+    return F.when(text.rlike(_WEEK) & valid, F.concat(date, part(6))).otherwise(text)
+
+
 def iso_timestamp(text: Column) -> Column:
     """ISO 8601 text to a timestamp, null if it is none; without a zone it is read as UTC.
 
-    Calendar dates in extended and basic form, any separator before the time; week dates are
-    not read. Everything is brought to one layout first, because Spark's own cast accepts
+    Calendar and week dates in extended and basic form, any separator before the time. Everything is brought to one layout first, because Spark's own cast accepts
     less and more than that.
     """
-    extended = F.regexp_replace(F.replace(text, F.lit("Z"), F.lit("+00:00")), _BASIC_DATE, "$1-$2-$3")
+    dated = _calendar_date(F.replace(text, F.lit("Z"), F.lit("+00:00")))
+    extended = F.regexp_replace(dated, _BASIC_DATE, "$1-$2-$3")
     timed = F.regexp_replace(
         F.regexp_replace(extended, _BASIC_SECONDS, "$1:$2:$3"), _BASIC_MINUTES, "$1:$2"
     )

@@ -44,7 +44,7 @@ def measure(spark, pairs):
 CASES = [
     ("", ""),
     ("Dieci parole in questo testo servono per contare senza errori", ""),
-    ("Valori 1500,75 e 30000.25 nel testo", "<TABLE><tr></tr></TABLE>"),
+    ("Misure 2718,28 e 46692.016 nel brano", "<TABLE><tr></tr></TABLE>"),
     ("1,250,000 euro, 3D, 1.5x, 12x, 1.55x, x1, 2_3, 4é, é4, 5 6", "<ul><li>a</li></ul>"),
     ("formula \\begin{equation} x", "<Ol>"),
     ("prima \\[ a\nb \\] dopo", "<table"),
