@@ -151,3 +151,23 @@ def test_sharding_query(spark, sf_dir):
         data = (docs[r["doc_id"]] or "").encode()
         assert (r["size"], r["text_crc32"], r["law"]) == (len(data) + 1, zlib.crc32(data), "bytes")
         assert r["grown_shard"] is None
+    by_shard: dict[int, list] = {}
+    for r in found:
+        by_shard.setdefault(r["shard"], []).append(r)
+    assert sorted(r["doc_id"] for r in found) == sorted(docs) and set(by_shard) == set(range(16))
+    total, largest = sum(r["size"] for r in found), max(r["size"] for r in found)
+    groups: dict[int, int] = {}
+    for r in found:
+        groups[r["text_crc32"]] = groups.get(r["text_crc32"], 0) + r["size"]
+    # A cut moves by half a row or, for a group's end, by the slack of a shard at most.
+    slack = max(largest, sharding.GROUP_SLACK * total / 16)
+    for rows in by_shard.values():
+        assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+        assert abs(sum(r["size"] for r in rows) - total / 16) <= 2 * slack
+    # Shards are contiguous, so equal texts lie in one shard or in neighbours.
+    places: dict[str | None, set[int]] = {}
+    for r in found:
+        places.setdefault(docs[r["doc_id"]], set()).add(r["shard"])
+    for text, shards in places.items():
+        assert max(shards) - min(shards) == len(shards) - 1
+        assert len(shards) == 1 or groups[zlib.crc32((text or "").encode())] > slack
