@@ -232,29 +232,3 @@ def test_seconds_of_a_zone_count(spark):
     found = [r[0] for r in frame.select(F.unix_micros(S.iso_timestamp(F.col("v")))).collect()]
     epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
     assert found == [(dt.datetime.fromisoformat(c) - epoch) // dt.timedelta(microseconds=1) for c in cases]
-
-
-def test_week_dates(spark):
-    cases = [
-        f"{year}{dash}W{week:02}{day and dash}{day}{time}"
-        for year in (2004, 2015, 2020, 2021, 2024, 2026)
-        for week in (0, 1, 5, 52, 53, 54)
-        for dash in ("-", "")
-        for day in ("", "1", "7", "8")
-        for time in ("", "T10:30:00", " 08:15+02:00")
-    ] + ["2024-W1", "2024-w05-1", "0000-W01-1", "W05", "2024-W05-", "x2024-W05-3"]
-
-    def expected(text):
-        try:
-            moment = dt.datetime.fromisoformat(text)
-        except ValueError:
-            return None
-        return moment if moment.tzinfo else moment.replace(tzinfo=dt.timezone.utc)
-
-    frame = spark.createDataFrame([(c,) for c in cases], "text string")
-    found = frame.select("text", F.unix_micros(S.iso_timestamp(F.col("text"))).alias("at")).collect()
-    epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
-    for row in found:
-        moment = expected(row["text"])
-        assert row["at"] == (moment and (moment - epoch) // dt.timedelta(microseconds=1)), row["text"]
-    assert sum(row["at"] is not None for row in found) > 200
