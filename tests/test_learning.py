@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from contentgrade.functions.scores import COMPONENTS, Weights
 from contentgrade.operators import classifier as C
+from contentgrade.operators import logistic
 from contentgrade.operators.logistic import LogisticFit, fit_logistic
 from contentgrade.operators.calibration import learn_weights
 from contentgrade.operators.labels import match_labels
@@ -268,6 +269,31 @@ def test_logistic_fit_is_the_same_for_any_partitioning(spark):
         assert np.abs(gap.T @ x + w)[1:].max() < 2e-5 and np.abs(gap.sum(axis=0)).max() < 2e-5
 
 
+@pytest.mark.parametrize("curved", [1000, 40])
+def test_logistic_fit_takes_few_passes_whatever_the_number_of_rows(spark, monkeypatch, curved):
+    """Frequent features among rare ones, as terms are: plain steps need more passes the more rows there are."""
+    monkeypatch.setattr(logistic, "CURVED", curved)
+    passes = []
+    totals = logistic._totals
+    monkeypatch.setattr(logistic, "_totals", lambda *given: passes.append(1) or totals(*given))
+    r = np.random.default_rng(5)
+    dense = (r.random((4000, 60)) < np.minimum(1.8 / np.arange(1, 61) ** 0.7, 0.9)) * r.random((4000, 60))
+    labels = r.integers(0, 4, 4000)
+    rows = [(int(y), [int(j) for j in np.flatnonzero(x)], [float(v) for v in x[x != 0]]) for x, y in zip(dense, labels)]
+    table = spark.createDataFrame(rows, "label int, indices array<int>, values array<double>")
+    fit = fit_logistic(table, (0, 1, 2, 3), 60, 4000)
+    assert len(passes) < 20
+    w = np.array(fit.weights)
+    z = dense @ w.T + np.array(fit.intercepts)
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    assert np.abs((p - (labels[:, None] == np.arange(4))).T @ dense + w).max() < 5e-5
+
+
+def test_the_inverse_of_a_positive_matrix():
+    x = np.random.default_rng(6).normal(size=(90, 40))
+    assert np.allclose(logistic._inverse(x.T @ x) @ (x.T @ x), np.eye(40), atol=1e-10)
+
+
 def test_margins_choose_the_smallest_of_equal_classes(spark):
     fit = LogisticFit((0, 2), ((0.0, 0.0), (1.0, -1.0)), (0.0, 0.0))
     rows = spark.createDataFrame([([1.0, 1.0],), ([2.0, 1.0],), ([0.0, 1.0],)], "x array<double>")
