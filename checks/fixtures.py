@@ -112,7 +112,7 @@ def fixture_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.col("page_id")
     targets = F.explode(F.array((page * 7 + 1) % n, (page * 3 + 2) % n))
     edges = urls.select(F.col("page_url").alias("src_url"), targets.alias("page_id"))
-    return edges.join(urls.withColumnRenamed("page_url", "dst_url"), "page_id").select(
+    return edges.join(urls.withColumnRenamed("page_url", "dst_url").hint("merge"), "page_id").select(
         "src_url", "dst_url"
     )
 

@@ -47,7 +47,7 @@ def crawl_frontier(
     executor, and shuffles its own rows, and the urls seen before to leave those out. A page with very
     many links is spread over ``salts`` buckets. Candidates are combined per target before they
     move, which keeps a page that everyone links to small. Each level is checkpointed, which
-    ends its lineage.
+    ends its lineage. No level is broadcast, so the driver sees a count per level, not its urls.
 
     Without ``dedupe`` a url that several pages of one level link to is visited once per
     link. Those visits come as the count ``visits`` per url and referer, not as repeated
@@ -67,7 +67,7 @@ def crawl_frontier(
     if fetches is not None:
         alive = usable_fetches(fetches).select(normalize_url(F.col("url")).alias("src_url"))
         expandable = alive.distinct().withColumn("salt", every_salt)
-        edges = edges.join(expandable, ["src_url", "salt"], "left_semi")
+        edges = edges.join(expandable.hint("merge"), ["src_url", "salt"], "left_semi")
     name = _bucketed(edges, partitions)
     edges = spark.table(name)
 
@@ -95,7 +95,7 @@ def crawl_frontier(
             .agg(F.sum("visits").alias("visits"))
             .withColumn("salt", every_salt)
         )
-        reached = sources.join(edges, ["src_url", "salt"]).select(
+        reached = sources.hint("merge").join(edges, ["src_url", "salt"]).select(
             F.col("dst_url").alias("url"), F.col("src_url").alias("referer"), "visits"
         )
         if dedupe:
@@ -104,7 +104,7 @@ def crawl_frontier(
             )
         else:
             candidates = reached.groupBy("url", "referer").agg(F.sum("visits").alias("visits"))
-        fresh = candidates.join(visited.select("url"), "url", "left_anti")
+        fresh = candidates.join(visited.select("url").hint("merge"), "url", "left_anti")
         level = (
             permitted(fresh)
             .select("url", F.lit(depth).alias("depth"), "referer", "visits")

@@ -252,6 +252,24 @@ def test_edges_are_joined_where_they_lie(spark):
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_no_level_passes_through_the_driver(spark, monkeypatch):
+    plans = []
+    kind = type(spark.range(1))
+    stored = kind.checkpoint
+
+    def spied(frame, *options):
+        found = stored(frame, *options)
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(kind, "checkpoint", spied)
+    edges = spark.createDataFrame(graph(), "src_url string, dst_url string")
+    fetches = edges.select(F.col("src_url").alias("url"), F.lit("x").alias("html"), F.lit("").alias("error"))
+    found = crawl_frontier(edges, ["https://h.example/0"], fetches)
+    assert found.count() > 1 and any("SortMergeJoin" in plan for plan in plans)
+    assert not [plan for plan in plans if "BroadcastExchange" in plan]
+
+
 def test_visits_count_repeated_discoveries(spark):
     edges = spark.createDataFrame([("s", "a"), ("s", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("c", "s")], "src_url string, dst_url string")
     found = crawl_frontier(edges, ["s"], max_depth=3, max_pages=None, dedupe=False)
