@@ -18,7 +18,8 @@ from contentgrade.llm.vectors import by_length, ranked, rows_of, usable
 QUERY_SET = 32_768
 # Data are indexed in blocks of so many rows.
 BLOCK_ROWS = 8_192
-LEAF = 48
+# A leaf has enough rows for the products of two leaves to outweigh the steps of the walk.
+LEAF = 512
 CHILDREN = 12
 
 
@@ -99,15 +100,12 @@ class DualSearch:
                 s[np.flatnonzero(inside), own[inside]] = -np.inf
                 self.floor[start : start + len(s)] = np.partition(s, -k, axis=1)[:, -k]
 
-    def _kth(self, q: int) -> float:
-        return max(self.floor[q], float(self.scores[q][-1]) if len(self.scores[q]) == self.k else -np.inf)
-
     def _worst(self, node: Node) -> float:
         """The lowest score that a pair still has to reach for some query of the node."""
         if node.children:
             node.worst = min(c.worst for c in node.children)
         else:
-            node.worst = min(self._kth(int(q)) for q in node.rows)
+            node.worst = float(self.floor[node.rows].min())
         return node.worst
 
     def _refresh(self, node: Node) -> float:
@@ -150,9 +148,10 @@ class DualSearch:
 
     def _leaves(self, q: Node, d: Node, data: np.ndarray, ids: np.ndarray, versions: np.ndarray) -> None:
         products = _exact_products(self.points[q.rows], data[d.rows])
-        for i, row in enumerate(q.rows):
-            row = int(row)
-            near = np.flatnonzero(products[i] >= self._kth(row))
+        reach = products >= self.floor[q.rows, None]
+        for i in np.flatnonzero(reach.any(axis=1)):
+            row = int(q.rows[i])
+            near = np.flatnonzero(reach[i])
             near = near[(ids[d.rows[near]] != self.ids[row]) | (versions[d.rows[near]] != self.versions[row])]
             if not len(near):
                 continue
@@ -160,6 +159,8 @@ class DualSearch:
             found = np.vstack([self.found[row], np.stack([ids[d.rows[near]], versions[d.rows[near]]], axis=1)])
             best = np.lexsort((found[:, 1], found[:, 0], -scores))[: self.k]
             self.scores[row], self.found[row] = scores[best], found[best]
+            if len(best) == self.k:
+                self.floor[row] = max(self.floor[row], float(scores[best[-1]]))
         self._worst(q)
 
 

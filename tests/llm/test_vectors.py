@@ -181,3 +181,21 @@ def test_queries_against_brute_force(spark, sf_dir):
     found = by_query(QUERIES["op9_topk"](spark, sf_dir).collect())
     expected = brute(np.floor(1024 * matrix), ids, np.flatnonzero(ids % 100 == 0), 10)
     assert found == {q: [(v, int(s)) for v, s in best] for q, best in expected.items()}
+
+
+def test_few_leaves_meet_where_bounds_prune_little(monkeypatch):
+    r = np.random.default_rng(9)
+    data = np.floor(1024 * r.normal(size=(6000, 64)) / 8)
+    dual = topk.DualSearch(data[:500], np.arange(500), np.zeros(500, dtype=np.int64), 10)
+    met = []
+    leaves = dual._leaves
+    monkeypatch.setattr(dual, "_leaves", lambda *given: met.append(1) or leaves(*given))
+    for start in range(0, 6000, 3000):
+        block = slice(start, start + 3000)
+        dual.add(data[block], np.arange(6000)[block], np.zeros(3000, dtype=np.int64))
+    assert len(met) < 300
+    products = data[:500] @ data.T
+    products[np.arange(500), np.arange(500)] = -np.inf
+    for q in (0, 99, 499):
+        best = np.lexsort((np.arange(6000), -products[q]))[:10]
+        assert dual.found[q][:, 0].tolist() == best.tolist() and dual.scores[q].tolist() == products[q][best].tolist()
