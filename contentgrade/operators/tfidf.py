@@ -67,7 +67,7 @@ ROW_SCHEMA = "term string, corpus_count bigint, document_count bigint, idf doubl
 # Terms that a task's summary of the frequent ones holds, and the buckets, for each term asked
 # for, that all others are counted in. Both set the cost only, never the result.
 TRACKED = 1 << 14
-BUCKETS = 128
+BUCKETS = 512
 
 
 def _likely(terms: DataFrame, max_features: int) -> DataFrame:
@@ -75,7 +75,7 @@ def _likely(terms: DataFrame, max_features: int) -> DataFrame:
 
     Every task keeps a summary of frequent items of bounded size, and summaries are merged.
     """
-    tracked = min(max(TRACKED, 8 * max_features), 1_000_000)
+    tracked = min(max(TRACKED, 4 * max_features), 1_000_000)
     found = F.expr(f"approx_top_k(term, {min(max_features, tracked)}, {tracked})")
     return terms.agg(found.alias("_top")).select(F.inline("_top")).select(F.col("item").alias("term"))
 
@@ -83,23 +83,23 @@ def _likely(terms: DataFrame, max_features: int) -> DataFrame:
 def top_terms(terms: DataFrame, max_features: int) -> list[tuple[str, int]]:
     """The most frequent values of ``term`` with their counts, ties by term. Exact.
 
-    A summary names the likely ones. One pass counts these exactly and all other terms by
+    A summary names twice as many likely ones. One pass counts these exactly and all other terms by
     the bucket of their hash, so what moves is at most a number per bucket and task. A
     term that the summary missed can belong to the result only if its whole bucket has as
-    many rows as the last of the likely ones. The terms of such buckets, mostly none, are counted
-    by themselves.
+    many rows as the last that the likely ones give. Terms beyond the likely ones have far fewer, so
+    there are mostly no such buckets; otherwise their terms are counted by themselves.
     """
     spark = terms.sparkSession
-    likely = [row["term"] for row in _likely(terms, max_features).collect()]
+    likely = [row["term"] for row in _likely(terms, 2 * max_features).collect()]
     if not likely:
         return []
-    # At most max_features rows, which the result has as well.
+    # At most twice the rows that the result has.
     marked = F.broadcast(spark.createDataFrame([(term, term) for term in likely], "term string, _likely string"))
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS * max_features)).alias("_bucket")
     others = F.when(F.col("_likely").isNull(), bucket).alias("_bucket")
     counts = terms.join(marked, "term", "left").groupBy("_likely", others).agg(F.count("*").alias("n")).checkpoint()
     best = [(row["_likely"], row["n"]) for row in counts.filter("_likely IS NOT NULL").collect()]
-    least = min(n for _, n in best) if len(best) == max_features else 1
+    least = sorted((n for _, n in best), reverse=True)[max_features - 1] if len(best) >= max_features else 1
     full = counts.filter(F.col("_likely").isNull() & (F.col("n") >= least)).select("_bucket")
     if not full.isEmpty():
         missed = (

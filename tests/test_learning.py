@@ -205,6 +205,22 @@ def test_frequent_terms_are_exact_however_small_the_summary(spark, monkeypatch,
     assert tfidf.top_terms(rows.limit(0), 4) == []
 
 
+def test_frequent_terms_are_mostly_counted_once(spark, monkeypatch):
+    """Counts fall slowly behind the last term taken, as those of words do, so its successors nearly reach it."""
+    shared_dir(spark)
+    values = [f"t{i}" for i in range(60) for _ in range(400 - i)]
+    rows = spark.createDataFrame([(v,) for v in values], "term string").repartition(4)
+    expected = [(f"t{i}", 400 - i) for i in range(20)]
+    sorts = []
+    sort = type(rows).orderBy
+    monkeypatch.setattr(type(rows), "orderBy", lambda *given: sorts.append(1) or sort(*given))
+    # Every bucket holds some rare terms, which together with the next frequent one are as many as the last.
+    monkeypatch.setattr(tfidf, "BUCKETS", 128)
+    monkeypatch.setattr(tfidf, "_likely", lambda terms, n: spark.createDataFrame([(f"t{i}",) for i in range(n)], "term string"))
+    more = rows.unionByName(spark.createDataFrame([(f"r{i}",) for i in range(10 * 128 * 20)], "term string"))
+    assert tfidf.top_terms(more, 20) == expected and not sorts
+
+
 def scored_texts(spark, n=40):
     rows = [(i, f"bond yield curve number{i}" if i % 2 else f"cooking pasta recipe number{i}", 90.0 if i % 2 else 30.0) for i in range(n)]
     return spark.createDataFrame(rows, "id int, text string, target_score double")
