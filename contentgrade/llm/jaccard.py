@@ -14,7 +14,7 @@ take the full sets of the others.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,10 @@ SAMPLE = 96
 MISS = 1e-10
 # Rounds in which a set is compared with one other set; after them all pairs left are compared.
 ROUNDS = 2
+# Keys at which more sets than this are left are met through the differences to one of these,
+# so often one after the other; then all pairs left at a key are compared.
+WIDE = 64
+LEVELS = 2
 # A group that holds more than this share of all rows is met by broadcast; so fewer than
 # this many groups ever are.
 HOT_GROUPS = 100_000
@@ -257,20 +261,108 @@ def _star_pairs(met: DataFrame, info: DataFrame, similarity_percent: int) -> Dat
     return best.select(F.col("best.pivot").alias("a"), F.col("sid").alias("b"))
 
 
-def _pairs_left(met: DataFrame, similarity_percent: int, total: int) -> DataFrame:
-    """All pairs of sets of different components that meet at a key and have room for a link there: a, b.
+def _pairs_left(
+    met: DataFrame, labels: DataFrame | None, texts: DataFrame, words: int, similarity_percent: int, total: int, blocks: int
+) -> DataFrame:
+    """Pairs of sets of different components, those with a link among them: a, b.
 
     Sets with a link have it at the first key they share, so no pair is missed. The sets of a key's most
-    frequent component don't meet each other, so the pairs are those of the others with all.
+    frequent component don't meet each other, so the pairs are those of the others with all that have
+    room for a link there. At a key of many sets these would be too many: there the sets meet again
+    at keys of their differences to one of them.
     """
-    counted = met.groupBy("key", "label").agg(F.count("*").alias("times"))
-    most = counted.groupBy("key").agg(F.max(F.struct("times", "label")).alias("most"), F.sum("times").alias("size"))
-    most = stored(most.select("key", "size", F.col("most.label").alias("major")), "jaccard-majors")
-    rows = _with_group(met.drop("pivot"), most, "key", total)
-    few = rows.filter("label <> major").select("key", *[F.col(c).alias(f"_{c}") for c in ("sid", "n", "room", "large", "label")])
-    pairs = rows.join(few, "key").filter("label <> _label and (label = major or sid < _sid) and (large or _large or not listed)")
-    pairs = pairs.filter(_can_be_similar(similarity_percent, "n", "room", "_n", "_room"))
-    return pairs.select(F.least("sid", "_sid").alias("a"), F.greatest("sid", "_sid").alias("b")).distinct()
+    rows = met.select("key", "sid", "n", (2 * similarity_percent * F.col("n")).alias("need"), "room", "label", F.col("label").alias("was"))
+    found = None
+    for level in range(LEVELS + 1):
+        counted = rows.groupBy("key", "label").agg(F.count("*").alias("times"))
+        most = counted.groupBy("key").agg(F.max(F.struct("times", "label")).alias("most"), F.sum("times").alias("size"), F.count("*").alias("labels"))
+        most = stored(most.filter("labels > 1").select("key", "size", F.col("most.label").alias("major")), "jaccard-majors")
+        rows = _with_group(rows, most, "key", total)
+        narrow = rows if level == LEVELS else rows.filter(F.col("size") <= WIDE)
+        few = narrow.filter("label <> major").select("key", *[F.col(c).alias(f"_{c}") for c in ("sid", "need", "room", "label", "was")])
+        pairs = narrow.join(few, "key").filter("label <> _label and was <> _was and (label = major or sid < _sid)")
+        pairs = pairs.filter(2 * (100 + similarity_percent) * F.least("room", "_room") >= F.col("need") + F.col("_need"))
+        pairs = stored(pairs.select(F.least("sid", "_sid").alias("a"), F.greatest("sid", "_sid").alias("b")).distinct(), "jaccard-met-pairs")
+        found = pairs if found is None else found.unionByName(pairs)
+        if level == LEVELS or most.filter(F.col("size") > WIDE).isEmpty():
+            break
+        stars = _stars(rows.filter(F.col("size") > WIDE).drop("size"), int(_ROUND_MASKS[ROUNDS + level]), total, similarity_percent)
+        apart = _differences(stars, labels, texts, words, similarity_percent, blocks)
+        linked = apart.filter("linked and was <> pivot_label")
+        found = found.unionByName(linked.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")))
+        rows, total = _difference_keys(apart, similarity_percent)
+    return found.distinct()
+
+
+def _stars(rows: DataFrame, mask: int, total: int, similarity_percent: int) -> DataFrame:
+    """For all sets at a key with a pivot of about their size: a (the pivot), b.
+
+    Sets are in two of the overlapping ranges of sizes, so that two with a link are in one range and have its pivot.
+    """
+    step = 1.001 * math.log(100 / similarity_percent)
+    size = F.floor(F.log("n") / step)
+    rows = rows.withColumn("range", F.explode(F.array(size, size + 1))).withColumn("key", F.xxhash64("key", "range"))
+    turned = F.struct(F.col("label") == F.col("major"), F.col("sid").bitwiseXOR(F.lit(mask)), "sid")
+    groups = rows.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.max(turned).alias("pivot")
+    )
+    groups = stored(groups.filter("low < high").select("key", "size", F.col("pivot.sid").alias("pivot")), "jaccard-ranges")
+    stars = _with_group(rows.select("key", "sid"), groups, "key", 2 * total).filter("sid <> pivot")
+    return stored(stars.select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct(), "jaccard-stars")
+
+
+def _differences(
+    stars: DataFrame, labels: DataFrame | None, texts: DataFrame, words: int, similarity_percent: int, blocks: int
+) -> DataFrame:
+    """pivot, sid, n, need, linked, elements (in only one of both), was, pivot_label, label of all pairs.
+
+    With the symmetric differences D and E of two sets to a pivot and their sizes n and m, the two are
+    linked if (100 + similarity) * (|D| + |E| - 2 |D and E|) <= (100 - similarity) * (n + m), that is, the
+    sum of both ``need`` is at most 2 * (100 + similarity) * |D and E|. Unless both are
+    linked to the pivot, that sum is positive. Sets linked to the pivot take its label here.
+    """
+
+    def differ(pivot: np.ndarray, own: np.ndarray) -> tuple[int, int, np.ndarray]:
+        return len(own), len(pivot), np.setxor1d(pivot, own, assume_unique=True).view(np.int64)
+
+    found = _compared(stars, texts, words, blocks, differ, "n long, m long, elements array<long>")
+    found = found.withColumnsRenamed({"a": "pivot", "b": "sid"})
+    need = (100 + similarity_percent) * F.size("elements").cast("bigint") - (100 - similarity_percent) * F.col("n")
+    found = found.withColumn("need", need).withColumn("linked", F.col("need") <= (100 - similarity_percent) * F.col("m"))
+    found = _labelled(found.withColumnsRenamed({"sid": "other", "pivot": "sid"}), labels)
+    found = _labelled(found.withColumnsRenamed({"sid": "pivot", "label": "pivot_label", "other": "sid"}), labels)
+    found = found.withColumnRenamed("label", "was").withColumn("label", F.when(F.col("linked"), F.col("pivot_label")).otherwise(F.col("was")))
+    return stored(found, "jaccard-differences")
+
+
+def _difference_keys(apart: DataFrame, similarity_percent: int) -> tuple[DataFrame, int]:
+    """Rows of the differences at which sets of several components meet with room for a link, and how many they are."""
+    columns = ["pivot", "sid", "n", "need", "linked", "label", "was"]
+    entries = apart.select(*columns, F.explode("elements").alias("element"))
+    entries = entries.select(*columns, F.xxhash64("pivot", "element").alias("key"))
+    lists = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+    lists = stored(lists.filter("low < high").select("key", "size"), "jaccard-difference-lists")
+    total = lists.agg(F.sum("size")).first()[0] or 0
+    found = _with_group(entries, lists, "key", total).groupBy(*columns)
+    found = found.agg(F.sort_array(F.collect_list(F.struct("size", "key"))).alias("keys"))
+    found = found.select(*columns, F.size("keys").alias("many"), F.posexplode("keys").alias("place", "at"))
+    room = (F.col("many") - F.col("place")).cast("bigint")
+    rows = found.select(*columns[1:], F.col("at.key").alias("key"), room.alias("room"))
+    rows = rows.withColumn("offer", 2 * (100 + similarity_percent) * F.col("room") - F.col("need"))
+    # Of two sets one isn't linked to the pivot, and each offers what the other needs.
+    rows = stored(rows, "jaccard-difference-rows")
+    groups = rows.groupBy("key").agg(
+        F.count("*").alias("size"),
+        F.min("need").alias("least"),
+        F.max("offer").alias("best"),
+        F.min(F.when(~F.col("linked"), F.col("need"))).alias("least_apart"),
+        F.max(F.when(~F.col("linked"), F.col("offer"))).alias("best_apart"),
+    )
+    groups = stored(groups.filter("best >= least_apart"), "jaccard-difference-groups")
+    met = _with_group(rows, groups, "key", total)
+    fits = F.when(F.col("linked"), F.expr("offer >= least_apart and need <= best_apart")).otherwise(F.expr("offer >= least and need <= best"))
+    met = stored(met.filter(fits).select("key", "sid", "n", "need", "room", "label", "was"), "jaccard-difference-met")
+    return met, met.count()
 
 
 def _texts(documents: DataFrame, candidates: DataFrame, representatives: DataFrame, words: int, key: str, text: str) -> DataFrame:
@@ -289,8 +381,10 @@ def _texts(documents: DataFrame, candidates: DataFrame, representatives: DataFra
     return stored(met.select("_text", "_sids").mapInArrow(keep, "sid long, text string"), "jaccard-texts")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity_percent: int, blocks: int) -> DataFrame:
-    """Those of the pairs (a, b) of which the full sets are similar.
+def _compared(
+    pairs: DataFrame, texts: DataFrame, words: int, blocks: int, result: Callable[[np.ndarray, np.ndarray], tuple | None], columns: str
+) -> DataFrame:
+    """a, b and the result's columns of the pairs (a, b) of which the full sets have one.
 
     Sets are dealt to blocks by hash. For each two blocks with pairs, the sets of the one are
     held, those of the other pass by, so a text moves once for each block it meets and a task
@@ -306,6 +400,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity_percent
     passing = dealt.groupBy(*place, F.col("b").alias("sid")).agg(F.collect_list("a").alias("others"))
     rows = held.unionByName(passing).join(texts, "sid").select(*place, F.col("others").isNotNull().alias("passes"), "sid", "text", "others")
     rows = rows.repartition(*place).sortWithinPartitions(*place, "passes", "sid")
+    schema = ", ".join(x for x in ("a long, b long", columns) if x)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sets = None, {}
@@ -320,14 +415,25 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity_percent
                     sets[sid] = own
                     continue
                 for a in others:
-                    both = len(np.intersect1d(sets[a], own, assume_unique=True))
-                    if 100 * both >= similarity_percent * (len(sets[a]) + len(own) - both):
-                        found.append((a, sid))
+                    more = result(sets[a], own)
+                    if more is not None:
+                        found.append((a, sid, *more))
             if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                kinds = [pa.list_(pa.int64()) if "array" in c else pa.int64() for c in schema.split(", ")]
+                arrays = [pa.array(list(x), kind) for x, kind in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in schema.split(", ")])
+
+    return rows.mapInArrow(compare, schema)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity_percent: int, blocks: int) -> DataFrame:
+    """Those of the pairs (a, b) of which the full sets are similar."""
+
+    def similar(one: np.ndarray, other: np.ndarray) -> tuple | None:
+        both = len(np.intersect1d(one, other, assume_unique=True))
+        return () if 100 * both >= similarity_percent * (len(one) + len(other) - both) else None
 
-    return rows.mapInArrow(compare, "a long, b long")
+    return _compared(pairs, texts, words, blocks, similar, "")
 
 
 def _classes(
@@ -351,7 +457,7 @@ def _classes(
             total = keys.count()
         met, total = _mixed(_labelled(keys, labels), int(_ROUND_MASKS[turn]), total, similarity_percent)
         if turn == ROUNDS:
-            pairs = _pairs_left(met, similarity_percent, total)
+            pairs = _pairs_left(met, labels, texts, words, similarity_percent, total, blocks)
         else:
             pairs = _star_pairs(met, _labelled(info, labels), similarity_percent)
         found = checkpointed(confirmed(stored(pairs, "jaccard-pairs"), texts, words, similarity_percent, blocks))

@@ -51,6 +51,42 @@ def test_other_shingles_and_similarities(spark, corpus, words, percent):
     assert {r["doc_id"]: r["component_id"] for r in found} == brute_components(some, words, percent)[1]
 
 
+@pytest.mark.parametrize("wide,levels", [(1, 1), (3, 2)])
+def test_pairs_left_meet_at_differences(spark, corpus, monkeypatch, wide, levels):
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "WIDE", wide)
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    some = [d for d in corpus if d[0] < 4011]
+    for words, percent in ((5, 80), (3, 60)):
+        docs = spark.createDataFrame(some, "doc_id long, text string").repartition(4)
+        found = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(docs, words, percent).collect()}
+        assert found == brute_components(some, words, percent)[1]
+
+
+def far_copies():
+    """Copies of a text, each with a line somewhere that all have, so less than 80 % similar to nearly all others."""
+    r = random.Random(3)
+    line, base = [f"c{k}" for k in range(20)], [f"b{k}" for k in range(150)]
+    docs = [(9000 + i, " ".join([*line, f"x{i}", "y"])) for i in range(60)]
+    for i in range(500):
+        at = r.randrange(130)
+        docs.append((i, edited(r, base[:at] + line + base[at + 20 :], 1)))
+    return docs
+
+
+def test_far_copies_are_not_compared_in_all_pairs(spark, monkeypatch):
+    docs, made, confirmed = far_copies(), [], jaccard.confirmed
+
+    def counting(pairs, *rest):
+        made.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "confirmed", counting)
+    found = jaccard.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["component_id"] for x in found} == brute_components(docs, 5, 80)[1]
+    assert made[-1] < 20 * len(docs)
+
+
 def test_missing_and_repeated_ids(spark):
     text = " ".join(f"w{k}" for k in range(60))
     near = text.replace("w59", "x")
