@@ -3,7 +3,8 @@
 Two sets with enough in common share the rarest of their elements. A small set is listed
 under every pair of its rare elements, so small sets that share a pair meet. That many pairs
 would be too many for a large set, which meets all sets in the inverted lists of its rare
-elements instead. Where small ends is chosen by adding up both costs by size.
+elements instead. Where small ends is chosen by adding up both costs by size. Where many sets
+are left at one key, these meet at their differences to one of them, which are rarer.
 
 Most sets of a corpus have no partner at all, so before that a filter looks at the ``SAMPLE``
 smallest hashes of each. Similar sets share ``required`` of these but for a probability below
