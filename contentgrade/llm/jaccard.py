@@ -113,7 +113,10 @@ def _candidates(representatives: DataFrame, similarity_percent: int) -> DataFram
 
 
 def _shared(texts: DataFrame, words: int, similarity_percent: int) -> DataFrame:
-    """sid, n, shared (how many elements other sets have too) and the rarest of these, of sets with enough of them."""
+    """sid, n, shared (how many elements other sets have too), held and the rarest of these, of sets with enough of them.
+
+    ``held`` is how many sets have one of the set's elements, in the mean; most in the middle of a family.
+    """
 
     def list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,9 +132,10 @@ def _shared(texts: DataFrame, words: int, similarity_percent: int) -> DataFrame:
     found = _with_group(entries, lists, "element", total).groupBy("sid", "n")
     found = found.agg(F.sort_array(F.collect_set(F.struct("size", "element"))).alias("elements"))
     found = found.withColumn("shared", F.size("elements").cast("bigint"))
+    found = found.withColumn("held", F.aggregate("elements.size", F.lit(0).cast("bigint"), lambda a, x: a + x) / F.col("n"))
     found = found.filter(100 * F.col("shared") >= similarity_percent * F.col("n"))
     rarest = F.slice("elements", 1, _rare("n", "shared", similarity_percent, 2).cast("int"))
-    return stored(found.select("sid", "n", "shared", rarest.alias("elements")), "jaccard-shared")
+    return stored(found.select("sid", "n", "shared", "held", rarest.alias("elements")), "jaccard-shared")
 
 
 def _rare(n: str, shared: str, similarity_percent: int, subset: int) -> Column:
@@ -263,7 +267,7 @@ def _star_pairs(met: DataFrame, info: DataFrame, similarity_percent: int) -> Dat
 
 
 def _pairs_left(
-    met: DataFrame, labels: DataFrame | None, texts: DataFrame, words: int, similarity_percent: int, total: int, blocks: int
+    met: DataFrame, labels: DataFrame | None, held: DataFrame, texts: DataFrame, words: int, similarity_percent: int, total: int, blocks: int
 ) -> DataFrame:
     """Pairs of sets of different components, those with a link among them: a, b.
 
@@ -287,7 +291,7 @@ def _pairs_left(
         found = pairs if found is None else found.unionByName(pairs)
         if level == LEVELS or most.filter(F.col("size") > WIDE).isEmpty():
             break
-        stars = _stars(rows.filter(F.col("size") > WIDE).drop("size"), int(_ROUND_MASKS[ROUNDS + level]), total, similarity_percent)
+        stars = _stars(rows.filter(F.col("size") > WIDE).drop("size").join(held, "sid"), total, similarity_percent)
         apart = _differences(stars, labels, texts, words, similarity_percent, blocks)
         linked = apart.filter("linked and was <> pivot_label")
         found = found.unionByName(linked.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")))
@@ -295,17 +299,18 @@ def _pairs_left(
     return found.distinct()
 
 
-def _stars(rows: DataFrame, mask: int, total: int, similarity_percent: int) -> DataFrame:
+def _stars(rows: DataFrame, total: int, similarity_percent: int) -> DataFrame:
     """For all sets at a key with a pivot of about their size: a (the pivot), b.
 
     Sets are in two of the overlapping ranges of sizes, so that two with a link are in one range and have its pivot.
+    That is the set whose elements most sets have, so most differ little from it.
     """
     step = 1.001 * math.log(100 / similarity_percent)
     size = F.floor(F.log("n") / step)
     rows = rows.withColumn("range", F.explode(F.array(size, size + 1))).withColumn("key", F.xxhash64("key", "range"))
-    turned = F.struct(F.col("label") == F.col("major"), F.col("sid").bitwiseXOR(F.lit(mask)), "sid")
+    middle = F.struct(F.col("label") == F.col("major"), "held", "sid")
     groups = rows.groupBy("key").agg(
-        F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.max(turned).alias("pivot")
+        F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.max(middle).alias("pivot")
     )
     groups = stored(groups.filter("low < high").select("key", "size", F.col("pivot.sid").alias("pivot")), "jaccard-ranges")
     stars = _with_group(rows.select("key", "sid"), groups, "key", 2 * total).filter("sid <> pivot")
@@ -458,7 +463,7 @@ def _classes(
             total = keys.count()
         met, total = _mixed(_labelled(keys, labels), int(_ROUND_MASKS[turn]), total, similarity_percent)
         if turn == ROUNDS:
-            pairs = _pairs_left(met, labels, texts, words, similarity_percent, total, blocks)
+            pairs = _pairs_left(met, labels, shared.select("sid", "held"), texts, words, similarity_percent, total, blocks)
         else:
             pairs = _star_pairs(met, _labelled(info, labels), similarity_percent)
         found = checkpointed(confirmed(stored(pairs, "jaccard-pairs"), texts, words, similarity_percent, blocks))

@@ -87,6 +87,40 @@ def test_far_copies_are_not_compared_in_all_pairs(spark, monkeypatch):
     assert made[-1] < 20 * len(docs)
 
 
+def copies_of_one_text(count):
+    """Copies of a text with one to eight words of it changed anywhere."""
+    r = random.Random(8)
+    base = [f"b{k}" for k in range(150)]
+    docs = []
+    for i in range(count):
+        words = list(base)
+        for _ in range(r.choice((1, 1, 1, 2, 2, 3, 3, 4, 5, 6, 8))):
+            words[r.randrange(150)] = r.choice((f"x{r.randrange(10**6)}", r.choice(base)))
+        docs.append((i, " ".join(words)))
+    return docs
+
+
+def test_sets_meet_at_their_differences_to_the_middle_of_a_family(spark, monkeypatch):
+    docs, compared, differences, confirmed = copies_of_one_text(900), [], [], jaccard.confirmed
+    differ = jaccard._differences
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    def adding(*rest):
+        found = differ(*rest)
+        differences.append(found.agg(F.sum(F.size("elements"))).first()[0])
+        return found
+
+    monkeypatch.setattr(jaccard, "confirmed", counting)
+    monkeypatch.setattr(jaccard, "_differences", adding)
+    found = jaccard.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["component_id"] for x in found} == brute_components(docs, 5, 80)[1]
+    assert differences and sum(differences) < 15 * len(docs)
+    assert compared[-1] < 2 * len(docs)
+
+
 def test_missing_and_repeated_ids(spark):
     text = " ".join(f"w{k}" for k in range(60))
     near = text.replace("w59", "x")
